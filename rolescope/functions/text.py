@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schemas import DEPARTMENTS, REMOTE_POLICIES, SENIORITIES
+
 # Fixed value: the characters a Unicode-aware strip removes.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -97,24 +99,25 @@ def _or_empty(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit(""))
 
 
+PROMPT_HEAD = "Read the job posting below and fill in its fields.\nRole: "
+PROMPT_TAIL = (
+    "\n\nAnswer with one JSON object and nothing else. Keys:\n"
+    f"department (one of {', '.join(DEPARTMENTS)}), seniority (one of {', '.join(SENIORITIES)}), "
+    "tech_stack (list of named technologies only), skills (list of soft skills and domain knowledge), "
+    "pain_points (list of problems the role is hired to solve), job_summary (one sentence on the main duty), "
+    f"remote_policy (one of {', '.join(REMOTE_POLICIES)}), salary_min, salary_max and experience_years "
+    "(whole numbers, null if not stated)."
+)
+
+
 def extraction_prompt(title: Column, company: Column, location: Column, description: Column) -> Column:
     """The instruction sent to the model for one posting."""
-    from ..schemas import DEPARTMENTS, REMOTE_POLICIES, SENIORITIES
-
-    instructions = (
-        "\n\nAnswer with one JSON object and nothing else. Keys:\n"
-        f"department (one of {', '.join(DEPARTMENTS)}), seniority (one of {', '.join(SENIORITIES)}), "
-        "tech_stack (list of named technologies only), skills (list of soft skills and domain knowledge), "
-        "pain_points (list of problems the role is hired to solve), job_summary (one sentence on the main duty), "
-        f"remote_policy (one of {', '.join(REMOTE_POLICIES)}), salary_min, salary_max and experience_years "
-        "(whole numbers, null if not stated)."
-    )
     return F.concat(
-        F.lit("Read the job posting below and fill in its fields.\nRole: "), _or_empty(title),
+        F.lit(PROMPT_HEAD), _or_empty(title),
         F.lit("\nEmployer: "), _or_empty(company),
         F.lit("\nPlace: "), _or_empty(location),
         F.lit("\nText:\n"), _or_empty(description),
-        F.lit(instructions),
+        F.lit(PROMPT_TAIL),
     )
 
 

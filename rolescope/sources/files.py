@@ -56,7 +56,7 @@ def postings_of(documents: DataFrame) -> DataFrame:
         _or_blank("job.url").alias("url"),
         _or_blank("job.location").alias("location"),
         _or_blank("job.description").alias("raw_description"),
-        F.to_timestamp_ntz("scraped_at").alias("scraped_at"),
+        F.col("scraped_at").try_cast("timestamp_ntz").alias("scraped_at"),
         "file", "pos",
     )
 
@@ -91,8 +91,10 @@ def scan_extracted(spark: SparkSession, path: str, parsed_at: Column | None = No
 
 
 def scan_profiles(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Profile documents named ``{ats}_{company}.json``; the name splits at the first underscore."""
-    name = F.split(file_stem(), "_", 2)
+    """Profile documents named ``{ats}_{company}.json``, or kept in a folder ``profile={ats}_{company}``;
+    the name splits at the first underscore."""
+    folder = F.regexp_extract(_path(), r"/profile=([^/]+)/", 1)
+    name = F.split(F.when(folder != "", _decoded(folder)).otherwise(file_stem()), "_", 2)
     zero = F.lit(0)
     return (
         _read(spark, path, PROFILE_FILE, multiline)

@@ -1 +1,67 @@
+"""Structured extraction with a stand-in model that answers from the prompt's length."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.replies import reply_fields, salvage_json
+from ..operators import extract, quality
+from .registry import register
+from .text_queries import PROMPT_SQL
+from .views import responses_v, scraped_v
+from .views_sql import using
+
+
+def length_model():
+    """A model whose reply depends on the prompt's length only, in the shapes real models reply in."""
+
+    def answer(prompts):
+        replies = []
+        for prompt in prompts:
+            n = len(prompt)
+            body = (
+                '{"department": "%s", "tech_stack": ["K8s", " node.js ", "kube"], "skills": ["Scrum"], '
+                '"salary_min": %d, "extra": {"k": 1}}' % ("Sales" if n % 2 else "Engineering", n)
+            )
+            shapes = [body, f"```json\n{body}\n```", f"Here: {body} Done.", body[:20], "{}"]
+            replies.append(shapes[n % 5])
+        return replies
+
+    return answer
+
+
+@register("salvage_json", f"""SELECT CAST(doc_id AS VARCHAR) AS job_id, CAST(found AS BOOLEAN) AS found,
+        CASE WHEN found THEN department END AS department, CASE WHEN found THEN CAST(100000 + doc_id AS INT) END AS salary_min,
+        CASE WHEN found THEN 'K8s| node.js ' END AS tech_stack
+    FROM (SELECT doc_id, doc_id % 7 < 4 AS found, (['Engineering', 'Sales', 'Product', 'Gardening'])[CAST(doc_id % 4 + 1 AS INT)] AS department FROM documents)""")
+def salvage(spark, sf):
+    replies = responses_v(spark, sf).withColumn("json", salvage_json(F.col("reply")))
+    fields = reply_fields(F.col("json"))
+    return replies.select(
+        "job_id", F.col("json").isNotNull().alias("found"), fields["department"].alias("department"),
+        fields["salary_min"].alias("salary_min"), F.array_join(fields["tech_stack"], "|").alias("tech_stack"),
+    )
+
+
+@register("extract_jobs", using("scraped_v") + f"""SELECT job_id, company, ats, url, CASE WHEN done THEN CASE WHEN n % 2 = 1 THEN 'Sales' ELSE 'Engineering' END END AS department,
+        CASE WHEN done THEN CAST(n AS INT) END AS salary_min, CASE WHEN done THEN 'kubernetes|nodejs' END AS tech_stack,
+        CASE WHEN done THEN 'scrum' END AS skills,
+        CASE WHEN length(substring(description, 1, 8000)) < 100 THEN 'No description' WHEN NOT done THEN 'Failed to parse LLM response' END AS error
+    FROM (SELECT *, n % 5 < 3 AND length(substring(description, 1, 8000)) >= 100 AS done
+        FROM (SELECT *, length({PROMPT_SQL}) AS n FROM scraped_v))""")
+def extract_jobs(spark, sf):
+    extracted = extract.extract_jobs(scraped_v(spark, sf), length_model())
+    return extracted.select(
+        "job_id", "company", "ats", "url", "department", "salary_min",
+        F.array_join("tech_stack", "|").alias("tech_stack"), F.array_join("skills", "|").alias("skills"), "error",
+    )
+
+
+@register("extract_quality", f"""SELECT CASE lang WHEN 'en' THEN 'greenhouse' WHEN 'fr' THEN 'lever' WHEN 'de' THEN 'ashby' ELSE 'smartrecruiters' END AS ats,
+        count(*) AS rows, count(*) FILTER (WHERE doc_id % 7 < 4 AND doc_id % 4 = 3) AS department_unknown,
+        CAST(0 AS BIGINT) AS seniority_unknown, CAST(0 AS BIGINT) AS remote_policy_unknown
+    FROM documents GROUP BY 1""")
+def extract_quality(spark, sf):
+    replies = responses_v(spark, sf).join(scraped_v(spark, sf).select("job_id", "ats"), "job_id")
+    fields = reply_fields(salvage_json(F.col("reply")))
+    return quality.extract_quality(replies.select("ats", *[fields[c].alias(c) for c in ("department", "seniority", "remote_policy")]))

@@ -1 +1,32 @@
+"""Landing-folder streams over scraped documents."""
 
+from __future__ import annotations
+
+from ..schemas import JOBS
+from ..session import new_work_dir
+from ..streaming import landing
+from .ingest_queries import SCRAPED_ROWS, scraped_documents
+from .registry import register
+from .views import jobs_v
+from .views_sql import using
+
+
+@register("stream_drain", using("scraped_v") + SCRAPED_ROWS)
+def stream_drain(spark, sf):
+    work = new_work_dir(spark, "drain")
+    scraped_documents(spark, sf).write.json(f"{work}/landing")
+    landing.drain(landing.read_landing(spark, f"{work}/landing"), f"{work}/out", f"{work}/checkpoint")
+    return spark.read.parquet(f"{work}/out").drop("file", "pos")
+
+
+@register("stream_upsert", using("jobs_v", "scraped_v") + """SELECT id, ats, company, job_id, title, url, raw_description, scraped_at FROM jobs_v
+    UNION ALL SELECT NULL, ats, company, job_id, concat('v2 ', title), url, description, TIMESTAMP '2026-01-01 00:00:00' FROM scraped_v""")
+def stream_upsert(spark, sf):
+    """Two arrivals of every document, drained one after the other, merged into the jobs table."""
+    work = new_work_dir(spark, "upsert")
+    waves = [("title", "2026-01-01T00:00:00"), ("concat('v2 ', title)", "2026-01-02T00:00:00")]
+    for title, stamp in waves:
+        scraped_documents(spark, sf, title, stamp).write.mode("append").json(f"{work}/landing")
+        landing.drain_changes(landing.read_landing(spark, f"{work}/landing"), f"{work}/log", f"{work}/checkpoint")
+    merged = landing.merged_jobs(jobs_v(spark, sf).select(*JOBS.fieldNames()), f"{work}/log")
+    return merged.select("id", "ats", "company", "job_id", "title", "url", "raw_description", "scraped_at")

@@ -215,7 +215,7 @@ def registry_v(spark: SparkSession, sf: str) -> DataFrame:
 def match_replies_v(spark: SparkSession, sf: str) -> DataFrame:
     """One match reply per order: plain, fenced, broken, or naming an unknown posting."""
     one = (
-        """concat('{"job_id": ', CAST(CASE WHEN o_orderkey % 19 = 0 THEN -1 ELSE o_orderkey + 1 END AS STRING), """
+        """concat('{"job_id": ', CAST(CASE WHEN o_orderkey % 19 = 0 THEN -1 - o_orderkey ELSE o_orderkey + 1 END AS STRING), """
         """CASE WHEN o_orderkey % 8 = 0 THEN '' ELSE concat(', "match_score": ', CAST(o_orderkey % 101 AS STRING)) END, """
         """CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE ', "matching_skills": ["sql", "go"], "missing_skills": ["rust"]' END, """
         """CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat(', "summary": "fits ', o_orderstatus, '"') END, '}')"""

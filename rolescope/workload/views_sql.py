@@ -135,7 +135,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         FROM supplier"""),
     # What the replies of match_replies_v say, stated without reading the JSON.
     "match_items": ([], """
-        SELECT o_custkey AS candidate_id, CAST(CASE WHEN o_orderkey % 19 = 0 THEN -1 ELSE o_orderkey + 1 END AS INT) AS job_id,
+        SELECT o_custkey AS candidate_id, CAST(CASE WHEN o_orderkey % 19 = 0 THEN -1 - o_orderkey ELSE o_orderkey + 1 END AS INT) AS job_id,
             CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE CAST(o_orderkey % 101 AS INT) END AS match_score,
             CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 'sql|go' END AS matching_skills,
             CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 'rust' END AS missing_skills,
