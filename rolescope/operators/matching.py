@@ -26,10 +26,9 @@ def parse_ids(text: str) -> list[int]:
 
 def listed_ids(candidates: DataFrame, column: str = "job_ids") -> DataFrame:
     """``candidate_id, id`` pairs from a column of comma-separated ids."""
-    parts = F.explode(F.split(column, ","))
-    return candidates.select("candidate_id", F.btrim(parts).alias("id")).where("id <> ''").select(
-        "candidate_id", F.col("id").cast("int").alias("id")
-    ).distinct()
+    parts = candidates.select("candidate_id", F.explode(F.split(column, ",")).alias("id"))
+    ids = parts.select("candidate_id", F.btrim("id").alias("id")).where("id <> ''")
+    return ids.select("candidate_id", F.col("id").cast("int").alias("id")).distinct()
 
 
 def scope_by_filters(
