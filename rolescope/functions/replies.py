@@ -29,9 +29,8 @@ def salvage_json(reply: Column) -> Column:
     return F.when(_is_object(whole), whole).otherwise(F.get(F.filter(candidates, _is_object), F.lit(0)))
 
 
-def reply_fields(json_text: Column) -> dict[str, Column]:
-    """The extracted fields of a salvaged reply; a value of the wrong type becomes NULL on its own."""
-    value = F.try_parse_json(json_text)
+def reply_fields(value: Column) -> dict[str, Column]:
+    """The extracted fields of a parsed reply; a value of the wrong type becomes NULL on its own."""
     fields = {n: F.try_variant_get(value, f"$.{n}", t) for n, t in EXTRACTED_SCALARS.items()}
     fields |= {n: F.try_variant_get(value, f"$.{n}", "array<string>") for n in EXTRACTED_ARRAYS}
     return fields

@@ -107,12 +107,13 @@ def extract_jobs(
     checked = replied.withColumn("error", error).withColumn(
         "_json", F.when(F.col("error").isNull(), F.col("_json"))
     )
-    # A list the reply leaves out stays NULL; one that it gives is normalized, also when empty.
-    fields = reply_fields(F.col("_json"))
-    given = {n: F.json_object_keys("_json") for n in EXTRACTED_ARRAYS}
-    normalizers = {"tech_stack": normalize_tech_stack, "skills": normalize_skills}
-    for name, normalize in normalizers.items():
-        fields[name] = F.when(F.array_contains(given[name], name), normalize(fields[name]))
+    # Parsed once, in a column of its own. A list the reply leaves out stays NULL; one it gives is normalized,
+    # also when empty.
+    parsed = checked.withColumn("_value", F.try_parse_json("_json"))
+    fields = reply_fields(F.col("_value"))
+    for name, normalize in {"tech_stack": normalize_tech_stack, "skills": normalize_skills}.items():
+        given = F.try_variant_get(F.col("_value"), f"$.{name}", "variant").isNotNull()
+        fields[name] = F.when(given, normalize(fields[name]))
     names = [*EXTRACTED_SCALARS, *EXTRACTED_ARRAYS]
     passed = [c for c in postings.columns if c not in (*names, "description")]
-    return checked.select(*passed, *[fields[n].alias(n) for n in names], "error")
+    return parsed.select(*passed, *[fields[n].alias(n) for n in names], "error")

@@ -65,11 +65,13 @@ def scope_by_filters(
 def scope_by_ids(candidates: DataFrame, jobs: DataFrame, listed: DataFrame) -> DataFrame:
     """Pairs of each candidate with the postings it lists (``candidate_id, id``); unknown ids drop out.
 
-    Ids and candidates are unique on their own side, so each join adds no rows. A posting that very many
-    candidates list is a hot key on the ``listed`` side only, which AQE splits.
+    Candidates and ids are unique on their own side, so each join adds no rows, and a hot candidate or a hot
+    posting is hot in ``listed`` only: AQE splits it, as each join is followed by an exchange on
+    another key. The posting join comes last, so that a later top-k per candidate still trims its
+    rows in the map tasks; after a join on the candidate there would be no such exchange.
     """
-    postings = jobs.select(*JOB_FIELDS).join(listed, "id")
-    return _pair(candidates, postings, ["candidate_id"])
+    asking = listed.join(candidates, "candidate_id")
+    return _pair(asking, jobs.select(*JOB_FIELDS), ["id"])
 
 
 def _pair(candidates: DataFrame, postings: DataFrame, on: list[str]) -> DataFrame:

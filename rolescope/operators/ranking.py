@@ -55,16 +55,16 @@ def batch_numbers(postings: DataFrame, size: int = BATCH_SIZE, position: str | N
     return numbered.withColumn("batch_id", F.floor((F.col("_number") - 1) / size).cast("int")).drop("_number")
 
 
-def assign_ids(target: DataFrame, merged: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """Surrogate ids: a known key keeps its id, new keys are numbered on from the highest id, in key order.
+def assign_ids(target: DataFrame, source: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """Give the new keys of ``source`` an ``id``, numbered on from the target's highest in key order.
 
-    Only new rows are ranked; the highest id enters as a scalar subquery.
+    Known keys get NULL: their stored id survives the upsert. Only the key columns of new rows are
+    ranked; the highest id enters as a scalar subquery.
     """
-    known = merged.where("id IS NOT NULL")
-    new = row_numbers(merged.where("id IS NULL").drop("id"), [], keys, "_number")
+    new = source.select(*keys).join(target.select(*keys), keys, "left_anti")
     highest = target.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
-    numbered = new.withColumn("id", (F.col("_number") + highest).cast("int")).drop("_number")
-    return known.unionByName(numbered.select(*known.columns))
+    numbered = row_numbers(new, [], keys, "_number").withColumn("id", (F.col("_number") + highest).cast("int"))
+    return source.join(numbered.drop("_number"), keys, "left")
 
 
 def deep_page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:

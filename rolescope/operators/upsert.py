@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import EXTRACTED_ARRAYS, EXTRACTED_SCALARS, JOBS, KEY, PROFILE_KEY
+from ..schemas import EXTRACTED_ARRAYS, EXTRACTED_SCALARS, KEY, PROFILE_KEY
+from .ranking import assign_ids
 
 # What a conflict replaces; everything else of a stored row survives.
 SCRAPED_COLUMNS = ["title", "url", "location", "raw_description"]
@@ -57,9 +58,15 @@ def dedupe_postings(postings: DataFrame) -> DataFrame:
     return latest_by_key(postings, KEY, ["scraped_at", "file", "pos"], first=("scraped_at",))
 
 
-def upsert_scraped(jobs: DataFrame, postings: DataFrame) -> DataFrame:
-    """Merge scraped postings: a known posting keeps its extracted fields and its first ``scraped_at``."""
-    return upsert(jobs, dedupe_postings(postings), KEY, SCRAPED_COLUMNS, ("scraped_at",))
+def upsert_scraped(jobs: DataFrame, postings: DataFrame, number: bool = False) -> DataFrame:
+    """Merge scraped postings: a known posting keeps its extracted fields and its first ``scraped_at``.
+
+    With ``number`` new postings get ids, numbered on from the highest.
+    """
+    source = dedupe_postings(postings)
+    if number:
+        return upsert(jobs, assign_ids(jobs, source), KEY, SCRAPED_COLUMNS, ("scraped_at", "id"))
+    return upsert(jobs, source, KEY, SCRAPED_COLUMNS, ("scraped_at",))
 
 
 def upsert_parsed(jobs: DataFrame, extracted: DataFrame) -> DataFrame:
@@ -73,7 +80,3 @@ def upsert_profiles(profiles: DataFrame, source: DataFrame) -> DataFrame:
     """Merge company profiles; all columns are replaced, ``analyzed_at`` included."""
     replaced = [c for c in profiles.columns if c not in PROFILE_KEY and c != "id"]
     return upsert(profiles, source, PROFILE_KEY, replaced)
-
-
-def empty_jobs(spark) -> DataFrame:
-    return spark.createDataFrame([], JOBS)

@@ -8,13 +8,16 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Runtime settings every job here relies on. AQE splits hot join keys, also where the split costs
-# one more exchange, and merges small shuffle partitions.
+# one more exchange, and merges small shuffle partitions. Arrow batches are bounded by size, as one row may
+# hold a long text. JSON objects may repeat a key; the last one counts.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

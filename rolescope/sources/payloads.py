@@ -131,25 +131,27 @@ def parse_payloads(payloads: DataFrame, details: DataFrame | None = None) -> Dat
     return first
 
 
+def payload_error() -> Column:
+    """Why a payload is kept out: an unknown system, or text that is not JSON; else NULL."""
+    known = F.coalesce(F.col("ats").isin(*FEEDS), F.lit(False))
+    unknown = F.concat(F.lit(UNKNOWN_ATS), F.coalesce("ats", F.lit("")))
+    return F.when(~known, unknown).when(F.try_parse_json("raw").isNull(), F.lit(BAD_PAYLOAD))
+
+
 def payload_errors(payloads: DataFrame) -> DataFrame:
-    """Payloads that are kept out: an unknown system, or text that is not JSON."""
-    known = F.col("ats").isin(*FEEDS)
-    error = F.when(~F.coalesce(known, F.lit(False)), F.concat(F.lit(UNKNOWN_ATS), F.coalesce("ats", F.lit("")))).when(
-        F.try_parse_json("raw").isNull(), F.lit(BAD_PAYLOAD)
-    )
-    return payloads.withColumn("error", error).where("error IS NOT NULL").drop("raw")
+    return payloads.withColumn("error", payload_error()).where("error IS NOT NULL").drop("raw")
 
 
 def scrape_counts(payloads: DataFrame, records: DataFrame) -> DataFrame:
-    """Per company: postings, and postings with a description; a company without postings counts 0.
+    """Per company: postings, and postings with a description. A company without postings counts 0;
+    one with a failed payload is left out.
 
     Both sides are reduced to one row per company before they meet.
     """
-    companies = payloads.join(
-        payload_errors(payloads).select("ats", "slug").distinct(), ["ats", "slug"], "left_anti"
-    ).select("ats", "slug").distinct()
+    companies = payloads.groupBy("ats", "slug").agg(F.count(payload_error()).alias("failed")).where("failed = 0")
     counts = records.groupBy("ats", "slug").agg(
         F.count("*").alias("jobs_count"),
         F.count_if(F.length("description") > 0).alias("jobs_with_description"),
     )
-    return companies.join(counts, ["ats", "slug"], "left").na.fill(0, ["jobs_count", "jobs_with_description"])
+    counted = companies.drop("failed").join(counts, ["ats", "slug"], "left")
+    return counted.na.fill(0, ["jobs_count", "jobs_with_description"])

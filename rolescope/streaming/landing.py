@@ -10,19 +10,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType, StringType, IntegerType, TimestampNTZType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType
 
-from ..operators.upsert import dedupe_postings, latest_by_key, upsert
-from ..operators.upsert import SCRAPED_COLUMNS
+from ..operators.upsert import SCRAPED_COLUMNS, dedupe_postings, latest_by_key, upsert
 from ..schemas import KEY, SCRAPED_FILE
 from ..sources.files import postings_of
 
+_TEXTS = ("job_id", "company", "ats", "title", "url", "location", "raw_description")
+# ``batch`` is the folder a micro-batch wrote, so readers prune by it.
 _CHANGES = StructType([
-    *[StructField(n, StringType()) for n in ("job_id", "company", "ats", "title", "url", "location", "raw_description")],
+    *[StructField(name, StringType()) for name in _TEXTS],
     StructField("scraped_at", TimestampNTZType()),
     StructField("file", StringType()),
     StructField("pos", IntegerType()),
-    StructField("arrival", LongType()),
+    StructField("batch", LongType()),
 ])
 
 
@@ -54,8 +55,7 @@ def drain_changes(postings: DataFrame, log: str, checkpoint: str) -> None:
     """
 
     def append(batch: DataFrame, number: int) -> None:
-        changes = dedupe_postings(batch).withColumn("arrival", F.lit(number).cast("bigint"))
-        changes.write.mode("overwrite").parquet(f"{log}/batch={number:012d}")
+        dedupe_postings(batch).write.mode("overwrite").parquet(f"{log}/batch={number}")
 
     query = (
         postings.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
@@ -64,15 +64,17 @@ def drain_changes(postings: DataFrame, log: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def merged_jobs(jobs: DataFrame, log: str) -> DataFrame:
-    """The jobs table with the change log merged in; the later arrival wins."""
-    spark = jobs.sparkSession
-    changes = spark.read.schema(_CHANGES).option("recursiveFileLookup", True).parquet(log)
-    latest = latest_by_key(changes, KEY, ["arrival", "scraped_at", "file", "pos"], first=("scraped_at",))
+def merged_jobs(jobs: DataFrame, log: str, after: int = -1) -> DataFrame:
+    """The jobs table with the change log merged in; the later arrival wins.
+
+    ``after`` is the last batch the table already holds; older folders are not read.
+    """
+    changes = jobs.sparkSession.read.schema(_CHANGES).parquet(log).where(F.col("batch") > after)
+    latest = latest_by_key(changes, KEY, ["batch", "scraped_at", "file", "pos"], first=("scraped_at",))
     return upsert(jobs, latest, KEY, SCRAPED_COLUMNS, ("scraped_at",))
 
 
-def compact(jobs: DataFrame, log: str, out: str) -> None:
+def compact(jobs: DataFrame, log: str, out: str, after: int = -1) -> None:
     """Write the merged table to a new path, laid out for pruning by system and company."""
-    merged = merged_jobs(jobs, log).hint("rebalance", F.col("ats"))
+    merged = merged_jobs(jobs, log, after).hint("rebalance", F.col("ats"))
     merged.sortWithinPartitions("ats", "company").write.partitionBy("ats").mode("errorifexists").parquet(out)

@@ -36,7 +36,8 @@ def length_model():
     FROM (SELECT doc_id, doc_id % 7 < 4 AS found, (['Engineering', 'Sales', 'Product', 'Gardening'])[CAST(doc_id % 4 + 1 AS INT)] AS department FROM documents)""")
 def salvage(spark, sf):
     replies = responses_v(spark, sf).withColumn("json", salvage_json(F.col("reply")))
-    fields = reply_fields(F.col("json"))
+    replies = replies.withColumn("value", F.try_parse_json("json"))
+    fields = reply_fields(F.col("value"))
     return replies.select(
         "job_id", F.col("json").isNotNull().alias("found"), fields["department"].alias("department"),
         fields["salary_min"].alias("salary_min"), F.array_join(fields["tech_stack"], "|").alias("tech_stack"),
@@ -63,5 +64,6 @@ def extract_jobs(spark, sf):
     FROM documents GROUP BY 1""")
 def extract_quality(spark, sf):
     replies = responses_v(spark, sf).join(scraped_v(spark, sf).select("job_id", "ats"), "job_id")
-    fields = reply_fields(salvage_json(F.col("reply")))
+    replies = replies.withColumn("value", F.try_parse_json(salvage_json(F.col("reply"))))
+    fields = reply_fields(F.col("value"))
     return quality.extract_quality(replies.select("ats", *[fields[c].alias(c) for c in ("department", "seniority", "remote_policy")]))

@@ -173,9 +173,8 @@ def upsert_parsed(spark, sf):
     UNION ALL SELECT ats, company, job_id, CAST((SELECT max(id) FROM jobs_v) + row_number() OVER (ORDER BY ats, company, job_id) AS INT)
     FROM merged WHERE id IS NULL""")
 def assign_ids(spark, sf):
-    jobs = jobs_v(spark, sf)
-    merged = upsert.upsert_scraped(jobs, _scraped_changes(spark, sf)).select("id", *KEY)
-    return ranking.assign_ids(jobs, merged).select(*KEY, "id")
+    merged = upsert.upsert_scraped(jobs_v(spark, sf), _scraped_changes(spark, sf), number=True)
+    return merged.select(*KEY, "id")
 
 
 @register("upsert_profiles", using("jobs_v", "changes_v").rstrip() + "," + PROFILES_SQL.rstrip() + """,
