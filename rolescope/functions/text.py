@@ -16,15 +16,16 @@ WHITESPACE = (
 )
 
 # One left-to-right pass, so that a comment inside a script (or the reverse) is settled by whichever
-# opens first. The syntax is common to java.util.regex and RE2.
+# opens first. Everything starts with the one literal "<", and the attribute loop is possessive: it runs
+# without recursion, however long the text behind an unclosed tag is.
 MARKUP = (
-    r"(?is)<!--.*?-->"
-    r"|<script\b[^>]*>.*?(?:</script\s*>|\z)"
-    r"|<style\b[^>]*>.*?(?:</style\s*>|\z)"
-    r"|<noscript\b[^>]*>.*?(?:</noscript\s*>|\z)"
-    r"|</?[a-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
-    r"|</?[a-z][^>]*>"
-    r"|<[!?/][^>]*>"
+    r"(?is)<(?:!--.*?-->"
+    r"|script\b[^>]*>.*?(?:</script\s*>|\z)"
+    r"|style\b[^>]*>.*?(?:</style\s*>|\z)"
+    r"|noscript\b[^>]*>.*?(?:</noscript\s*>|\z)"
+    r"|/?[a-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+    r"|/?[a-z][^>]*>"
+    r"|[!?/][^>]*>)"
 )
 TAG = r"<[^>]+>"
 FENCE = "```"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.replies import is_empty_object, reply_fields, salvage_json
-from ..functions.terms import normalize_skills, normalize_tech_stack
+from ..functions.terms import no_terms, normalize_skills, normalize_tech_stack
 from ..functions.text import extraction_prompt, has_text, truncate
 from ..schemas import (
     BAD_REPLY,
@@ -117,3 +117,10 @@ def extract_jobs(
     names = [*EXTRACTED_SCALARS, *EXTRACTED_ARRAYS]
     passed = [c for c in postings.columns if c not in (*names, "description")]
     return parsed.select(*passed, *[fields[n].alias(n) for n in names], "error")
+
+
+def upsert_rows(extracted: DataFrame, parsed_at: Column) -> DataFrame:
+    """The successful rows of ``extract_jobs``, ready for ``upsert_parsed``: absent lists empty, stamped."""
+    rows = extracted.where("error IS NULL").drop("error")
+    stamped = rows.withColumns({n: F.coalesce(n, no_terms()) for n in EXTRACTED_ARRAYS} | {"parsed_at": parsed_at})
+    return stamped.withColumns({"file": F.lit(""), "pos": F.lit(0)})

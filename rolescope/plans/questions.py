@@ -7,20 +7,25 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import contains_text, one_tech
 from .reports import AI_TERMS
+from .search import format_jobs
 
 LIMIT = 20
 
 
-def run_sql(spark: SparkSession, sql: str, jobs: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+def run_sql(
+    spark: SparkSession, sql: str, jobs: DataFrame, profiles: DataFrame | None = None, padded: bool = False
+) -> DataFrame:
     """Rows of one SELECT over the views ``jobs`` and ``company_profiles``.
 
-    The text runs as a subquery, so Spark itself refuses anything that is not a single query.
+    The text runs as a subquery, so Spark itself refuses anything that is not a single query. With
+    ``padded`` the answer has all output columns of a posting.
     """
     jobs.createOrReplaceTempView("jobs")
     if profiles is not None:
         profiles.createOrReplaceTempView("company_profiles")
     query = sql.strip().rstrip(";")
-    return spark.sql(f"SELECT * FROM (\n{query}\n) AS answer")
+    answer = spark.sql(f"SELECT * FROM (\n{query}\n) AS answer")
+    return format_jobs(answer) if padded else answer
 
 
 def _first(rows: DataFrame, order: list[str], limit: int | None) -> DataFrame:

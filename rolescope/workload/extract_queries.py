@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.replies import reply_fields, salvage_json
-from ..operators import extract, quality
+from ..functions.terms import TECH
+from ..operators import extract, quality, rules
+from ..schemas import SENIORITIES
 from .registry import register
+from .terms_sql import TECH_MAP
 from .text_queries import PROMPT_SQL
-from .views import responses_v, scraped_v
-from .views_sql import using
+from .views import jobs_v, responses_v, scraped_v
+from .views_sql import literals, using
 
 
 def length_model():
@@ -67,3 +70,29 @@ def extract_quality(spark, sf):
     replies = replies.withColumn("value", F.try_parse_json(salvage_json(F.col("reply"))))
     fields = reply_fields(F.col("value"))
     return quality.extract_quality(replies.select("ats", *[fields[c].alias(c) for c in ("department", "seniority", "remote_policy")]))
+
+
+_TITLE = "concat_ws(' ', seniority, title)"
+_ADVERT = """concat_ws(' ', concat('Our stack: ', {join}(tech_stack, ', '), '.'),
+    concat('Pay from $', CAST(salary_min AS {text}), '.'), concat('Up to ', CAST(salary_max AS {text}), '!'), concat(CAST(experience_years AS {text}), '+ years.'),
+    CASE remote_policy WHEN 'Remote' THEN 'Fully REMOTE.' WHEN 'Hybrid' THEN '(hybrid)' END, 'Machine learning, Power BI and .NET are a plus')"""
+_GRAMS = " ".join(["list_concat(words,", ", ".join(
+    f"list_transform(range(1, len(words) - {n - 2}), lambda i: array_to_string(words[i:i + {n - 1}], ' '))" for n in (2, 3)), ")"])
+
+
+@register("extract_rules", using("jobs_v").rstrip() + f""", adverts AS (SELECT id, {_TITLE} AS advert_title, {_ADVERT.format(join='array_to_string', text='VARCHAR')} AS description FROM jobs_v),
+    parts AS (SELECT *, list_filter(list_transform(regexp_split_to_array(lower(description), '{rules.WORD_BREAK}'), lambda w: rtrim(w, './-')), lambda w: w <> '') AS words,
+        list_transform(regexp_extract_all(description, '{rules.PAY}'), lambda d: CAST(regexp_replace(d, '[$,]', '', 'g') AS INT)) AS pay FROM adverts),
+    grams AS (SELECT *, {_GRAMS} AS spellings FROM parts)
+    SELECT id, array_to_string(list_sort(list_distinct(list_transform(list_filter({literals(TECH)}, lambda k: list_contains(spellings, k)), lambda k: {TECH_MAP}[k]))), '|') AS tech_stack,
+        list_min(pay) AS salary_min, list_max(pay) AS salary_max, TRY_CAST(nullif(regexp_extract(lower(description), '{rules.YEARS}', 1), '') AS INT) AS experience_years,
+        CASE WHEN description ILIKE '%remote%' THEN 'Remote' WHEN description ILIKE '%hybrid%' THEN 'Hybrid' ELSE 'Unknown' END AS remote_policy,
+        ({literals(SENIORITIES)})[list_position({literals(s.lower() for s in SENIORITIES)}, lower(regexp_extract(advert_title, '{rules.LEVEL}', 1)))] AS seniority
+    FROM grams""")
+def extract_rules(spark, sf):
+    text = _ADVERT.format(join="array_join", text="STRING")
+    found = rules.extract_by_rules(jobs_v(spark, sf).selectExpr("id", f"{_TITLE} AS title", f"{text} AS description"))
+    return found.select(
+        "id", F.array_join("tech_stack", "|").alias("tech_stack"), "salary_min", "salary_max", "experience_years",
+        "remote_policy", "seniority",
+    )

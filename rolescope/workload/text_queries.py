@@ -53,8 +53,12 @@ def _decoded(column: str) -> str:
     return column
 
 
+# RE2 never backtracks and has no possessive quantifiers.
+_MARKUP = literal(text.MARKUP.replace("++", "+").replace("*+", "*"))
+
+
 def _visible(column: str) -> str:
-    stripped = f"regexp_replace({column}, {literal(text.MARKUP)}, chr(10), 'g')"
+    stripped = f"regexp_replace({column}, {_MARKUP}, chr(10), 'g')"
     lines = f"list_transform(string_split({_decoded(stripped)}, chr(10)), lambda line: trim(line, {_WS}))"
     return f"coalesce(array_to_string(list_filter({lines}, lambda line: line <> ''), chr(10)), '')"
 
