@@ -14,8 +14,18 @@ JSON_FENCE = r"(?s)```json\s*(.*?)\s*```"
 ANY_FENCE = r"(?s)```\s*(.*?)\s*```"
 
 
+def strict_json(text: Column) -> Column:
+    """The text as one JSON value, NULL if it is not JSON or has more text behind the value.
+
+    The parser stops after the first value, so the text is parsed as the only item of a list.
+    """
+    items = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = F.try_variant_get(items, "$[1]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(items, "$[0]", "variant"))
+
+
 def _is_object(text: Column) -> Column:
-    return text.startswith("{") & text.endswith("}") & F.try_parse_json(text).isNotNull()
+    return text.startswith("{") & text.endswith("}") & strict_json(text).isNotNull()
 
 
 def salvage_json(reply: Column) -> Column:
@@ -44,7 +54,7 @@ def match_reply(reply: Column) -> Column:
     """The match list of a reply, or NULL if it is not a JSON list of objects."""
     text = strip_fence(reply)
     is_list = text.startswith("[") & text.endswith("]")
-    items = F.try_variant_get(F.when(is_list, F.try_parse_json(text)), "$", "array<variant>")
+    items = F.try_variant_get(strict_json(F.when(is_list, text)), "$", "array<variant>")
 
     def item(v: Column) -> Column:
         return F.struct(

@@ -13,6 +13,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.replies import strict_json
 from ..functions.text import clean_description, clean_html
 from ..schemas import BAD_PAYLOAD, UNKNOWN_ATS
 
@@ -77,7 +78,7 @@ def parse_feed(payloads: DataFrame, ats: str) -> DataFrame:
     posting = F.col("posting")
     exploded = payloads.where(F.col("ats") == ats).select(
         "ats", "slug",
-        F.explode(F.try_variant_get(F.try_parse_json("raw"), feed.postings, "array<variant>")).alias("posting"),
+        F.explode(F.try_variant_get(strict_json(F.col("raw")), feed.postings, "array<variant>")).alias("posting"),
     )
     description = F.lit("") if feed.description is None else feed.description(F.col("slug"), posting)
     mapped = exploded.select(
@@ -95,7 +96,7 @@ def parse_feed(payloads: DataFrame, ats: str) -> DataFrame:
 
 def section_text(detail: Column) -> Column:
     """The description in a posting's detail document: titled sections in fixed order."""
-    value = F.try_parse_json(detail)
+    value = strict_json(detail)
     parts = []
     for name in SECTIONS:
         title = F.try_variant_get(value, f"$.jobAd.sections.{name}.title", "string")
@@ -135,7 +136,7 @@ def payload_error() -> Column:
     """Why a payload is kept out: an unknown system, or text that is not JSON; else NULL."""
     known = F.coalesce(F.col("ats").isin(*FEEDS), F.lit(False))
     unknown = F.concat(F.lit(UNKNOWN_ATS), F.coalesce("ats", F.lit("")))
-    return F.when(~known, unknown).when(F.try_parse_json("raw").isNull(), F.lit(BAD_PAYLOAD))
+    return F.when(~known, unknown).when(strict_json(F.col("raw")).isNull(), F.lit(BAD_PAYLOAD))
 
 
 def payload_errors(payloads: DataFrame) -> DataFrame:
