@@ -126,10 +126,9 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     scored = skill_overlap(pairs)
     needed = F.size("required")
     skills = F.when(needed > 0, F.size("matching_skills") / needed).otherwise(0.0)
-    own, asked = level_rank(F.col("candidate_level")), level_rank(F.col("seniority"))
-    level = F.coalesce(1 - F.least(F.abs(own - asked), F.lit(5)) / 5, F.lit(0.5))
+    step = level_rank(F.col("seniority")) - level_rank(F.col("candidate_level"))
+    level = F.when(step.isNull(), 0.5).otherwise(1 - F.least(F.abs(step), F.lit(5)) / 5)
     domain = F.when(F.col("candidate_department") == F.col("department"), 1.0).otherwise(0.0)
-    step = asked - own
     potential = F.when(step.isNull(), 0.5).when(step.between(0, 1), 1.0).otherwise(0.0)
     total = 100 * (0.4 * skills + 0.3 * level + 0.2 * domain + 0.1 * potential)
     return scored.withColumn("match_score", F.floor(total + 1e-9).cast("int"))

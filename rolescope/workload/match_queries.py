@@ -47,7 +47,7 @@ _SCORED = f""", required_terms AS (
             {_rank('seniority')} - ({_rank('candidate_level')}) AS step FROM required_terms),
     scored AS (
         SELECT *, CAST(floor(100 * (0.4::DOUBLE * CASE WHEN len(required) > 0 THEN len(matching_skills)::DOUBLE / len(required) ELSE 0 END
-            + 0.3::DOUBLE * coalesce(1 - least(abs(step), 5)::DOUBLE / 5, 0.5) + 0.2::DOUBLE * CASE WHEN candidate_department = department THEN 1 ELSE 0 END
+            + 0.3::DOUBLE * CASE WHEN step IS NULL THEN 0.5 ELSE 1 - least(abs(step), 5)::DOUBLE / 5 END + 0.2::DOUBLE * CASE WHEN candidate_department = department THEN 1 ELSE 0 END
             + 0.1::DOUBLE * CASE WHEN step IS NULL THEN 0.5 WHEN step BETWEEN 0 AND 1 THEN 1 ELSE 0 END) + 1e-9) AS INT) AS match_score FROM compared),
     best AS (SELECT *, CAST(row_number() OVER (PARTITION BY candidate_id ORDER BY match_score DESC, id) AS INT) AS rank FROM scored)
 """
