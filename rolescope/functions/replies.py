@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import EXTRACTED_ARRAYS, EXTRACTED_SCALARS, MATCH_REPLY
+from ..schemas import EXTRACTED_ARRAYS, EXTRACTED_SCALARS, MATCH_FIELDS
 from .text import strip, strip_fence
 
 # Objects with one nested level. Possessive, so the scan stays linear on long replies.
@@ -14,18 +14,21 @@ JSON_FENCE = r"(?s)```json\s*(.*?)\s*```"
 ANY_FENCE = r"(?s)```\s*(.*?)\s*```"
 
 
-def strict_json(text: Column) -> Column:
-    """The text as one JSON value, NULL if it is not JSON or has more text behind the value.
+def wrapped_json(text: Column) -> Column:
+    """The text parsed as the first item of a list that ends in 0.
 
-    The parser stops after the first value, so the text is parsed as the only item of a list.
+    The parser stops after one value and lets any text follow. Wrapped, the 0 is in second place only if
+    the text is exactly one JSON value: one parse both checks and reads it, under the path ``$[0]``.
     """
-    items = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    alone = F.try_variant_get(items, "$[1]", "variant").isNull()
-    return F.when(alone, F.try_variant_get(items, "$[0]", "variant"))
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(",0]")))
+
+
+def is_one_value(wrapped: Column) -> Column:
+    return F.coalesce(F.try_variant_get(wrapped, "$[1]", "int") == 0, F.lit(False))
 
 
 def _is_object(text: Column) -> Column:
-    return text.startswith("{") & text.endswith("}") & strict_json(text).isNotNull()
+    return text.startswith("{") & text.endswith("}") & is_one_value(wrapped_json(text))
 
 
 def salvage_json(reply: Column) -> Column:
@@ -50,19 +53,24 @@ def is_empty_object(json_text: Column) -> Column:
     return F.json_object_keys(json_text) == F.array().cast("array<string>")
 
 
-def match_reply(reply: Column) -> Column:
-    """The match list of a reply, or NULL if it is not a JSON list of objects."""
-    text = strip_fence(reply)
-    is_list = text.startswith("[") & text.endswith("]")
-    items = F.try_variant_get(strict_json(F.when(is_list, text)), "$", "array<variant>")
+def parse_matches(replies: DataFrame, reply: str = "reply") -> DataFrame:
+    """The matches in model replies, one row each, beside the other columns; see ``match_errors`` for the rest."""
+    parsed = _with_match_list(replies, reply)
+    listed = parsed.select(*_others(replies, reply), F.explode("_items").alias("_item"))
+    fields = {name: F.try_variant_get("_item", f"$.{name}", kind).alias(name) for name, kind in MATCH_FIELDS.items()}
+    return listed.select(*_others(replies, reply), *fields.values())
+
+
+def match_errors(replies: DataFrame, reply: str = "reply") -> DataFrame:
+    """Replies that are not a JSON list."""
+    return _with_match_list(replies, reply).where("_items IS NULL").select(*replies.columns)
+
+
+def _others(rows: DataFrame, column: str) -> list[str]:
+    return [c for c in rows.columns if c != column]
 
-    def item(v: Column) -> Column:
-        return F.struct(
-            F.try_variant_get(v, "$.job_id", "int").alias("job_id"),
-            F.try_variant_get(v, "$.match_score", "int").alias("match_score"),
-            F.try_variant_get(v, "$.matching_skills", "array<string>").alias("matching_skills"),
-            F.try_variant_get(v, "$.missing_skills", "array<string>").alias("missing_skills"),
-            F.try_variant_get(v, "$.summary", "string").alias("summary"),
-        )
 
-    return F.transform(items, item).cast(MATCH_REPLY)
+def _with_match_list(replies: DataFrame, reply: str) -> DataFrame:
+    parsed = replies.withColumn("_json", wrapped_json(strip_fence(F.col(reply))))
+    items = F.when(is_one_value(F.col("_json")), F.try_variant_get("_json", "$[0]", "array<variant>"))
+    return parsed.withColumn("_items", items)

@@ -28,7 +28,8 @@ MARKUP = (
     r"|[!?/][^>]*>)"
 )
 TAG = r"<[^>]+>"
-FENCE = "```"
+# The body of a fenced block; no body if the closing fence follows the first line at once.
+FENCED = r"(?s)\A```[^\n]*(?:\n```|\n(.*?)(?:\n```)?)?\z"
 
 
 def strip(col: Column) -> Column:
@@ -84,10 +85,7 @@ def has_text(col: Column) -> Column:
 def strip_fence(col: Column) -> Column:
     """Drop the first line of a fenced block, and the last line if it is exactly the fence."""
     text = strip(col)
-    lines = F.split(text, "\n")
-    closed = F.element_at(lines, -1) == FENCE
-    kept = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - F.when(closed, 2).otherwise(1), F.lit(0)))
-    return F.when(text.startswith(FENCE), F.array_join(kept, "\n")).otherwise(text)
+    return F.when(text.startswith("```"), F.regexp_extract(text, FENCED, 1)).otherwise(text)
 
 
 def terminate_sql(col: Column) -> Column:

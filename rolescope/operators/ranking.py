@@ -51,20 +51,20 @@ def batch_numbers(postings: DataFrame, size: int = BATCH_SIZE, position: str | N
     """
     if position is not None:
         return postings.withColumn("batch_id", F.floor(F.col(position) / size).cast("int"))
-    numbered = row_numbers(postings, ["ats", "company"], ["job_id"], "_number")
+    numbered = row_numbers(postings, ["company", "ats"], ["job_id"], "_number")
     return numbered.withColumn("batch_id", F.floor((F.col("_number") - 1) / size).cast("int")).drop("_number")
 
 
-def assign_ids(target: DataFrame, source: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """Give the new keys of ``source`` an ``id``, numbered on from the target's highest in key order.
+def assign_ids(target: DataFrame, source: DataFrame, order: tuple[str, ...] = ("ats", "company", "job_id")) -> DataFrame:
+    """Give the new keys of ``source`` an ``id``, numbered on from the target's highest in the given order.
 
     Known keys get NULL: their stored id survives the upsert. Only the key columns of new rows are
     ranked; the highest id enters as a scalar subquery.
     """
-    new = source.select(*keys).join(target.select(*keys), keys, "left_anti")
+    new = source.select(*KEY).join(target.select(*KEY), KEY, "left_anti")
     highest = target.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
-    numbered = row_numbers(new, [], keys, "_number").withColumn("id", (F.col("_number") + highest).cast("int"))
-    return source.join(numbered.drop("_number"), keys, "left")
+    numbered = row_numbers(new, [], list(order), "_number").withColumn("id", (F.col("_number") + highest).cast("int"))
+    return source.join(numbered.drop("_number"), KEY, "left")
 
 
 def deep_page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:

@@ -8,8 +8,9 @@ _STR, _INT, _LONG, _DOUBLE = T.StringType(), T.IntegerType(), T.LongType(), T.Do
 _STRS = T.ArrayType(_STR)
 
 # Column names, enumerations and messages users' queries depend on.
-KEY = ["ats", "company", "job_id"]
-PROFILE_KEY = ["ats", "company"]
+# Most selective first: sorts compare a prefix of the first key before anything else.
+KEY = ["job_id", "company", "ats"]
+PROFILE_KEY = ["company", "ats"]
 JOB_FIELDS = [
     "id", "job_id", "company", "ats", "title", "location", "department", "seniority",
     "tech_stack", "skills", "pain_points", "remote_policy", "salary_min", "salary_max",
@@ -113,7 +114,7 @@ PROFILE_FILE = T.StructType([
     T.StructField("hiring_signals", _STRS),
 ])
 
-MATCH_REPLY = (
-    "array<struct<job_id:int,match_score:int,matching_skills:array<string>,"
-    "missing_skills:array<string>,summary:string>>"
-)
+MATCH_FIELDS = {
+    "job_id": "int", "match_score": "int", "matching_skills": "array<string>", "missing_skills": "array<string>",
+    "summary": "string",
+}

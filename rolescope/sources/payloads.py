@@ -13,7 +13,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.replies import strict_json
+from ..functions.replies import is_one_value, wrapped_json
 from ..functions.text import clean_description, clean_html
 from ..schemas import BAD_PAYLOAD, UNKNOWN_ATS
 
@@ -76,10 +76,10 @@ def parse_feed(payloads: DataFrame, ats: str) -> DataFrame:
     """Postings of one system; a payload that does not parse, or has no list, gives no rows."""
     feed = FEEDS[ats]
     posting = F.col("posting")
-    exploded = payloads.where(F.col("ats") == ats).select(
-        "ats", "slug",
-        F.explode(F.try_variant_get(strict_json(F.col("raw")), feed.postings, "array<variant>")).alias("posting"),
-    )
+    # Parsed in a column of its own, so that checking and reading share one parse.
+    parsed = payloads.where(F.col("ats") == ats).withColumn("_json", wrapped_json(F.col("raw")))
+    listed = F.try_variant_get("_json", "$[0]" + feed.postings.removeprefix("$"), "array<variant>")
+    exploded = parsed.where(is_one_value(F.col("_json"))).select("ats", "slug", F.explode(listed).alias("posting"))
     description = F.lit("") if feed.description is None else feed.description(F.col("slug"), posting)
     mapped = exploded.select(
         "ats", "slug",
@@ -95,12 +95,11 @@ def parse_feed(payloads: DataFrame, ats: str) -> DataFrame:
 
 
 def section_text(detail: Column) -> Column:
-    """The description in a posting's detail document: titled sections in fixed order."""
-    value = strict_json(detail)
+    """The description in a posting's parsed detail document: titled sections in fixed order."""
     parts = []
     for name in SECTIONS:
-        title = F.try_variant_get(value, f"$.jobAd.sections.{name}.title", "string")
-        text = F.try_variant_get(value, f"$.jobAd.sections.{name}.text", "string")
+        title = F.try_variant_get(detail, f"$[0].jobAd.sections.{name}.title", "string")
+        text = F.try_variant_get(detail, f"$[0].jobAd.sections.{name}.text", "string")
         heading = F.when(title != "", F.concat(F.lit("## "), title))
         parts.append(F.when(text != "", F.concat_ws("\n\n", heading, clean_html(text))))
     return F.concat_ws("\n\n", *parts)
@@ -112,10 +111,11 @@ def with_sections(postings: DataFrame, details: DataFrame) -> DataFrame:
     The detail side has one document per ``(slug, id)``, so the join adds no rows. Cleaning runs before
     the join: what is shuffled is text, not markup.
     """
-    cleaned = details.select("slug", "id", section_text(F.col("raw")).alias("section_text"))
+    parsed = details.withColumn("_json", wrapped_json(F.col("raw"))).where(is_one_value(F.col("_json")))
+    cleaned = parsed.select("slug", "id", section_text(F.col("_json")).alias("section_text"))
     return (
         postings.drop("description")
-        .join(cleaned, ["slug", "id"], "left")
+        .join(cleaned, ["id", "slug"], "left")
         .withColumn("description", F.coalesce("section_text", F.lit("")))
         .select(*RECORD)
     )
@@ -136,7 +136,7 @@ def payload_error() -> Column:
     """Why a payload is kept out: an unknown system, or text that is not JSON; else NULL."""
     known = F.coalesce(F.col("ats").isin(*FEEDS), F.lit(False))
     unknown = F.concat(F.lit(UNKNOWN_ATS), F.coalesce("ats", F.lit("")))
-    return F.when(~known, unknown).when(strict_json(F.col("raw")).isNull(), F.lit(BAD_PAYLOAD))
+    return F.when(~known, unknown).when(~is_one_value(wrapped_json(F.col("raw"))), F.lit(BAD_PAYLOAD))
 
 
 def payload_errors(payloads: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.replies import match_reply
+from ..functions.replies import match_errors, parse_matches
 from ..operators import matching
 from ..schemas import JOB_FIELDS, SENIORITIES
 from ..sources.files import resume_gate as gate
@@ -117,8 +117,7 @@ def match_bands(spark, sf):
 
 
 def _items(spark, sf):
-    replies = match_replies_v(spark, sf)
-    return replies.select("candidate_id", F.explode(match_reply(F.col("reply"))).alias("m")).select("candidate_id", "m.*")
+    return parse_matches(match_replies_v(spark, sf).select("candidate_id", "reply"))
 
 
 def _flat_items(rows):
@@ -130,6 +129,11 @@ def match_parse(spark, sf):
     return _flat_items(_items(spark, sf))
 
 
+@register("match_errors", "SELECT o_custkey AS candidate_id, o_orderkey FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 11 = 0")
+def match_parse_errors(spark, sf):
+    return match_errors(match_replies_v(spark, sf)).select("candidate_id", "o_orderkey")
+
+
 _POSTING_SQL = ", ".join(
     f"CASE WHEN j.id IS NOT NULL THEN coalesce(array_to_string(j.{f}, '|'), '') END AS {f}"
     if f in ("tech_stack", "skills", "pain_points") else f"j.{f}"

@@ -47,9 +47,9 @@ def canonical_terms(spark, sf):
 
 
 def _decoded(column: str) -> str:
-    """The entities the pages hold, decoded once."""
-    for entity, char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&middot;", "chr(183)"), ("&copy;", "chr(169)"), ("&amp;", "'&'")):
-        column = f"replace({column}, '{entity}', {char})"
+    """The entities the pages hold, decoded once; some lost their semicolon where a title was cut."""
+    for entity, char in (("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("middot", "chr(183)"), ("copy", "chr(169)"), ("amp", "'&'")):
+        column = f"regexp_replace({column}, '&{entity};?', {char}, 'g')"
     return column
 
 

@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from rolescope.functions.replies import match_reply, reply_fields, salvage_json
+from rolescope.functions.replies import match_errors, parse_matches, reply_fields, salvage_json
 
 OBJECT = '{"department": "Sales", "salary_min": "150000", "tech_stack": ["K8s", null], "x": {"y": 1}}'
 REPLIES = [
@@ -49,10 +49,11 @@ def test_fields_by_type(spark):
     assert (second.salary_min, second.salary_max, second.skills, second.department) == (None, 12, None, None)
 
 
-def test_match_reply(spark):
+def test_match_replies(spark):
     item = {"job_id": 1, "match_score": 90, "matching_skills": ["a"], "missing_skills": [], "summary": "ok"}
-    replies = [json.dumps([item]), f"```json\n{json.dumps([item, {'job_id': 2}])}\n```", "[broken", "{}", "[]", None]
-    rows = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, r string")
-    got = [r[1] for r in rows.select("i", match_reply(F.col("r"))).orderBy("i").collect()]
-    assert [None if g is None else [m.job_id for m in g] for g in got] == [[1], [1, 2], None, None, [], None]
-    assert got[1][1].match_score is None
+    replies = [json.dumps([item]), f"```json\n{json.dumps([item, {'job_id': 2}])}\n```", "[broken", "{}", "[]", None, "[1] and [2]"]
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, reply string")
+    got = parse_matches(rows).orderBy("i", "job_id").collect()
+    assert [(r.i, r.job_id, r.match_score, r.missing_skills, r.summary) for r in got] == [
+        (0, 1, 90, [], "ok"), (1, 1, 90, [], "ok"), (1, 2, None, None, None)]
+    assert sorted(r.i for r in match_errors(rows).collect()) == [2, 3, 5, 6]
