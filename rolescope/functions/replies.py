@@ -55,22 +55,24 @@ def is_empty_object(json_text: Column) -> Column:
 
 def parse_matches(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """The matches in model replies, one row each, beside the other columns; see ``match_errors`` for the rest."""
-    parsed = _with_match_list(replies, reply)
-    listed = parsed.select(*_others(replies, reply), F.explode("_items").alias("_item"))
-    fields = {name: F.try_variant_get("_item", f"$.{name}", kind).alias(name) for name, kind in MATCH_FIELDS.items()}
-    return listed.select(*_others(replies, reply), *fields.values())
+    others = [c for c in replies.columns if c != reply]
+    # The list is not a column of its own: Spark would filter on it, and so parse each reply again.
+    unfenced = replies.withColumn("_text", strip_fence(F.col(reply)))
+    listed = unfenced.select(*others, F.explode(_match_list(F.col("_text"))).alias("_item"))
+    # Numbers are read as text, so that 87.5 or "87" still counts.
+    fields = {
+        name: F.col(f"_item.{name}").try_cast("double").cast("int") if kind == "int" else F.col(f"_item.{name}")
+        for name, kind in MATCH_FIELDS.items()
+    }
+    return listed.where("_item IS NOT NULL").select(*others, *[c.alias(n) for n, c in fields.items()])
 
 
 def match_errors(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """Replies that are not a JSON list."""
-    return _with_match_list(replies, reply).where("_items IS NULL").select(*replies.columns)
+    return replies.where(_match_list(strip_fence(F.col(reply))).isNull())
 
 
-def _others(rows: DataFrame, column: str) -> list[str]:
-    return [c for c in rows.columns if c != column]
-
-
-def _with_match_list(replies: DataFrame, reply: str) -> DataFrame:
-    parsed = replies.withColumn("_json", wrapped_json(strip_fence(F.col(reply))))
-    items = F.when(is_one_value(F.col("_json")), F.try_variant_get("_json", "$[0]", "array<variant>"))
-    return parsed.withColumn("_items", items)
+def _match_list(text: Column) -> Column:
+    schema = ", ".join(f"{name}: {kind.replace('int', 'string')}" for name, kind in MATCH_FIELDS.items())
+    is_list = text.startswith("[") & text.endswith("]") & is_one_value(wrapped_json(text))
+    return F.when(is_list, F.from_json(text, f"array<struct<{schema}>>"))

@@ -76,10 +76,13 @@ def parse_feed(payloads: DataFrame, ats: str) -> DataFrame:
     """Postings of one system; a payload that does not parse, or has no list, gives no rows."""
     feed = FEEDS[ats]
     posting = F.col("posting")
-    # Parsed in a column of its own, so that checking and reading share one parse.
+    # Parsed in a column of its own and checked inside the generator: a filter would be moved below the
+    # parsing and parse each payload again.
     parsed = payloads.where(F.col("ats") == ats).withColumn("_json", wrapped_json(F.col("raw")))
     listed = F.try_variant_get("_json", "$[0]" + feed.postings.removeprefix("$"), "array<variant>")
-    exploded = parsed.where(is_one_value(F.col("_json"))).select("ats", "slug", F.explode(listed).alias("posting"))
+    exploded = parsed.select(
+        "ats", "slug", F.explode(F.when(is_one_value(F.col("_json")), listed)).alias("posting")
+    )
     description = F.lit("") if feed.description is None else feed.description(F.col("slug"), posting)
     mapped = exploded.select(
         "ats", "slug",
@@ -111,8 +114,9 @@ def with_sections(postings: DataFrame, details: DataFrame) -> DataFrame:
     The detail side has one document per ``(slug, id)``, so the join adds no rows. Cleaning runs before
     the join: what is shuffled is text, not markup.
     """
-    parsed = details.withColumn("_json", wrapped_json(F.col("raw"))).where(is_one_value(F.col("_json")))
-    cleaned = parsed.select("slug", "id", section_text(F.col("_json")).alias("section_text"))
+    parsed = details.withColumn("_json", wrapped_json(F.col("raw")))
+    valid = parsed.withColumn("_json", F.when(is_one_value(F.col("_json")), F.col("_json")))
+    cleaned = valid.select("slug", "id", section_text(F.col("_json")).alias("section_text"))
     return (
         postings.drop("description")
         .join(cleaned, ["id", "slug"], "left")

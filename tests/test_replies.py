@@ -51,9 +51,9 @@ def test_fields_by_type(spark):
 
 def test_match_replies(spark):
     item = {"job_id": 1, "match_score": 90, "matching_skills": ["a"], "missing_skills": [], "summary": "ok"}
-    replies = [json.dumps([item]), f"```json\n{json.dumps([item, {'job_id': 2}])}\n```", "[broken", "{}", "[]", None, "[1] and [2]"]
+    replies = [json.dumps([item]), f"```json\n{json.dumps([item, {'job_id': 2}])}\n```", "[broken", "{}", "[]", None, "[1] and [2]", '[{"job_id": "7", "match_score": 87.5, "summary": 3, "matching_skills": "x"}]']
     rows = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, reply string")
     got = parse_matches(rows).orderBy("i", "job_id").collect()
     assert [(r.i, r.job_id, r.match_score, r.missing_skills, r.summary) for r in got] == [
-        (0, 1, 90, [], "ok"), (1, 1, 90, [], "ok"), (1, 2, None, None, None)]
+        (0, 1, 90, [], "ok"), (1, 1, 90, [], "ok"), (1, 2, None, None, None), (7, 7, 87, None, "3")]
     assert sorted(r.i for r in match_errors(rows).collect()) == [2, 3, 5, 6]
