@@ -14,8 +14,8 @@ from ..functions.predicates import job_filters
 from ..functions.terms import no_terms, normalize_skills, normalize_tech_stack
 from ..functions.text import MIN_BLOCK, posting_block, truncate
 from ..schemas import JOB_FIELDS, MAX_POSTINGS_BLOCK, MAX_RESUME, SENIORITIES
+from ..session import stored
 
-SALTS = 16
 TOP = 10
 
 
@@ -37,18 +37,22 @@ def scope_by_filters(
     """Pairs of each candidate with the first ``limit`` postings (by id) that pass its filters.
 
     ``want_department`` and ``want_seniority`` of a candidate are its filters, NULL or '' for none.
-    Candidates with equal filters share a scope, so postings are ranked once per filter value. The
-    scope table, ``limit`` rows per filter value, is salted, for most candidates may want the same.
+    Candidates with equal filters share a scope, so postings are ranked once per filter value. The ids
+    and then the scopes, ``limit`` rows per filter value, are stored: knowing their size, Spark
+    reads the postings' fields and pairs the candidates by broadcast. Should there be too many filter
+    values for that, both joins shuffle, and AQE splits a scope that most want. Candidates are spread
+    before they fan out, by their id, so that a top-k of the pairs needs no further shuffle.
     """
     eligible = jobs.where(job_filters(query=query, query_columns=("title", "job_summary"), company=company))
-    scopes = _first_ids(eligible, limit).join(jobs.select(*JOB_FIELDS), "id")
-    salted = scopes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    ids = stored(_first_ids(eligible, limit), "scope-ids")
+    scopes = stored(ids.join(jobs.select(*JOB_FIELDS), "id"), "scopes")
     asking = candidates.withColumns({
         "scope_department": F.coalesce("want_department", F.lit("")),
         "scope_seniority": F.coalesce("want_seniority", F.lit("")),
-        "_salt": F.pmod(F.xxhash64("candidate_id"), F.lit(SALTS)).cast("int"),
     })
-    return _pair(asking, salted, ["scope_department", "scope_seniority", "_salt"])
+    partitions = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = asking.repartition(partitions, "candidate_id")
+    return _pair(spread, scopes, ["scope_department", "scope_seniority"])
 
 
 def _first_ids(jobs: DataFrame, limit: int) -> DataFrame:

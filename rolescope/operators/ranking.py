@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import BATCH_SIZE, KEY
-from ..session import shared_dir
+from ..session import stored
 
 
 def row_numbers(df: DataFrame, groups: list[str], order: list[str], name: str = "row_number") -> DataFrame:
@@ -17,18 +17,14 @@ def row_numbers(df: DataFrame, groups: list[str], order: list[str], name: str =
     A window would sort a whole group in one task. Here rows are range-partitioned on group and order,
     so a hot group spreads over many partitions; each row's place in its own partition comes
     with the sort, and only the row counts per (partition, group) are added up across partitions.
-    The sorted rows are checkpointed: both uses must see the same partition borders, also after an
-    executor is lost. ``order`` must tell all rows of a group apart.
+    The placed rows are written to a table in the shared folder: counting and numbering must see the same
+    partition borders, also after an executor is lost, and counting reads the key columns only.
+    ``order`` must tell all rows of a group apart.
     """
-    shared_dir(df.sparkSession)
     keys = [*groups, *order]
-    placed = (
-        df.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_place", F.monotonically_increasing_id())
-        .checkpoint()
-        .withColumn("_part", F.shiftright("_place", 33))
-    )
+    sorted_rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = stored(sorted_rows.withColumn("_place", F.monotonically_increasing_id()), "placed")
+    placed = placed.withColumn("_part", F.shiftright("_place", 33))
     # One row per (partition, group): at most partitions + groups rows, whatever the data size.
     counts = placed.groupBy("_part", *groups).agg(F.min("_place").alias("_first"), F.count("*").alias("_rows"))
     earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -160,14 +160,19 @@ def signal_ai_ml(jobs: DataFrame, normalized_tech: Column, least: int = 5) -> Da
     return hits.where(F.col("ai_ml_jobs") >= least)
 
 
-def scrape_summary(postings: DataFrame, description: str = "description") -> DataFrame:
+def scrape_summary(
+    postings: DataFrame, description: str = "description", companies: DataFrame | None = None
+) -> DataFrame:
     """Per system and in total: companies, postings, postings with a description, and their share.
 
-    Postings are counted per company first; the roll-up then works on one row per company.
+    Postings are counted per company first; the roll-up then works on one row per company. With
+    ``companies`` (``ats, company``, each once) those without postings are counted too.
     """
     per_company = postings.groupBy("ats", "company").agg(
         F.count("*").alias("n"), F.count_if(F.length(description) > 0).alias("filled")
     )
+    if companies is not None:
+        per_company = companies.join(per_company, ["ats", "company"], "left").na.fill(0, ["n", "filled"])
     rolled = per_company.rollup("ats").agg(
         F.grouping("ats").alias("is_total"),
         F.count("*").alias("companies"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every job here relies on. AQE splits hot join keys, also where the split costs
 # one more exchange, and merges small shuffle partitions. Arrow batches are bounded by size, as one row may
@@ -77,3 +77,14 @@ def shared_dir(spark: SparkSession) -> str:
 def new_work_dir(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder; nothing is created or removed here."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a result to a work table and read it back.
+
+    It is computed once and survives lost executors, later readers prune its columns, and the planner
+    knows its true size: a small table is broadcast, a large one is not.
+    """
+    path = new_work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

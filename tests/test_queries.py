@@ -40,12 +40,19 @@ def test_plans_hold_no_cross_join(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-@pytest.mark.parametrize("name", ["match_top10", "match_top10_listed", "match_prompts", "company_profiles"])
+@pytest.mark.parametrize("name", ["match_top10_listed", "match_prompts", "company_profiles"])
 def test_top_k_is_cut_before_the_shuffle(spark, name):
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
+def test_scoped_pairs_are_made_by_broadcast(spark):
+    """Candidates are shuffled once, as single rows; the pairs are ranked where they arise."""
+    plan = QUERIES["match_top10"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    pairs = plan[: plan.index("BroadcastHashJoin")]
+    assert "Exchange" not in pairs and "Window" in pairs
+
+
 def test_reports_read_only_what_they_need(spark):
     plan = QUERIES["hiring_signals"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in plan and "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint" in plan

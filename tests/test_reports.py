@@ -39,6 +39,9 @@ def test_summary_total_is_the_sum(spark):
     rows = spark.createDataFrame([("x", "a", "t"), ("x", "a", ""), ("x", "b", None), ("y", "a", "t")], "ats string, company string, description string")
     got = [(r.ats, r.companies, r.jobs, r.with_desc, r.rate) for r in reports.scrape_summary(rows).collect()]
     assert got == [("x", 2, 3, 1, 33.3), ("y", 1, 1, 1, 100.0), ("TOTAL", 3, 4, 2, 50.0)]
+    known = spark.createDataFrame([("x", "a"), ("x", "b"), ("y", "a"), ("z", "none")], "ats string, company string")
+    got = [(r.ats, r.companies, r.jobs, r.rate) for r in reports.scrape_summary(rows, companies=known).collect()]
+    assert got == [("x", 2, 3, 33.3), ("y", 1, 1, 100.0), ("z", 1, 0, 0.0), ("TOTAL", 4, 4, 50.0)]
 
 
 def test_profiles_keep_the_most_frequent_terms(jobs_from):
