@@ -1,6 +1,5 @@
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from rolescope.operators.ranking import batch_numbers, deep_page, row_numbers
 

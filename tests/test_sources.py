@@ -1,7 +1,5 @@
 import json
 
-import pytest
-from pyspark.sql import functions as F
 
 from rolescope.sources import files, payloads, registry
 
