@@ -143,3 +143,55 @@ def components(links: DataFrame) -> DataFrame:
         if now == state:
             return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component_id"))
         state = now
+
+
+def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The slices ``values[s : s + n]`` one after the other."""
+    ends = np.cumsum(lengths)
+    if not len(ends) or not ends[-1]:
+        return values[:0]
+    at = np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths)
+    return values[at]
+
+
+class WordStore:
+    """Codes of the words met so far in a Python worker, so that each is encoded once. Bounded: it starts anew when full.
+
+    ``encode`` takes a list of words and returns all their codes in a row, and the number of codes of each.
+    """
+
+    def __init__(self, encode, max_words: int = 300_000, max_codes: int = 4_000_000):
+        self.encode, self.max_words, self.max_codes = encode, max_words, max_codes
+        self._clear()
+
+    def _clear(self) -> None:
+        self.rows: dict = {}
+        self.parts, self.lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+
+    def codes(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        """All codes of the words in order, and the number of codes of each word."""
+        if len(self.rows) > self.max_words or sum(map(len, self.parts)) > self.max_codes:
+            self._clear()
+        missing = list(set(words) - self.rows.keys())
+        if missing:
+            found, counts = self.encode(missing)
+            self.rows.update(zip(missing, range(len(self.rows), len(self.rows) + len(missing))))
+            self.parts = [np.concatenate([*self.parts, found])]
+            self.lengths = [np.concatenate([*self.lengths, counts])]
+        lengths = self.lengths[0]
+        row = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        starts = np.cumsum(lengths) - lengths
+        return gather(self.parts[0], starts[row], lengths[row]), lengths[row]
+
+
+def text_slices(texts: list[str | None], size: int = 1 << 22) -> Iterator[list[str | None]]:
+    """Cut a list of texts where about ``size`` characters are reached; memory then depends on this and the longest text only."""
+    part, n = [], 0
+    for text in texts:
+        part.append(text)
+        n += len(text or "")
+        if n >= size:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part

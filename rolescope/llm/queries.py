@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
-from . import embeddings, line_dedup, simhash, url_filters
+from ..session import configure, new_work_dir
+from . import decontaminate, embeddings, lattice, line_dedup, pieces, quality, simhash, token_files, url_filters
 from .common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,16 +48,53 @@ def op1_line_dedup(spark, sf_dir):
     return index.deduplicate(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query()
+def op2_subword_lattice(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = quality.fold(folds=7) == 2
+    scored = lattice.score(docs, ~held_out, public_tokenizers.path("piece_bpe_32k.model"))
+    return scored.withColumn("held_out", held_out).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query()
+def op3_spaced_seeds(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op4_cross_polytope(spark, sf_dir):
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query()
+def op5_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.judged(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (quality.fold() == 0).alias("held_out"), "score", "predicted")
+
+
 @query()
 def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op8_token_files(spark, sf_dir):
+    path = new_work_dir(spark, "token-files")
+    manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    read = token_files.read_tokens(spark, path, manifest)
+    return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op9_pieces(spark, sf_dir):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    digests = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), "ids")
+    return pieces.decode_documents(digests, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 _HOST = _lower("regexp_extract(rest, '^[^/?#]*')")
 _LITERALS = "regexp_matches(host || path, '{}')"
 
