@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, new_work_dir
-from . import decontaminate, embeddings, lattice, line_dedup, pieces, quality, simhash, token_files, url_filters
+from . import decontaminate, embeddings, lattice, line_dedup, pieces, quality, repeats, simhash, token_files, url_filters
 from .common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,12 @@ def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op7_repeats(spark, sf_dir):
+    left = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query()
 def op8_token_files(spark, sf_dir):
     path = new_work_dir(spark, "token-files")
