@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolescope.llm import decontaminate, line_dedup, pieces, quality, simhash
-from rolescope.llm.common import table
-from rolescope.session import configure, stored
+from rolescope.llm.common import configure, table
+from rolescope.session import stored
 
 
 def _carried(docs: DataFrame) -> DataFrame:
@@ -58,9 +58,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, ids_sha256 and decoded_sha256 of every row: the ids end with the end id and decode to the text."""
     configure(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
-    decoded = pieces.decode_documents(pieces.encode_documents(docs.select("doc_id", "text"), model).drop("text"), model)
+    encoded = pieces.encode_documents(docs.select("doc_id", "text"), model, decoded=True)
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return decoded.select(
+    return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -9,12 +9,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import configure as configure_session
 from ..session import stored
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"  # fixed value: the class [\x20\x09-\x0D]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """The session's settings, with Arrow batches small enough for several Python workers beside a small executor's heap."""
+    configure_session(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 * 1024 * 1024))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -188,7 +196,7 @@ class WordStore:
         return gather(self.parts[0], starts[row], lengths[row]), lengths[row]
 
 
-def text_slices(texts: list[str | None], size: int = 1 << 22) -> Iterator[list[str | None]]:
+def text_slices(texts: list[str | None], size: int = 1 << 20) -> Iterator[list[str | None]]:
     """Cut a list of texts where about ``size`` characters are reached; memory then depends on this and the longest text only."""
     part, n = [], 0
     for text in texts:

@@ -251,10 +251,11 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with the column ids: array<int>, the ids of the whole text and the end id.
 
-    Ids equal those of the sentencepiece library without sampling. Null and empty texts have the end id only. A column named ids is replaced.
+    Ids equal those of the sentencepiece library without sampling. Null and empty texts have the end id only. With ``decoded``, a column of
+    that name has the text that ``decode`` makes of the ids, in the same pass. Columns named ids and decoded are replaced.
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,13 +265,17 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
             for texts in text_slices(batch.column("text").to_pylist()):
                 ids, lengths = own.encode(texts)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").slice(at, len(texts)), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))], ["row", "ids"])
+                shown = own.decode(ids, lengths) if decoded else [None] * len(texts)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("row").slice(at, len(texts)), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32))),
+                    pa.array(shown, pa.string())], ["row", "ids", "decoded"])
                 at += len(texts)
 
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).cast("string").alias("text"))
-    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return rows.mapInArrow(apply, schema).select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != "ids"], "ids")
+    schema = T.StructType([
+        T.StructField("row", rows.schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    made = ["ids", "decoded"] if decoded else ["ids"]
+    return rows.mapInArrow(apply, schema).select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in made], *made)
 
 
 def decode_documents(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:

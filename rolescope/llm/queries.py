@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure, new_work_dir
+from ..session import new_work_dir
 from . import decontaminate, embeddings, lattice, line_dedup, pieces, quality, repeats, simhash, token_files, url_filters
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, configure, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,10 +95,10 @@ def op8_token_files(spark, sf_dir):
 @query()
 def op9_pieces(spark, sf_dir):
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    encoded = pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded=True)
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
-    digests = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), "ids")
-    return pieces.decode_documents(digests, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 _HOST = _lower("regexp_extract(rest, '^[^/?#]*')")
