@@ -30,7 +30,7 @@ def one_tech(col: Column, term: str) -> Column:
 
 def tech_count(col: Column) -> Column:
     """Array length; NULL for an empty array."""
-    return F.nullif(F.size(col), F.lit(0))
+    return F.nullif(F.array_size(col), F.lit(0))
 
 
 def conjunction(conditions: list[Column]) -> Column:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..schemas import EXTRACTED_ARRAYS, EXTRACTED_SCALARS, MATCH_FIELDS
 from .text import strip, strip_fence
 
-# Objects with one nested level. Possessive, so the scan stays linear on long replies.
+# Fixed value: braces count as an object with one nested level at most. Possessive, so the scan stays linear on long replies.
 BRACES = r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
-JSON_FENCE = r"(?s)```json\s*(.*?)\s*```"
-ANY_FENCE = r"(?s)```\s*(.*?)\s*```"
+FENCE = "```"
+NUMBERS = ("bigint", "double")
 
 
 def wrapped_json(text: Column) -> Column:
@@ -34,10 +34,13 @@ def _is_object(text: Column) -> Column:
 def salvage_json(reply: Column) -> Column:
     """The first JSON object found in a reply, as text: the whole reply, else braces, else a fenced block."""
     whole = strip(reply)
+    parts = F.split(reply, FENCE)
+    inside = F.slice(parts, 2, F.greatest(F.array_size(parts) - 2, F.lit(0)))  # between two fences
+    labelled = F.filter(inside, lambda part: part.startswith("json"))
     candidates = F.concat(
         F.regexp_extract_all(reply, F.lit(BRACES), F.lit(0)),
-        F.regexp_extract_all(reply, F.lit(JSON_FENCE), F.lit(1)),
-        F.regexp_extract_all(reply, F.lit(ANY_FENCE), F.lit(1)),
+        F.transform(labelled, lambda part: strip(F.substring(part, F.lit(5), F.length(part)))),
+        F.transform(F.filter(inside, lambda _, i: i % 2 == 0), strip),
     )
     return F.when(_is_object(whole), whole).otherwise(F.get(F.filter(candidates, _is_object), F.lit(0)))
 
@@ -61,7 +64,7 @@ def parse_matches(replies: DataFrame, reply: str = "reply") -> DataFrame:
     listed = unfenced.select(*others, F.explode(_match_list(F.col("_text"))).alias("_item"))
     # Numbers are read as text, so that 87.5 or "87" still counts.
     fields = {
-        name: F.col(f"_item.{name}").try_cast("double").cast("int") if kind == "int" else F.col(f"_item.{name}")
+        name: F.col(f"_item.{name}").try_cast("double").cast(kind) if kind in NUMBERS else F.col(f"_item.{name}")
         for name, kind in MATCH_FIELDS.items()
     }
     return listed.where("_item IS NOT NULL").select(*others, *[c.alias(n) for n, c in fields.items()])
@@ -73,6 +76,6 @@ def match_errors(replies: DataFrame, reply: str = "reply") -> DataFrame:
 
 
 def _match_list(text: Column) -> Column:
-    schema = ", ".join(f"{name}: {kind.replace('int', 'string')}" for name, kind in MATCH_FIELDS.items())
+    schema = ", ".join(f"{name}: {'string' if kind in NUMBERS else kind}" for name, kind in MATCH_FIELDS.items())
     is_list = text.startswith("[") & text.endswith("]") & is_one_value(wrapped_json(text))
     return F.when(is_list, F.from_json(text, f"array<struct<{schema}>>"))

@@ -16,18 +16,18 @@ WHITESPACE = (
 )
 
 # One left-to-right pass, so that a comment inside a script (or the reverse) is settled by whichever
-# opens first. Everything starts with the one literal "<", and the attribute loop is possessive: it runs
-# without recursion, however long the text behind an unclosed tag is.
+# opens first. Possessive loops: no recursion. See ``_replace_markup`` for what keeps the time linear.
 MARKUP = (
     r"(?is)<(?:!--.*?-->"
-    r"|script\b[^>]*>.*?(?:</script\s*>|\z)"
-    r"|style\b[^>]*>.*?(?:</style\s*>|\z)"
-    r"|noscript\b[^>]*>.*?(?:</noscript\s*>|\z)"
+    r"|script\b[^>]*+>.*?(?:</script\s*+>|\z)"
+    r"|style\b[^>]*+>.*?(?:</style\s*+>|\z)"
+    r"|noscript\b[^>]*+>.*?(?:</noscript\s*+>|\z)"
     r"|/?[a-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
-    r"|/?[a-z][^>]*>"
-    r"|[!?/][^>]*>)"
+    r"|/?[a-z][^>]*+>"
+    r"|[!?/][^>]*+>)"
 )
-TAG = r"<[^>]+>"
+TAG = r"<[^>]++>"
+HIDDEN = "\ufffe"  # no character, so no text holds it
 # The body of a fenced block; no body if the closing fence follows the first line at once.
 FENCED = r"(?s)\A```[^\n]*(?:\n```|\n(.*?)(?:\n```)?)?\z"
 
@@ -55,9 +55,28 @@ def _lines(col: Column) -> Column:
     return F.array_join(F.filter(trimmed, lambda line: line != ""), "\n")
 
 
+def _after_last(col: Column, end: str) -> Column:
+    """Place behind the last ``end``; 1 if there is none."""
+    back = F.instr(F.reverse(col), end[::-1])
+    return F.when(back > 0, F.length(col) - back + 2).otherwise(1)
+
+
+def _replace_markup(col: Column, pattern: str, by: str) -> Column:
+    """Replace markup. A "<" that no ">" follows and a "<!--" that no "-->" follows are text, so they are hidden from the
+    pattern: every other one finds an end, and no attempt scans to the end of a long document in vain. What is left to rescan are
+    tags whose quotes never close."""
+    tail, uncommented = _after_last(col, ">"), _after_last(col, "-->")
+    parts = F.concat(
+        F.substring(col, F.lit(1), uncommented - 1),
+        F.replace(F.substring(col, uncommented, tail - uncommented), F.lit("<!--"), F.lit(f"{HIDDEN}!--")),
+        F.replace(F.substring(col, tail, F.length(col)), F.lit("<"), F.lit(HIDDEN)),
+    )
+    return F.replace(F.regexp_replace(parts, pattern, by), F.lit(HIDDEN), F.lit("<"))
+
+
 def clean_html(col: Column) -> Column:
     """Visible text of an HTML document, one trimmed non-empty line per text node; NULL gives ''."""
-    visible = unescape_entities(F.regexp_replace(col, MARKUP, "\n"))
+    visible = unescape_entities(_replace_markup(col, MARKUP, "\n"))
     return F.coalesce(_lines(visible), F.lit(""))
 
 
@@ -70,7 +89,7 @@ def clean_description(col: Column) -> Column:
 
 def strip_tags(col: Column) -> Column:
     """Rough cleaning: each tag becomes a blank."""
-    return strip(F.regexp_replace(col, TAG, " "))
+    return strip(_replace_markup(col, TAG, " "))
 
 
 def truncate(col: Column, length: int) -> Column:

@@ -13,6 +13,7 @@ def batch_documents(extracted: DataFrame) -> DataFrame:
     posting = F.struct(*EXTRACTED_POSTING.fieldNames())
     return extracted.groupBy("ats", "company", "batch_id").agg(
         F.array_sort(F.collect_list(posting)).alias("jobs"),
+        F.count("*").alias("total"),
         F.count_if(F.col("error").isNull()).cast("int").alias("extracted"),
         F.count_if(F.col("error").isNotNull()).cast("int").alias("errors"),
     )
@@ -28,9 +29,11 @@ def batch_summary(extracted: DataFrame) -> DataFrame:
 
 
 def merge_batches(documents: DataFrame) -> DataFrame:
-    """Counters of all batches of a company, summed; works for documents without batches alike."""
+    """Counters of all batches of a company, summed; works for documents without batches alike. With a stored ``total`` the
+    lists themselves are not read."""
+    total = F.col("total") if "total" in documents.columns else F.array_size("jobs")
     return documents.groupBy("ats", "company").agg(
-        F.sum(F.size("jobs")).alias("total_jobs"),
+        F.sum(total).alias("total_jobs"),
         F.sum("extracted").alias("extracted"),
         F.sum("errors").alias("errors"),
     )

@@ -25,10 +25,19 @@ def parse_ids(text: str) -> list[int]:
 
 
 def listed_ids(candidates: DataFrame, column: str = "job_ids") -> DataFrame:
-    """``candidate_id, id`` pairs from a column of comma-separated ids."""
-    parts = candidates.select("candidate_id", F.explode(F.split(column, ",")).alias("id"))
-    ids = parts.select("candidate_id", F.btrim("id").alias("id")).where("id <> ''")
-    return ids.select("candidate_id", F.col("id").cast("int").alias("id")).distinct()
+    """``candidate_id, id`` pairs from a column of comma-separated ids. Parts that are no id are left to ``unlisted_ids``."""
+    ids = _id_parts(candidates, column).select("candidate_id", F.col("part").try_cast("bigint").alias("id"))
+    return ids.where("id IS NOT NULL").distinct()
+
+
+def unlisted_ids(candidates: DataFrame, column: str = "job_ids") -> DataFrame:
+    """``candidate_id, part`` of listed parts that are no whole number, so that one bad list stops nobody else's match."""
+    return _id_parts(candidates, column).where(F.col("part").try_cast("bigint").isNull())
+
+
+def _id_parts(candidates: DataFrame, column: str) -> DataFrame:
+    parts = candidates.select("candidate_id", F.explode(F.split(column, ",")).alias("part"))
+    return parts.select("candidate_id", F.btrim("part").alias("part")).where("part <> ''")
 
 
 def scope_by_filters(
@@ -92,9 +101,10 @@ def scope_by_ids(candidates: DataFrame, jobs: DataFrame, listed: DataFrame) -> D
 
 def _pair(candidates: DataFrame, postings: DataFrame, on: list[str]) -> DataFrame:
     """Join both sides, with terms made canonical before: once per row of each side, not once per pair."""
-    own = normalize_tech_stack(F.col("terms"))
+    # A candidate's terms are not sorted into technologies and skills, so each counts under both dictionaries' names.
+    own = canonical_terms_of(F.col("terms"), F.col("terms"))
     c = candidates.withColumn("candidate_terms", own).alias("c")
-    p = postings.withColumn("required", required_terms(F.col("tech_stack"), F.col("skills"))).alias("p")
+    p = postings.withColumn("required", canonical_terms_of(F.col("tech_stack"), F.col("skills"))).alias("p")
     joined = c.join(p, [F.col(f"c.{k}") == F.col(f"p.{k}") for k in on])
     return joined.select(
         F.col("c.candidate_id"),
@@ -106,8 +116,8 @@ def _pair(candidates: DataFrame, postings: DataFrame, on: list[str]) -> DataFram
     )
 
 
-def required_terms(tech_stack: Column, skills: Column) -> Column:
-    """What a posting asks for: canonical technologies and skills together."""
+def canonical_terms_of(tech_stack: Column, skills: Column) -> Column:
+    """Canonical technologies and skills together, in order: what a posting asks for, or what a candidate offers."""
     return F.array_sort(F.array_union(normalize_tech_stack(tech_stack), normalize_skills(skills)))
 
 
@@ -128,8 +138,8 @@ def level_rank(level: Column) -> Column:
 def score_pairs(pairs: DataFrame) -> DataFrame:
     """Score 0-100: 40 % skills, 30 % level, 20 % domain, 10 % potential."""
     scored = skill_overlap(pairs)
-    needed = F.size("required")
-    skills = F.when(needed > 0, F.size("matching_skills") / needed).otherwise(0.0)
+    needed = F.array_size("required")
+    skills = F.when(needed > 0, F.array_size("matching_skills") / needed).otherwise(0.0)
     step = level_rank(F.col("seniority")) - level_rank(F.col("candidate_level"))
     level = F.when(step.isNull(), 0.5).otherwise(1 - F.least(F.abs(step), F.lit(5)) / 5)
     domain = F.when(F.col("candidate_department") == F.col("department"), 1.0).otherwise(0.0)
@@ -162,7 +172,7 @@ def with_jobs(matches: DataFrame, jobs: DataFrame) -> DataFrame:
 def fill_matches(matches: DataFrame) -> DataFrame:
     """Absent score 0, absent lists empty, absent summary ''."""
     return matches.withColumns({
-        "match_score": F.coalesce("match_score", F.lit(0)),
+        "match_score": F.coalesce("match_score", F.lit(0.0)),
         "matching_skills": F.coalesce("matching_skills", no_terms()),
         "missing_skills": F.coalesce("missing_skills", no_terms()),
         "summary": F.coalesce("summary", F.lit("")),

@@ -29,11 +29,11 @@ def validate_jobs(jobs: DataFrame, keys: list[str] = KEY) -> DataFrame:
 
 
 def valid_rows(checked: DataFrame) -> DataFrame:
-    return checked.where(F.size("reasons") == 0).drop("reasons")
+    return checked.where(F.array_size("reasons") == 0).drop("reasons")
 
 
 def quarantined_rows(checked: DataFrame) -> DataFrame:
-    return checked.where(F.size("reasons") > 0)
+    return checked.where(F.array_size("reasons") > 0)
 
 
 def value_flags() -> dict[str, Column]:

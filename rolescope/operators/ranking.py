@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import BATCH_SIZE, KEY
+from ..schemas import BATCH_SIZE
 from ..session import stored
 
 
@@ -19,10 +20,11 @@ def row_numbers(df: DataFrame, groups: list[str], order: list[str], name: str =
     with the sort, and only the row counts per (partition, group) are added up across partitions.
     The placed rows are written to a table in the shared folder: counting and numbering must see the same
     partition borders, also after an executor is lost, and counting reads the key columns only.
-    ``order`` must tell all rows of a group apart.
+    ``order`` must tell all rows of a group apart. Only the key columns are sorted and written, which happens at once; other columns are
+    joined back by the keys, of which no two rows share one.
     """
-    keys = [*groups, *order]
-    sorted_rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    keys = list(dict.fromkeys([*groups, *order]))
+    sorted_rows = df.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = stored(sorted_rows.withColumn("_place", F.monotonically_increasing_id()), "placed")
     placed = placed.withColumn("_part", F.shiftright("_place", 33))
     # One row per (partition, group): at most partitions + groups rows, whatever the data size.
@@ -33,10 +35,12 @@ def row_numbers(df: DataFrame, groups: list[str], order: list[str], name: str =
         *[F.col(g).alias(f"_{g}") for g in groups],
         (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
     ).withColumnRenamed("_part", "_offset_part")
-    same: list[Column] = [F.col("_part") == F.col("_offset_part")]
-    same += [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
-    numbered = placed.join(offsets, reduce(lambda a, b: a & b, same))
-    return numbered.select(*df.columns, (F.col("_place") + F.col("_shift")).alias(name))
+    same = [F.col("_part") == F.col("_offset_part")] + [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
+    numbered = placed.join(offsets, reduce(and_, same)).select(*keys, (F.col("_place") + F.col("_shift")).alias(name))
+    if set(keys) == set(df.columns):
+        return numbered.select(*df.columns, name)
+    known = numbered.select(*[F.col(k).alias(f"_{k}") for k in keys], name)
+    return df.join(known, reduce(and_, [df[k].eqNullSafe(known[f"_{k}"]) for k in keys])).select(*df.columns, name)
 
 
 def batch_numbers(postings: DataFrame, size: int = BATCH_SIZE, position: str | None = None) -> DataFrame:
@@ -51,19 +55,27 @@ def batch_numbers(postings: DataFrame, size: int = BATCH_SIZE, position: str | N
     return numbered.withColumn("batch_id", F.floor((F.col("_number") - 1) / size).cast("int")).drop("_number")
 
 
-def assign_ids(target: DataFrame, source: DataFrame, order: tuple[str, ...] = ("ats", "company", "job_id")) -> DataFrame:
-    """Give the new keys of ``source`` an ``id``, numbered on from the target's highest in the given order.
+def with_ids(merged: DataFrame, order: tuple[str, ...] = ("ats", "company", "job_id")) -> DataFrame:
+    """Give the rows without an ``id`` one, numbered on from the highest in the given order; the others keep theirs.
 
-    Known keys get NULL: their stored id survives the upsert. Only the key columns of new rows are
-    ranked; the highest id enters as a scalar subquery.
+    The merged table is written once, so that it is computed once; only the keys of new rows are ranked and joined back.
     """
-    new = source.select(*KEY).join(target.select(*KEY), KEY, "left_anti")
-    highest = target.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
-    numbered = row_numbers(new, [], list(order), "_number").withColumn("id", (F.col("_number") + highest).cast("int"))
-    return source.join(numbered.drop("_number"), KEY, "left")
+    merged = stored(merged, "merged")
+    highest = merged.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
+    new = merged.where("id IS NULL").select(*order)
+    numbered = row_numbers(new, [], list(order), "_number").select(*[F.col(k).alias(f"_{k}") for k in order], "_number")
+    joined = merged.join(numbered, reduce(and_, [F.col(k) == F.col(f"_{k}") for k in order]), "left")
+    given = F.coalesce("id", (F.col("_number") + highest).cast("bigint")).alias("id")
+    return joined.select(*[given if c == "id" else c for c in merged.columns])
 
 
-def deep_page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` of a total order, for pages too deep for a top-k heap."""
-    numbered = row_numbers(df, [], order, "_number")
-    return numbered.where((F.col("_number") > offset) & (F.col("_number") <= offset + limit)).drop("_number")
+def deep_page(df: DataFrame, order: list[str], offset: int | Column, limit: int) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of a total order, in that order, for pages too deep for a top-k heap.
+
+    Only the order columns are numbered; the page's ``limit`` keys then fetch their rows.
+    """
+    number = F.col("_number")
+    wanted = row_numbers(df.select(*order), [], order, "_number").where((number > offset) & (number <= offset + F.lit(limit)))
+    keys = wanted.select(*[F.col(k).alias(f"_{k}") for k in order])
+    rows = df.join(keys, reduce(and_, [df[k].eqNullSafe(keys[f"_{k}"]) for k in order]), "left_semi")
+    return rows.orderBy(*order)

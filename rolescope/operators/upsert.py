@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import EXTRACTED_ARRAYS, EXTRACTED_SCALARS, KEY, PROFILE_KEY
-from .ranking import assign_ids
+from .ranking import with_ids
 
 # What a conflict replaces; everything else of a stored row survives.
 SCRAPED_COLUMNS = ["title", "url", "location", "raw_description"]
@@ -58,22 +58,18 @@ def dedupe_postings(postings: DataFrame) -> DataFrame:
     return latest_by_key(postings, KEY, ["scraped_at", "file", "pos"], first=("scraped_at",))
 
 
-def upsert_scraped(jobs: DataFrame, postings: DataFrame, number: bool = False) -> DataFrame:
-    """Merge scraped postings: a known posting keeps its extracted fields and its first ``scraped_at``.
-
-    With ``number`` new postings get ids, numbered on from the highest.
-    """
-    source = dedupe_postings(postings)
-    if number:
-        return upsert(jobs, assign_ids(jobs, source), KEY, SCRAPED_COLUMNS, ("scraped_at", "id"))
-    return upsert(jobs, source, KEY, SCRAPED_COLUMNS, ("scraped_at",))
+def upsert_scraped(jobs: DataFrame, postings: DataFrame) -> DataFrame:
+    """Merge scraped postings: a known posting keeps its id, its extracted fields and its first ``scraped_at``; new ones get
+    ids, numbered on from the highest. Runs at once, see ``with_ids``."""
+    return with_ids(upsert(jobs, dedupe_postings(postings), KEY, SCRAPED_COLUMNS, ("scraped_at",)))
 
 
 def upsert_parsed(jobs: DataFrame, extracted: DataFrame) -> DataFrame:
-    """Merge extracted postings: a known posting keeps its ``raw_description``; NULL replaces too."""
+    """Merge extracted postings: a known posting keeps its id and ``raw_description``; NULL replaces too; new ones get ids.
+    Runs at once, see ``with_ids``."""
     latest = latest_by_key(extracted, KEY, ["parsed_at", "file", "pos"])
     source = latest.withColumn("scraped_at", F.col("parsed_at"))
-    return upsert(jobs, source, KEY, PARSED_COLUMNS, ("scraped_at",))
+    return with_ids(upsert(jobs, source, KEY, PARSED_COLUMNS, ("scraped_at",)))
 
 
 def upsert_profiles(profiles: DataFrame, source: DataFrame) -> DataFrame:

@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.predicates import contains_text, job_filters
 from ..functions.terms import no_terms
 from ..operators.matching import parse_ids
-from ..operators.ranking import deep_page
 from ..schemas import JOB_FIELDS, JOBS
 
-# Pages ending beyond this row are cut from a distributed numbering instead of a top-k heap.
-DEEP_PAGE = 100_000
 _BLANK_IF_ABSENT = {"job_id", "company", "ats", "title", "location", "job_summary", "url"}
 _ARRAYS = {"tech_stack", "skills", "pain_points"}
 
@@ -35,11 +32,7 @@ def format_jobs(rows: DataFrame) -> DataFrame:
 
 
 def page(rows: DataFrame, order: list[str], limit: int, offset: int = 0) -> DataFrame:
-    """One page of a total order, NULLs last."""
-    if offset + limit > DEEP_PAGE:
-        flagged = rows.withColumns({f"_null_{c}": F.col(c).isNull() for c in order})
-        keys = [k for c in order for k in (f"_null_{c}", c)]
-        return deep_page(flagged, keys, offset, limit).select(*rows.columns)
+    """One page of a total order, NULLs last. A heap of ``offset + limit`` rows; ``ranking.deep_page`` is for those far down."""
     return rows.orderBy(*[F.asc_nulls_last(c) for c in order]).offset(offset).limit(limit)
 
 

@@ -40,7 +40,7 @@ EXTRACTED_SCALARS = {
 EXTRACTED_ARRAYS = ["tech_stack", "skills", "pain_points"]
 
 JOBS = T.StructType([
-    T.StructField("id", _INT, False),
+    T.StructField("id", _LONG, False),
     T.StructField("job_id", _STR, False),
     T.StructField("company", _STR, False),
     T.StructField("ats", _STR, False),
@@ -115,6 +115,6 @@ PROFILE_FILE = T.StructType([
 ])
 
 MATCH_FIELDS = {
-    "job_id": "int", "match_score": "int", "matching_skills": "array<string>", "missing_skills": "array<string>",
+    "job_id": "bigint", "match_score": "double", "matching_skills": "array<string>", "missing_skills": "array<string>",
     "summary": "string",
 }

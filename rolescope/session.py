@@ -51,7 +51,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("OFF")
+    spark.sparkContext.setLogLevel("WARN")
     return configure(spark)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import strip, truncate
 from ..schemas import EXTRACTED_ARRAYS, EXTRACTED_FILE, EXTRACTED_SCALARS, MAX_RESUME, PROFILE_FILE, SCRAPED_FILE
@@ -138,11 +139,16 @@ def read_resumes(spark: SparkSession, path: str) -> DataFrame:
     return resume_gate(files.select("path", decode_ignoring_errors(F.col("content")).alias("text")))
 
 
-def save_postings(records: DataFrame, path: str, keys: tuple[str, ...] = ("ats", "slug")) -> None:
-    """Write one folder per company, replacing only the companies present in ``records``.
+def save_postings(records: DataFrame, path: str, keys: tuple[str, ...] = ("ats", "slug"), companies: DataFrame | None = None) -> None:
+    """Write one folder per company, replacing only the companies present in ``records``, and those in ``companies``.
 
+    ``companies`` lists the keys of all companies that were scraped. One that lost all its postings is not in ``records``; it
+    gets a row without values, which replaces its folder and which ``read_postings`` leaves out.
     The rebalance hint gathers a company into few files and still splits a hot company over tasks.
     """
+    if companies is not None:
+        emptied = companies.select(*keys).distinct().join(records.select(*keys).distinct(), list(keys), "left_anti")
+        records = records.unionByName(emptied, allowMissingColumns=True)
     (
         records.hint("rebalance", *[F.col(k) for k in keys])
         .write.partitionBy(*keys)
@@ -150,3 +156,9 @@ def save_postings(records: DataFrame, path: str, keys: tuple[str, ...] = ("ats",
         .mode("overwrite")
         .parquet(path)
     )
+
+
+def read_postings(spark: SparkSession, path: str, schema: str | StructType, keys: tuple[str, ...] = ("ats", "slug")) -> DataFrame:
+    """What ``save_postings`` wrote, without the rows that stand for emptied companies."""
+    rows = spark.read.schema(schema).parquet(path)
+    return rows.where(F.coalesce(*[F.col(c).cast("string") for c in rows.columns if c not in keys]).isNotNull())

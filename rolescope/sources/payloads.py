@@ -111,12 +111,13 @@ def section_text(detail: Column) -> Column:
 def with_sections(postings: DataFrame, details: DataFrame) -> DataFrame:
     """Give each posting the description of its detail document (``slug, id, raw``), '' if there is none.
 
-    The detail side has one document per ``(slug, id)``, so the join adds no rows. Cleaning runs before
-    the join: what is shuffled is text, not markup.
+    Of several details of a posting the greatest text counts, so the join adds no rows. Cleaning runs before
+    both shuffles: what is sent is text, not markup.
     """
     parsed = details.withColumn("_json", wrapped_json(F.col("raw")))
     valid = parsed.withColumn("_json", F.when(is_one_value(F.col("_json")), F.col("_json")))
-    cleaned = valid.select("slug", "id", section_text(F.col("_json")).alias("section_text"))
+    texts = valid.select("slug", "id", section_text(F.col("_json")).alias("section_text"))
+    cleaned = texts.groupBy("id", "slug").agg(F.max("section_text").alias("section_text"))
     return (
         postings.drop("description")
         .join(cleaned, ["id", "slug"], "left")
@@ -137,10 +138,14 @@ def parse_payloads(payloads: DataFrame, details: DataFrame | None = None) -> Dat
 
 
 def payload_error() -> Column:
-    """Why a payload is kept out: an unknown system, or text that is not JSON; else NULL."""
+    """Why a payload is kept out: an unknown system, or text that is not JSON or a mere ``null``; else NULL."""
     known = F.coalesce(F.col("ats").isin(*FEEDS), F.lit(False))
     unknown = F.concat(F.lit(UNKNOWN_ATS), F.coalesce("ats", F.lit("")))
-    return F.when(~known, unknown).when(~is_one_value(wrapped_json(F.col("raw"))), F.lit(BAD_PAYLOAD))
+    return F.when(~known, unknown).when(~_is_payload(F.col("raw")), F.lit(BAD_PAYLOAD))
+
+
+def _is_payload(raw: Column) -> Column:
+    return is_one_value(wrapped_json(raw)) & (F.btrim(raw, F.lit(" \t\r\n")) != "null")
 
 
 def payload_errors(payloads: DataFrame) -> DataFrame:

@@ -8,10 +8,12 @@ and nothing that is being read is ever overwritten.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType
 
+from ..operators.ranking import with_ids
 from ..operators.upsert import SCRAPED_COLUMNS, dedupe_postings, latest_by_key, upsert
 from ..schemas import KEY, SCRAPED_FILE
 from ..sources.files import postings_of
@@ -51,10 +53,19 @@ def drain(postings: DataFrame, out: str, checkpoint: str) -> None:
 def drain_changes(postings: DataFrame, log: str, checkpoint: str) -> None:
     """Append the last write of each key in every micro-batch to the change log, then stop.
 
-    A batch writes its own folder in full, so a batch that is run again replaces its first attempt.
+    A batch writes its own folder in full, so a batch that is run again replaces its first attempt. A log belongs to one
+    checkpoint, whose batch numbers name its folders: with another one, numbers would begin again and replace what the log
+    holds, so that is refused.
     """
 
     def append(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        own = spark.sparkContext.getLocalProperty("sql.streaming.queryId")  # the checkpoint's, also after a restart
+        owner = _owner(spark, log)
+        if owner is None:
+            spark.createDataFrame([(own,)], "owner string").coalesce(1).write.json(f"{log}/_owner")
+        elif owner != own:
+            raise ValueError(f"the change log {log} belongs to another checkpoint")
         dedupe_postings(batch).write.mode("overwrite").parquet(f"{log}/batch={number}")
 
     query = (
@@ -64,14 +75,25 @@ def drain_changes(postings: DataFrame, log: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def _owner(spark: SparkSession, log: str) -> str | None:
+    """The stream that a log's first batch came from."""
+    try:
+        return spark.read.schema("owner string").json(f"{log}/_owner").first().owner
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def merged_jobs(jobs: DataFrame, log: str, after: int = -1) -> DataFrame:
-    """The jobs table with the change log merged in; the later arrival wins.
+    """The jobs table with the change log merged in; the later arrival wins. New postings get ids on from the highest, which
+    stay theirs once ``compact`` has written them. Runs at once, see ``with_ids``.
 
     ``after`` is the last batch the table already holds; older folders are not read.
     """
     changes = jobs.sparkSession.read.schema(_CHANGES).parquet(log).where(F.col("batch") > after)
     latest = latest_by_key(changes, KEY, ["batch", "scraped_at", "file", "pos"], first=("scraped_at",))
-    return upsert(jobs, latest, KEY, SCRAPED_COLUMNS, ("scraped_at",))
+    return with_ids(upsert(jobs, latest, KEY, SCRAPED_COLUMNS, ("scraped_at",)))
 
 
 def compact(jobs: DataFrame, log: str, out: str, after: int = -1) -> None:

@@ -112,16 +112,17 @@ def scan_profiles(spark, sf):
 
 
 @register("sink_roundtrip", using("scraped_v") + """SELECT job_id, company, ats,
-    CASE WHEN ats = 'lever' THEN concat('v2 ', title) ELSE title END AS title FROM scraped_v""")
+    CASE WHEN ats = 'lever' THEN concat('v2 ', title) ELSE title END AS title FROM scraped_v WHERE NOT (ats = 'lever' AND company = 'src3')""")
 def sink_roundtrip(spark, sf):
-    """Save all companies, save those of one system again, and read everything back."""
+    """Save all companies, save those of one system again, of which one has lost its postings, and read everything back."""
     path = new_work_dir(spark, "postings")
     rows = scraped_v(spark, sf).select("job_id", "company", "ats", "title")
     files.save_postings(rows, path, ("ats", "company"))
+    keys = ("ats", "company")
     again = rows.where("ats = 'lever'").withColumn("title", F.concat(F.lit("v2 "), "title"))
-    files.save_postings(again, path, ("ats", "company"))
+    files.save_postings(again.where("company <> 'src3'"), path, keys, companies=again.select(*keys))
     schema = "job_id string, title string, ats string, company string"
-    return spark.read.schema(schema).parquet(path).select("job_id", "company", "ats", "title")
+    return files.read_postings(spark, path, schema, keys).select("job_id", "company", "ats", "title")
 
 
 def _scraped_changes(spark, sf):
@@ -148,14 +149,19 @@ _MERGED = using("jobs_v", "latest_changes").rstrip() + """, merged AS (
 """
 
 
-@register("upsert_scraped", _MERGED + "SELECT * FROM merged")
+_NEW_ID = "(SELECT max(id) FROM jobs_v) + row_number() OVER (ORDER BY ats, company, job_id)"
+_WITH_IDS = f"""SELECT * FROM merged WHERE id IS NOT NULL
+    UNION ALL SELECT {_NEW_ID} AS id, * EXCLUDE (id) FROM merged WHERE id IS NULL"""
+
+
+@register("upsert_scraped", _MERGED + _WITH_IDS)
 def upsert_scraped(spark, sf):
     merged = upsert.upsert_scraped(jobs_v(spark, sf), _scraped_changes(spark, sf))
     return flat(merged.select(*_SHOWN))
 
 
-@register("upsert_parsed", using("jobs_v", "latest_changes") + """
-    SELECT coalesce(j.ats, c.ats) AS ats, coalesce(j.company, c.company) AS company, coalesce(j.job_id, c.job_id) AS job_id, j.id,
+@register("upsert_parsed", using("jobs_v", "latest_changes").rstrip() + """, merged AS (
+    SELECT j.id, coalesce(j.ats, c.ats) AS ats, coalesce(j.company, c.company) AS company, coalesce(j.job_id, c.job_id) AS job_id,
         CASE WHEN c.job_id IS NULL THEN j.title ELSE c.title END AS title, CASE WHEN c.job_id IS NULL THEN j.url ELSE c.url END AS url,
         CASE WHEN c.job_id IS NULL THEN j.location ELSE c.location END AS location,
         CASE WHEN c.job_id IS NULL THEN j.department ELSE c.department END AS department,
@@ -163,17 +169,18 @@ def upsert_scraped(spark, sf):
         array_to_string(CASE WHEN c.job_id IS NULL THEN j.tech_stack ELSE c.tech_stack END, '|') AS tech_stack,
         CASE WHEN c.job_id IS NULL THEN j.salary_max ELSE c.salary_max END AS salary_max, j.raw_description,
         CASE WHEN j.job_id IS NULL THEN c.scraped_at ELSE j.scraped_at END AS scraped_at
-    FROM jobs_v j FULL JOIN latest_changes c ON j.ats = c.ats AND j.company = c.company AND j.job_id = c.job_id""")
+    FROM jobs_v j FULL JOIN latest_changes c ON j.ats = c.ats AND j.company = c.company AND j.job_id = c.job_id)
+    """ + _WITH_IDS)
 def upsert_parsed(spark, sf):
     extracted = changes_v(spark, sf).drop("raw_description").withColumnRenamed("scraped_at", "parsed_at")
     return flat(upsert.upsert_parsed(jobs_v(spark, sf), extracted).select(*_SHOWN))
 
 
 @register("assign_ids", _MERGED + """SELECT ats, company, job_id, id FROM merged WHERE id IS NOT NULL
-    UNION ALL SELECT ats, company, job_id, CAST((SELECT max(id) FROM jobs_v) + row_number() OVER (ORDER BY ats, company, job_id) AS INT)
+    UNION ALL SELECT ats, company, job_id, (SELECT max(id) FROM jobs_v) + row_number() OVER (ORDER BY ats, company, job_id)
     FROM merged WHERE id IS NULL""")
 def assign_ids(spark, sf):
-    merged = upsert.upsert_scraped(jobs_v(spark, sf), _scraped_changes(spark, sf), number=True)
+    merged = upsert.upsert_scraped(jobs_v(spark, sf), _scraped_changes(spark, sf))
     return merged.select(*KEY, "id")
 
 

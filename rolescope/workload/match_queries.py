@@ -40,7 +40,7 @@ def _rank(level: str) -> str:
 
 _SCORED = f""", required_terms AS (
         SELECT *, list_sort(list_distinct(list_concat({canonical_list('tech_stack', TECH_MAP)}, {canonical_list('skills', SKILL_MAP)}))) AS required,
-            {canonical_list('candidate_terms', TECH_MAP)} AS own FROM pairs),
+            list_concat({canonical_list('candidate_terms', TECH_MAP)}, {canonical_list('candidate_terms', SKILL_MAP)}) AS own FROM pairs),
     compared AS (
         SELECT *, list_filter(required, lambda r: list_contains(own, r)) AS matching_skills,
             list_filter(required, lambda r: NOT list_contains(own, r)) AS missing_skills,
@@ -149,9 +149,9 @@ def match_enrich(spark, sf):
 
 @register("match_report", using("match_items", "jobs_v", "listed_v") + f"""SELECT m.job_id AS id, m.candidate_id, m.place, m.match_score, m.matching_skills,
         m.missing_skills, m.summary, {_POSTING_SQL}, coalesce(n, 0) AS jobs_analyzed
-    FROM (SELECT candidate_id, job_id, coalesce(match_score, 0) AS match_score, coalesce(matching_skills, '') AS matching_skills,
+    FROM (SELECT candidate_id, job_id, coalesce(match_score, 0::DOUBLE) AS match_score, coalesce(matching_skills, '') AS matching_skills,
             coalesce(missing_skills, '') AS missing_skills, coalesce(summary, '') AS summary,
-            CAST(row_number() OVER (PARTITION BY candidate_id ORDER BY coalesce(match_score, 0) DESC, job_id) AS INT) AS place FROM match_items) m
+            CAST(row_number() OVER (PARTITION BY candidate_id ORDER BY coalesce(match_score, 0::DOUBLE) DESC, job_id) AS INT) AS place FROM match_items) m
     LEFT JOIN jobs_v j ON m.job_id = j.id LEFT JOIN (SELECT candidate_id, count(*) AS n FROM listed_v GROUP BY candidate_id) l
         ON l.candidate_id = m.candidate_id WHERE place <= 10""")
 def match_report(spark, sf):

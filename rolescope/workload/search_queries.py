@@ -10,7 +10,7 @@ from ..functions.text import posting_block
 from ..plans import search
 from ..schemas import JOB_FIELDS
 from .registry import register
-from .views import jobs_v
+from .views import jobs_v, table
 from .views_sql import using
 
 JOBS = using("jobs_v")
@@ -107,7 +107,7 @@ def search_deep_page(spark, sf):
     from ..operators.ranking import deep_page
 
     rows = search.job_projection(jobs_v(spark, sf))
-    middle = spark.read.parquet(f"{sf}/orders.parquet").count() // 2
+    middle = table(spark, sf, "orders").agg(F.floor(F.count("*") / 2).alias("middle")).scalar()
     return flat(deep_page(rows, ["company", "title", "id"], middle, 500))
 
 

@@ -20,7 +20,8 @@ def stream_drain(spark, sf):
 
 
 @register("stream_upsert", using("jobs_v", "scraped_v") + """SELECT id, ats, company, job_id, title, url, raw_description, scraped_at FROM jobs_v
-    UNION ALL SELECT NULL, ats, company, job_id, concat('v2 ', title), url, description, TIMESTAMP '2026-01-01 00:00:00' FROM scraped_v""")
+    UNION ALL SELECT (SELECT max(id) FROM jobs_v) + row_number() OVER (ORDER BY ats, company, job_id), ats, company, job_id, concat('v2 ', title), url,
+        description, TIMESTAMP '2026-01-01 00:00:00' FROM scraped_v""")
 def stream_upsert(spark, sf):
     """Two arrivals of every document, drained one after the other, merged into the jobs table."""
     work = new_work_dir(spark, "upsert")

@@ -42,7 +42,7 @@ def jobs_v(spark: SparkSession, sf: str) -> DataFrame:
         "*", "o_custkey % (1 + o_orderkey % 200) AS cno", "o_orderkey % 12 AS d"
     )
     return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").selectExpr(
-        "CAST(o_orderkey + 1 AS INT) AS id",
+        "CAST(o_orderkey + 1 AS BIGINT) AS id",
         "CAST(o_orderkey AS STRING) AS job_id",
         "concat('company_', CAST(cno AS STRING)) AS company",
         "CASE (cno + CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END) % 4 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' "
@@ -74,7 +74,7 @@ def scraped_v(spark: SparkSession, sf: str) -> DataFrame:
         "CAST(doc_id AS STRING) AS job_id",
         "source AS company",
         "CASE lang WHEN 'en' THEN 'greenhouse' WHEN 'fr' THEN 'lever' WHEN 'de' THEN 'ashby' ELSE 'smartrecruiters' END AS ats",
-        "substring(text, 1, 60) AS title",
+        "concat('Opening ', CAST(doc_id AS STRING), ' at ', source) AS title",
         "concat('https://jobs.example.com/', source, '/', CAST(doc_id AS STRING)) AS url",
         "CASE WHEN doc_id % 9 <> 0 THEN concat('City_', CAST(doc_id % 37 AS STRING)) END AS location",
         "CASE WHEN doc_id % 11 = 0 THEN '' ELSE text END AS description",
@@ -183,7 +183,8 @@ _CANDIDATE_DEPARTMENTS = (
 def candidates_v(spark: SparkSession, sf: str) -> DataFrame:
     """One candidate per customer, with terms from the customer's orders."""
     terms = table(spark, sf, "orders").groupBy("o_custkey").agg(
-        F.array_sort(F.collect_set(_pick(TECHNOLOGIES, "o_orderkey % 20"))).alias("terms")
+        F.array_sort(F.array_union(
+            F.collect_set(_pick(TECHNOLOGIES, "o_orderkey % 20")), F.collect_set(_pick(SKILLS, "o_orderkey % 7")))).alias("terms")
     )
     customers = table(spark, sf, "customer")
     return customers.join(terms, F.col("c_custkey") == F.col("o_custkey"), "left").selectExpr(
@@ -199,7 +200,7 @@ def candidates_v(spark: SparkSession, sf: str) -> DataFrame:
 
 def listed_v(spark: SparkSession, sf: str) -> DataFrame:
     """The postings a candidate lists: those of its own orders."""
-    return table(spark, sf, "orders").selectExpr("o_custkey AS candidate_id", "CAST(o_orderkey + 1 AS INT) AS id")
+    return table(spark, sf, "orders").selectExpr("o_custkey AS candidate_id", "CAST(o_orderkey + 1 AS BIGINT) AS id")
 
 
 def registry_v(spark: SparkSession, sf: str) -> DataFrame:

@@ -29,7 +29,7 @@ _DEPARTMENT = (
 # Name -> (views it reads, query).
 VIEWS: dict[str, tuple[list[str], str]] = {
     "jobs_v": ([], f"""
-        SELECT CAST(o_orderkey + 1 AS INT) AS id, CAST(o_orderkey AS VARCHAR) AS job_id,
+        SELECT CAST(o_orderkey + 1 AS BIGINT) AS id, CAST(o_orderkey AS VARCHAR) AS job_id,
             concat('company_', cno) AS company, {_ATS_OF} AS ats, coalesce(line_title, 'untitled') AS title,
             concat('https://jobs.example.com/company_', cno, '/', o_orderkey) AS url,
             CASE WHEN o_orderkey % 9 <> 0 THEN concat('City_', o_custkey % 37) END AS location,
@@ -59,7 +59,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "scraped_v": ([], """
         SELECT CAST(doc_id AS VARCHAR) AS job_id, source AS company,
             CASE lang WHEN 'en' THEN 'greenhouse' WHEN 'fr' THEN 'lever' WHEN 'de' THEN 'ashby' ELSE 'smartrecruiters' END AS ats,
-            substring(text, 1, 60) AS title, concat('https://jobs.example.com/', source, '/', doc_id) AS url,
+            concat('Opening ', doc_id, ' at ', source) AS title, concat('https://jobs.example.com/', source, '/', doc_id) AS url,
             CASE WHEN doc_id % 9 <> 0 THEN concat('City_', doc_id % 37) END AS location,
             CASE WHEN doc_id % 11 = 0 THEN '' ELSE text END AS description
         FROM documents"""),
@@ -125,9 +125,10 @@ VIEWS: dict[str, tuple[list[str], str]] = {
             CASE WHEN c_nationkey % 2 = 0 THEN coalesce({_LEVEL}, '') ELSE '' END AS want_seniority,
             concat(c_name, ', ', lower(c_mktsegment), '. Knows: ', coalesce(array_to_string(terms, ', '), 'nothing yet')) AS text
         FROM customer LEFT JOIN (
-            SELECT o_custkey, list_sort(array_agg(DISTINCT {literals(TECHNOLOGIES)}[CAST(o_orderkey % 20 + 1 AS INT)])) AS terms
+            SELECT o_custkey, list_sort(list_distinct(list_concat(array_agg(DISTINCT {literals(TECHNOLOGIES)}[CAST(o_orderkey % 20 + 1 AS INT)]),
+                array_agg(DISTINCT {literals(SKILLS)}[CAST(o_orderkey % 7 + 1 AS INT)])))) AS terms
             FROM orders GROUP BY o_custkey) t ON c_custkey = o_custkey"""),
-    "listed_v": ([], "SELECT o_custkey AS candidate_id, CAST(o_orderkey + 1 AS INT) AS id FROM orders"),
+    "listed_v": ([], "SELECT o_custkey AS candidate_id, CAST(o_orderkey + 1 AS BIGINT) AS id FROM orders"),
     "registry_v": ([], """
         SELECT CAST(s_suppkey AS INT) AS position, CASE WHEN s_acctbal >= 1000 THEN s_name END AS name,
             CASE WHEN s_nationkey = 3 THEN NULL ELSE ['greenhouse', 'lever', 'ashby', 'smartrecruiters'][CAST(s_suppkey % 4 + 1 AS INT)] END AS ats,
@@ -135,8 +136,8 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         FROM supplier"""),
     # What the replies of match_replies_v say, stated without reading the JSON.
     "match_items": ([], """
-        SELECT o_custkey AS candidate_id, CAST(CASE WHEN o_orderkey % 19 = 0 THEN -1 - o_orderkey ELSE o_orderkey + 1 END AS INT) AS job_id,
-            CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE CAST(o_orderkey % 101 AS INT) END AS match_score,
+        SELECT o_custkey AS candidate_id, CAST(CASE WHEN o_orderkey % 19 = 0 THEN -1 - o_orderkey ELSE o_orderkey + 1 END AS BIGINT) AS job_id,
+            CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE CAST(o_orderkey % 101 AS DOUBLE) END AS match_score,
             CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 'sql|go' END AS matching_skills,
             CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 'rust' END AS missing_skills,
             CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE concat('fits ', o_orderstatus) END AS summary, o_orderkey

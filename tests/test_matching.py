@@ -4,13 +4,21 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rolescope.functions.terms import SKILLS, TECH
 from rolescope.operators import matching
 from rolescope.schemas import SENIORITIES
 
 LEVELS = [None, *SENIORITIES]
 DEPARTMENTS = [None, "Engineering", "Sales"]
-WORDS = ["k8s", "Go", "python3", "Scrum", "sql", "AWS"]
+# Each word and its names as a technology and as a skill.
+NAMES = {
+    "k8s": ("kubernetes", "k8s"),
+    "Go": ("go", "go"),
+    "python3": ("python", "python3"),
+    "Scrum": ("scrum", "scrum"),
+    "sql": ("sql", "sql"),
+    "AWS": ("aws", "aws"),
+}
+WORDS = list(NAMES)
 
 
 @pytest.fixture(scope="module")
@@ -29,14 +37,10 @@ def data(spark, jobs_from):
     return postings, people, jobs_from(*postings), spark.createDataFrame(people, schema)
 
 
-def canonical(values, dictionary):
-    return {dictionary.get(v.lower(), v.lower()) for v in values or []}
-
-
 def score(person, posting):
     _, terms, own, department, *_ = person
-    required = canonical(posting["tech_stack"], TECH) | canonical(posting["skills"], SKILLS)
-    have = canonical(terms, TECH)
+    required = {NAMES[w][0] for w in posting["tech_stack"] or []} | {NAMES[w][1] for w in posting["skills"]}
+    have = {name for w in terms for name in NAMES[w]}
     skills = len(required & have) / len(required) if required else 0.0
     level, potential = 0.5, 0.5
     if own and posting["seniority"]:
@@ -87,9 +91,20 @@ def test_listed_scope_with_hot_posting_and_candidate(spark, data):
     assert top == expected_top(people, lambda person: [by_id[i] for c, i in sorted(listed) if c == person[0] and i in by_id])
 
 
+def test_terms_count_as_technologies_and_as_skills(spark, jobs_from):
+    jobs = jobs_from({"id": 1, "tech_stack": ["ML", "k8s"], "skills": ["problem-solving", "Machine Learning", "Communication"]})
+    people = spark.createDataFrame(
+        [(1, ["Problem Solving", "Machine Learning", "Kubernetes"], None, None, None, None, "")],
+        "candidate_id int, terms array<string>, level string, department string, want_department string, want_seniority string, text string")
+    listed = spark.createDataFrame([(1, 1)], "candidate_id int, id long")
+    row = matching.skill_overlap(matching.scope_by_ids(people, jobs, listed)).first()
+    assert row.matching_skills == ["kubernetes", "machine-learning", "ml", "problem-solving"] and row.missing_skills == ["communication"]
+
+
 def test_listed_ids(spark):
-    rows = spark.createDataFrame([(1, "1, 2,,3,"), (2, " "), (3, "2,2")], "candidate_id int, job_ids string")
-    assert sorted(map(tuple, matching.listed_ids(rows).collect())) == [(1, 1), (1, 2), (1, 3), (3, 2)]
+    rows = spark.createDataFrame([(1, "1, 2,,3,"), (2, " "), (3, "2,2"), (4, "x, 9, 99999999999999999999")], "candidate_id int, job_ids string")
+    assert sorted(map(tuple, matching.listed_ids(rows).collect())) == [(1, 1), (1, 2), (1, 3), (3, 2), (4, 9)]
+    assert sorted(map(tuple, matching.unlisted_ids(rows).collect())) == [(4, "99999999999999999999"), (4, "x")]
 
 
 def test_bands(spark):

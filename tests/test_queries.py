@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from rolescope.workload import registry
 from tools.check_oracles import compare, connect
 
-SMALL = "/root/testdata/sf0.001"
+SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 
@@ -22,7 +22,9 @@ def test_every_query_has_an_oracle():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_oracle(spark, duck, name):
     problem = compare(QUERIES[name], ORACLES[name], spark, duck, SMALL)
-    assert problem in ("", "no rows"), problem
+    if problem == "no rows":  # too few tables' rows for this filter: an empty result proves nothing
+        problem = compare(QUERIES[name], ORACLES[name], spark, connect(LARGER), LARGER)
+    assert problem == "", problem
 
 
 def test_entry(spark):

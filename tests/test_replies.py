@@ -1,39 +1,37 @@
 import json
-import re
 
 from pyspark.sql import functions as F
 
 from rolescope.functions.replies import match_errors, parse_matches, reply_fields, salvage_json
 
 OBJECT = '{"department": "Sales", "salary_min": "150000", "tech_stack": ["K8s", null], "x": {"y": 1}}'
-REPLIES = [
-    OBJECT, f"  {OBJECT}\n", f"```json\n{OBJECT}\n```", f"```\n{OBJECT}\n```", f"Sure: {OBJECT} Bye {{not json}}",
-    '{"a": {"b": {"c": 1}}}', 'text {"a": {"b": {"c": 1}}} text', OBJECT[:30], "{}", "", None, "nothing here",
-    "{bad} then {\"good\": 1}", '{"a": 1} trailing {"b": 2}', "``` json {\"a\": 1} ```", '{"a": 1, "a": 2}',
+VALUE = json.loads(OBJECT)
+# Replies and the object to find in them, by hand.
+FOUND = [
+    (OBJECT, VALUE),
+    (f"  {OBJECT}\n", VALUE),
+    (f"```json\n{OBJECT}\n```", VALUE),
+    (f"```\n{OBJECT}\n```", VALUE),
+    (f"Sure: {OBJECT} Bye {{not json}}", VALUE),
+    ('{"a": {"b": {"c": 1}}}', {"a": {"b": {"c": 1}}}),
+    ('text {"a": {"b": 1}} text', {"a": {"b": 1}}),
+    (OBJECT[:30], None),
+    ("{}", {}),
+    ("", None),
+    (None, None),
+    ("nothing here", None),
+    ('{bad} then {"good": 1}', {"good": 1}),
+    ('{"a": 1} trailing {"b": 2}', {"a": 1}),
+    ('``` json {"a": 1} ```', {"a": 1}),
+    ('{"a": 1, "a": 2}', {"a": 2}),
+    ('[{"a": 1}]', {"a": 1}),
 ]
 
 
-def salvage(reply):
-    """The same order of attempts in plain Python, objects only."""
-    if not reply:
-        return None
-    attempts = [reply.strip()]
-    for pattern in (r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", r"```json\s*(.*?)\s*```", r"```\s*(.*?)\s*```"):
-        attempts += re.findall(pattern, reply, re.DOTALL)
-    for attempt in attempts:
-        try:
-            value = json.loads(attempt)
-        except ValueError:
-            continue
-        if isinstance(value, dict):
-            return value
-    return None
-
-
-def test_salvage_like_python(spark):
-    rows = spark.createDataFrame([(i, r) for i, r in enumerate(REPLIES)], "i int, r string")
+def test_salvage(spark):
+    rows = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(FOUND)], "i int, r string")
     got = [r[1] for r in rows.select("i", salvage_json(F.col("r"))).orderBy("i").collect()]
-    assert [None if g is None else json.loads(g) for g in got] == [salvage(r) for r in REPLIES]
+    assert [None if g is None else json.loads(g) for g in got] == [value for _, value in FOUND]
 
 
 def test_deep_nesting_does_not_overflow(spark):
@@ -55,5 +53,5 @@ def test_match_replies(spark):
     rows = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, reply string")
     got = parse_matches(rows).orderBy("i", "job_id").collect()
     assert [(r.i, r.job_id, r.match_score, r.missing_skills, r.summary) for r in got] == [
-        (0, 1, 90, [], "ok"), (1, 1, 90, [], "ok"), (1, 2, None, None, None), (7, 7, 87, None, "3")]
+        (0, 1, 90, [], "ok"), (1, 1, 90, [], "ok"), (1, 2, None, None, None), (7, 7, 87.5, None, "3")]
     assert sorted(r.i for r in match_errors(rows).collect()) == [2, 3, 5, 6]

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolescope.functions import predicates as P
+from rolescope.operators.ranking import deep_page
 from rolescope.plans import questions, search
 from rolescope.schemas import JOB_FIELDS
 
@@ -46,7 +47,7 @@ def test_pages_join_up_to_the_whole(jobs):
     whole = [r.id for r in search.page(jobs, order, 100).collect()]
     parts = [r.id for start in range(0, 4, 2) for r in search.page(jobs, order, 2, start).collect()]
     assert whole == parts == [3, 4, 1, 2]
-    deep = [r.id for r in search.page(jobs, order, search.DEEP_PAGE, 1).collect()]
+    deep = [r.id for r in deep_page(jobs, ["company", "id"], 1, 3).collect()]
     assert sorted(deep) == sorted(whole[1:])
 
 

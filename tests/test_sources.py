@@ -104,3 +104,22 @@ def test_save_postings_replaces_only_given_companies(spark, tmp_path):
     files.save_postings(spark.createDataFrame([("x", "a", 1), ("x", "a", 2), ("y", "b", 3)], schema), path)
     files.save_postings(spark.createDataFrame([("x", "a", 9)], schema), path)
     assert sorted((r.slug, r.id) for r in spark.read.parquet(path).collect()) == [("a", 9), ("b", 3)]
+
+
+def test_save_postings_empties_companies_without_rows(spark, tmp_path):
+    path, schema = str(tmp_path / "out"), "id int, ats string, slug string"
+    rows = spark.createDataFrame([(1, "x", "a"), (2, "x", "b"), (3, "y", "c")], schema)
+    files.save_postings(rows, path)
+    files.save_postings(rows.where("id = 1"), path, companies=rows.where("ats = 'x'").select("ats", "slug"))
+    assert sorted((r.id, r.slug) for r in files.read_postings(spark, path, schema).collect()) == [(1, "a"), (3, "c")]
+
+
+def test_repeated_details_and_null_payloads(spark):
+    from rolescope.sources import payloads
+
+    postings = spark.createDataFrame([("smartrecruiters", "s", "1", "t", "l", "u", None)], "ats string, slug string, id string, title string, location string, url string, description string")
+    detail = '{"jobAd": {"sections": {"jobDescription": {"title": "Job", "text": "%s"}}}}'
+    details = spark.createDataFrame([("s", "1", detail % "one"), ("s", "1", detail % "two")], "slug string, id string, raw string")
+    assert payloads.with_sections(postings, details).count() == 1
+    raw = spark.createDataFrame([("lever", "a", "null"), ("lever", "b", "[]"), ("lever", "c", " null\n")], "ats string, slug string, raw string")
+    assert sorted(r.slug for r in payloads.payload_errors(raw).collect()) == ["a", "c"]

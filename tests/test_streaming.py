@@ -1,5 +1,8 @@
 import json
 
+import pytest
+from pyspark.errors import StreamingQueryException
+
 from rolescope.sources.files import scan_scraped
 from rolescope.streaming import landing
 
@@ -45,3 +48,16 @@ def test_change_log_merges_and_compacts(spark, tmp_path, jobs_from):
     stored = spark.read.schema(jobs.schema).parquet(out)
     assert state(stored) == expected and state(landing.merged_jobs(stored, log, after=1)) == expected
     assert state(landing.merged_jobs(stored, log)) == expected
+
+
+def test_a_log_refuses_a_second_checkpoint(spark, tmp_path, jobs_from):
+    folder, log = tmp_path / "in", str(tmp_path / "log")
+    arrive(folder, "a1.json", "acme", "first", "1", "2026-01-01T00:00:00")
+    stream = lambda: landing.read_landing(spark, str(folder))
+    landing.drain_changes(stream(), log, str(tmp_path / "one"))
+    with pytest.raises(StreamingQueryException):
+        landing.drain_changes(stream(), log, str(tmp_path / "two"))
+    arrive(folder, "a2.json", "acme", "second", "2", "2026-01-01T00:00:00")
+    landing.drain_changes(stream(), log, str(tmp_path / "one"))
+    rows = landing.merged_jobs(jobs_from({"id": 7, "job_id": "9"}), log).collect()
+    assert sorted((r.job_id, r.id) for r in rows) == [("1", 8), ("2", 9), ("9", 7)]

@@ -32,12 +32,12 @@ def test_scraped_last_wins_and_fields_survive(spark, jobs):
         posting("1", "first", 2, pos=0), posting("1", "last", 2, pos=1, url=None, text=None),
         posting("3", "new b", 4, "b"), posting("3", "new a", 4, "a"), posting("3", "newest", 5, "a"),
     ], POSTING)
-    merged = upsert_scraped(jobs, source, number=True)
+    merged = upsert_scraped(jobs, source)
     rows = {r.job_id: r for r in merged.collect()}
     assert (rows["1"].title, rows["1"].url, rows["1"].raw_description, rows["1"].department, rows["1"].id) == ("last", None, None, "Sales", 5)
     assert rows["1"].scraped_at == day(1) and rows["2"].title == "stay"
     assert (rows["3"].title, rows["3"].scraped_at, rows["3"].id, rows["3"].department) == ("newest", day(4), 10, None)
-    again = upsert_scraped(merged, source, number=True)
+    again = upsert_scraped(merged, source)
     assert sorted(map(str, again.collect())) == sorted(map(str, merged.collect()))
 
 
@@ -56,7 +56,7 @@ def test_parsed_replaces_with_null(spark, jobs):
 
 def test_upsert_into_empty_table(spark, jobs):
     source = spark.createDataFrame([posting("b", "x"), posting("a", "y")], POSTING)
-    rows = upsert_scraped(jobs.limit(0), source, number=True).collect()
+    rows = upsert_scraped(jobs.limit(0), source).collect()
     assert {r.job_id: r.id for r in rows} == {"a": 1, "b": 2}
 
 
