@@ -167,36 +167,42 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 
 
 class WordStore:
-    """Codes of the words met so far in a Python worker, so that each is encoded once. Bounded: it starts anew when full.
+    """Codes of the words met so far in a Python worker, so that frequent ones are encoded once. Bounded: when it is full, the half
+    that was used most stays.
 
     ``encode`` takes a list of words and returns all their codes in a row, and the number of codes of each.
     """
 
-    def __init__(self, encode, max_words: int = 300_000, max_codes: int = 4_000_000):
+    def __init__(self, encode, max_words: int = 400_000, max_codes: int = 4_000_000):
         self.encode, self.max_words, self.max_codes = encode, max_words, max_codes
-        self._clear()
-
-    def _clear(self) -> None:
         self.rows: dict = {}
-        self.parts, self.lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        self.values, self.lengths, self.uses = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _shrink(self) -> None:
+        kept = np.argsort(-self.uses, kind="stable")[: self.max_words // 2]
+        kept = np.sort(kept[np.cumsum(self.lengths[kept]) <= self.max_codes // 2])
+        known = list(self.rows)  # in the order of their rows
+        self.values = gather(self.values, (np.cumsum(self.lengths) - self.lengths)[kept], self.lengths[kept])
+        self.lengths, self.uses = self.lengths[kept], self.uses[kept] // 2
+        self.rows = {known[i]: row for row, i in enumerate(kept.tolist())}
 
     def codes(self, words: list) -> tuple[np.ndarray, np.ndarray]:
         """All codes of the words in order, and the number of codes of each word."""
-        if len(self.rows) > self.max_words or sum(map(len, self.parts)) > self.max_codes:
-            self._clear()
+        if len(self.rows) > self.max_words or len(self.values) > self.max_codes:
+            self._shrink()
         missing = list(set(words) - self.rows.keys())
         if missing:
             found, counts = self.encode(missing)
             self.rows.update(zip(missing, range(len(self.rows), len(self.rows) + len(missing))))
-            self.parts = [np.concatenate([*self.parts, found])]
-            self.lengths = [np.concatenate([*self.lengths, counts])]
-        lengths = self.lengths[0]
+            self.values, self.lengths = np.concatenate([self.values, found]), np.concatenate([self.lengths, counts])
+            self.uses = np.concatenate([self.uses, np.zeros(len(missing), np.int64)])
         row = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-        starts = np.cumsum(lengths) - lengths
-        return gather(self.parts[0], starts[row], lengths[row]), lengths[row]
+        self.uses += np.bincount(row, minlength=len(self.uses))
+        starts, lengths = (np.cumsum(self.lengths) - self.lengths)[row], self.lengths[row]
+        return gather(self.values, starts, lengths), lengths
 
 
-def text_slices(texts: list[str | None], size: int = 1 << 20) -> Iterator[list[str | None]]:
+def text_slices(texts: list[str | None], size: int = 1 << 21) -> Iterator[list[str | None]]:
     """Cut a list of texts where about ``size`` characters are reached; memory then depends on this and the longest text only."""
     part, n = [], 0
     for text in texts:

@@ -13,9 +13,12 @@ chunks (64 bit), bitmap words (64 bit), directory (64 bit), chunks (8 bit). Sect
 from __future__ import annotations
 
 import os
+import re
+import string
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import WordStore, column, text_slices
+from .common import WordStore, column, raw_text, text_slices
 
 MAGIC = b"DAC1\0\0\0\0"
 STEP = 512
@@ -122,9 +125,13 @@ class TokenFile:
 class WordTokenizer:
     """A tokenizers file whose pre-tokens never span blanks or line ends, so that what stands between these is encoded once.
 
-    Blanks and line ends must yield no ids and end every pre-token, and special tokens must hold neither.
+    Blanks and line ends must yield no ids and end every pre-token, and special tokens must hold neither. Where the file ignores the
+    case of A-Z, words are looked up in lower case; where it parts letters from full stops and commas, these are words of their own.
     """
 
+    # A stop or comma that follows no letter or digit may belong to a longer run of signs.
+    SIGNS = re.compile(r"[\W_][.,][ \n]")
+
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
@@ -132,18 +139,32 @@ class WordTokenizer:
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         if self.tokenizer.encode(" \n ", add_special_tokens=False).ids:
             raise ValueError("this tokenizer gives ids to blanks")
+        letters = string.ascii_uppercase
+        self.lowers = all(self._ids(c) == self._ids(c.lower()) for c in letters)
+        self.parts = all(self._ids(f"{c}{s} {c}") == self._ids(f"{c} {s} {c}") for c in letters + letters.lower() + string.digits for s in ".,")
         self.store = WordStore(self._encode)
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _words(self, text: str) -> list[str]:
+        if "<|" not in text:  # special tokens are found before case is changed
+            if self.lowers:
+                text = raw_text(text).lower().decode("utf-8", "surrogatepass")
+            if self.parts and not self.SIGNS.search(text):
+                text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
+        return text.replace("\n", " ").split(" ")
+
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.int32, int(lengths.sum())), lengths
+        return np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum())), lengths
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, each ended by the end id, and the number of ids of each."""
         words, counts = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            own = (text or "").replace("\n", " ").split(" ")
+            own = self._words(text or "")
             counts[i] = len(own)
             words += own
         ids, lengths = self.store.codes(words)

@@ -15,7 +15,7 @@ from rolescope.session import new_work_dir
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", None, " ", "\n", "a b", "A  B\n\tC\x0b\x0cd\r\n", "<|endoftext|> x<|startoftext|>", "ΑΣ ΣΑΣ ς", "é é 你好🙂", "\x1c\x1d x y z　", "it's we'll 'S",
-       "İstanbul ǅ", "12345", "́ ́a ̈", "long " * 20_000, "x" * 30_000]
+       "İstanbul ǅ", "12345", "́ ́a ̈", "long " * 20_000, "x" * 30_000, "Å, b. C.\nd $$$, x", "A\u030A K\u0301, 1. 2,\n3.,4 a., b. <, x", "don't, It'S. <|ENDOFTEXT|>, A", "_, a", "., ."]
 
 
 @settings(max_examples=60, deadline=None)
