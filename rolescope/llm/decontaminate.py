@@ -123,16 +123,17 @@ class TestSeeds:
 
 
 def _best_span(same: np.ndarray, similarity: float, min_tokens: int) -> tuple[int, int] | None:
-    """The span with the largest surplus of matches over the similarity asked for, if it is long and similar enough."""
-    gain = np.where(same, 1 - similarity, -similarity)
-    total = np.concatenate([[0.0], np.cumsum(gain)])
-    lowest = np.minimum.accumulate(total)
-    end = int(np.argmax(total - lowest))
-    if not end:
+    """Of the spans of at least ``min_tokens`` tokens, the one whose matches exceed the similarity most; None if none reaches it."""
+    if len(same) < min_tokens:
         return None
-    start = int(np.flatnonzero(total[: end + 1] <= lowest[end])[0])
-    similar = same[start:end].sum() >= similarity * (end - start) - 1e-9
-    return (start, end) if end - start >= min_tokens and similar else None
+    asked = round(similarity * 1000)  # whole numbers: a span that just reaches the similarity has a surplus of 0
+    total = np.concatenate([[0], np.cumsum(np.where(same, 1000 - asked, -asked))])
+    lowest = np.minimum.accumulate(total[: len(total) - min_tokens])
+    surplus = total[min_tokens:] - lowest
+    best = int(np.argmax(surplus))
+    if surplus[best] < 0:
+        return None
+    return int(np.flatnonzero(total[: best + 1] == lowest[best])[0]), best + min_tokens
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, block_tokens: int) -> Iterator[list[tuple[int, str]]]:

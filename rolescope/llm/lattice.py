@@ -337,7 +337,7 @@ def score(docs: DataFrame, training: Column, path: str, rounds: int = ROUNDS, ho
     own = parts.join(scored.drop("n"), F.col("word") == F.col("w"), "left")
     k = F.col("k")
     sums = own.groupBy("row").agg(
-        F.max("doc").alias("doc_id"), F.sum(F.col("tokens") + k).alias("tokens"),
+        F.max("doc").alias("doc_id"), F.sum("tokens").alias("tokens"),
         F.sum(F.col("known") + F.when(F.col("c") > 0, k).otherwise(0)).alias("known"),
         F.sum(F.col("base") + F.coalesce(k * F.col("b"), F.lit(0.0))).alias("base"),
         F.sum(F.col("model") + F.coalesce(k * F.col("m"), F.lit(0.0))).alias("model"))
