@@ -72,31 +72,43 @@ FEEDS: dict[str, Feed] = {
 SECTIONS = ["jobDescription", "qualifications", "additionalInformation", "companyDescription"]
 
 
-def parse_feed(payloads: DataFrame, ats: str) -> DataFrame:
-    """Postings of one system; a payload that does not parse, or has no list, gives no rows."""
-    feed = FEEDS[ats]
-    posting = F.col("posting")
+def _by_ats(fields: dict[str, Column]) -> Column:
+    """The expression of a row's own system."""
+    (first, column), *others = fields.items()
+    chosen = F.when(F.col("ats") == first, column)
+    for ats, column in others:
+        chosen = chosen.when(F.col("ats") == ats, column)
+    return chosen
+
+
+def parse_feeds(payloads: DataFrame, systems: tuple[str, ...] = tuple(FEEDS)) -> DataFrame:
+    """Postings of some systems, in one scan and one parse of each payload; a payload that does not parse, or has no list, gives no rows.
+    Descriptions are cleaned; a system that has none in its list gets ''."""
+    feeds = {ats: FEEDS[ats] for ats in systems}
+    slug, posting = F.col("slug"), F.col("posting")
     # Parsed in a column of its own and checked inside the generator: a filter would be moved below the
     # parsing and parse each payload again.
-    parsed = payloads.where(F.col("ats") == ats).withColumn("_json", wrapped_json(F.col("raw")))
-    listed = F.try_variant_get("_json", "$[0]" + feed.postings.removeprefix("$"), "array<variant>")
-    exploded = parsed.select(
-        "ats", "slug", F.explode(F.when(is_one_value(F.col("_json")), listed)).alias("posting")
-    )
-    description = F.lit("") if feed.description is None else feed.description(F.col("slug"), posting)
+    parsed = payloads.where(F.col("ats").isin(*systems)).withColumn("_json", wrapped_json(F.col("raw")))
+    listed = _by_ats({ats: F.try_variant_get("_json", "$[0]" + f.postings.removeprefix("$"), "array<variant>") for ats, f in feeds.items()})
+    exploded = parsed.select("ats", "slug", F.explode(F.when(is_one_value(F.col("_json")), listed)).alias("posting"))
     mapped = exploded.select(
         "ats", "slug",
-        _text("$.id")(F.col("slug"), posting).alias("id"),
-        feed.title(F.col("slug"), posting).alias("title"),
-        feed.location(F.col("slug"), posting).alias("location"),
-        feed.url(F.col("slug"), posting).alias("url"),
-        description.alias("description"),
+        _text("$.id")(slug, posting).alias("id"),
+        _by_ats({ats: f.title(slug, posting) for ats, f in feeds.items()}).alias("title"),
+        _by_ats({ats: f.location(slug, posting) for ats, f in feeds.items()}).alias("location"),
+        _by_ats({ats: f.url(slug, posting) for ats, f in feeds.items()}).alias("url"),
+        _by_ats({ats: F.lit("") if f.description is None else f.description(slug, posting) for ats, f in feeds.items()}).alias("description"),
     )
-    if feed.description is None:
+    if all(f.description is None for f in feeds.values()):
         return mapped
     return mapped.withColumn("description", clean_description(F.col("description")))
 
 
+def parse_feed(payloads: DataFrame, ats: str) -> DataFrame:
+    """Postings of one system."""
+    return parse_feeds(payloads, (ats,))
+
+
 def section_text(detail: Column) -> Column:
     """The description in a posting's parsed detail document: titled sections in fixed order."""
     parts = []
@@ -127,14 +139,13 @@ def with_sections(postings: DataFrame, details: DataFrame) -> DataFrame:
 
 
 def parse_payloads(payloads: DataFrame, details: DataFrame | None = None) -> DataFrame:
-    """All systems as one table of records."""
-    feeds = {ats: parse_feed(payloads, ats) for ats in FEEDS}
-    if details is not None:
-        feeds["smartrecruiters"] = with_sections(feeds["smartrecruiters"], details)
-    first, *rest = feeds.values()
-    for feed in rest:
-        first = first.unionByName(feed)
-    return first
+    """All systems as one table of records, in one scan; with ``details`` the system that has them is read on its own, so that no
+    other system's postings are sent to the join."""
+    if details is None:
+        return parse_feeds(payloads)
+    detailed = "smartrecruiters"
+    others = parse_feeds(payloads, tuple(ats for ats in FEEDS if ats != detailed))
+    return others.select(*RECORD).unionByName(with_sections(parse_feed(payloads, detailed), details))
 
 
 def payload_error() -> Column:

@@ -242,3 +242,11 @@ def batch_summary(spark, sf):
     count(*) - count(department) AS errors FROM jobs_v GROUP BY ats, company""")
 def merge_batches(spark, sf):
     return batches.merge_batches(batches.batch_documents(extracted_postings(spark, sf)))
+
+
+@register("merged_postings", _BATCHED + """SELECT ats, company, batch_id, job_id, title, department,
+    CAST(row_number() OVER (PARTITION BY ats, company, batch_id ORDER BY job_id) - 1 AS INT) AS pos FROM batched""")
+def merged_postings(spark, sf):
+    """The postings of all batches of a company, as one list of rows."""
+    rows = batches.merged_postings(batches.batch_documents(extracted_postings(spark, sf)))
+    return rows.select("ats", "company", "batch_id", "job_id", "title", "department", "pos")
