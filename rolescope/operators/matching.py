@@ -7,6 +7,9 @@ candidate, never with candidates times postings.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from ..schemas import JOB_FIELDS, MAX_POSTINGS_BLOCK, MAX_RESUME, SENIORITIES
 from ..session import stored
 
 TOP = 10
+QUERY_COLUMNS = ("title", "job_summary")
 
 
 def parse_ids(text: str) -> list[int]:
@@ -45,26 +49,50 @@ def scope_by_filters(
 ) -> DataFrame:
     """Pairs of each candidate with the first ``limit`` postings (by id) that pass its filters.
 
-    ``want_department`` and ``want_seniority`` of a candidate are its filters, NULL or '' for none.
+    ``want_department`` and ``want_seniority`` of a candidate are its filters, NULL or '' for none; so are ``want_query`` and
+    ``want_company``, if there are such columns, beside the ``query`` and ``company`` that hold for all.
     Candidates with equal filters share a scope, so postings are ranked once per filter value. The ids
     and then the scopes, ``limit`` rows per filter value, are stored: knowing their size, Spark
     reads the postings' fields and pairs the candidates by broadcast. Should there be too many filter
     values for that, both joins shuffle, and AQE splits a scope that most want. Candidates are spread
     before they fan out, by their id, so that a top-k of the pairs needs no further shuffle.
     """
-    eligible = jobs.where(job_filters(query=query, query_columns=("title", "job_summary"), company=company))
-    ids = stored(_first_ids(eligible, limit), "scope-ids")
+    eligible = jobs.where(job_filters(query=query, query_columns=QUERY_COLUMNS, company=company))
+    own = {f"scope_{c}": F.coalesce(f"want_{c}", F.lit("")) for c in ("query", "company") if f"want_{c}" in candidates.columns}
+    if own:
+        eligible = _tagged(eligible, candidates.select(*[c.alias(n) for n, c in own.items()]).distinct())
+    ids = stored(_first_ids(eligible, limit, tuple(own)), "scope-ids")
     scopes = stored(ids.join(jobs.select(*JOB_FIELDS), "id"), "scopes")
     asking = candidates.withColumns({
         "scope_department": F.coalesce("want_department", F.lit("")),
         "scope_seniority": F.coalesce("want_seniority", F.lit("")),
-    })
+    } | own)
     partitions = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = asking.repartition(partitions, "candidate_id")
-    return _pair(spread, scopes, ["scope_department", "scope_seniority"])
+    return _pair(spread, scopes, ["scope_department", "scope_seniority", *own])
 
 
-def _first_ids(jobs: DataFrame, limit: int) -> DataFrame:
+def _tagged(jobs: DataFrame, filters: DataFrame, block: int = 50) -> DataFrame:
+    """Each posting once per distinct filter of ``filters`` (scope_query, scope_company) that it passes, with the filter's columns.
+
+    The filters are the query set: they are read in blocks, and all filters of a block are tried in one scan of the postings.
+    """
+    rows = filters.orderBy(*filters.columns).toLocalIterator()
+    parts = []
+    while listed := [row.asDict() for row in islice(rows, block)]:
+        passed = F.array_compact(F.array(*[
+            F.when(
+                job_filters(query=f.get("scope_query"), query_columns=QUERY_COLUMNS, company=f.get("scope_company")),
+                F.struct(*[F.lit(v).alias(n) for n, v in f.items()]))
+            for f in listed
+        ]))
+        parts.append(jobs.select("id", "department", "seniority", F.explode(passed).alias("scope")).select("id", "department", "seniority", "scope.*"))
+    if not parts:
+        return jobs.select("id", "department", "seniority", *[F.lit("").alias(c) for c in filters.columns]).limit(0)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _first_ids(jobs: DataFrame, limit: int, own: tuple[str, ...] = ()) -> DataFrame:
     """The first ``limit`` ids of each filter value, with '' for a filter that is not set.
 
     Ranked on three narrow columns per (department, seniority) first, which Spark also does in the map
@@ -76,15 +104,15 @@ def _first_ids(jobs: DataFrame, limit: int) -> DataFrame:
         place = F.row_number().over(Window.partitionBy(*scope).orderBy("id"))
         return rows.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
 
-    narrow = first(jobs.select("id", "department", "seniority"), "department", "seniority")
+    narrow = first(jobs.select("id", "department", "seniority", *own), *own, "department", "seniority")
     scopes = F.explode(F.array(*[
         F.struct(department.alias("scope_department"), seniority.alias("scope_seniority"))
         for department in (F.col("department"), F.lit(""))
         for seniority in (F.col("seniority"), F.lit(""))
     ]))
-    widened = narrow.select("id", scopes.alias("scope")).select("id", "scope.*")
+    widened = narrow.select("id", *own, scopes.alias("scope")).select("id", *own, "scope.*")
     known = widened.where("scope_department IS NOT NULL AND scope_seniority IS NOT NULL")
-    return first(known, "scope_department", "scope_seniority")
+    return first(known, *own, "scope_department", "scope_seniority")
 
 
 def scope_by_ids(candidates: DataFrame, jobs: DataFrame, listed: DataFrame) -> DataFrame:

@@ -81,6 +81,26 @@ def match_scope(spark, sf):
     return _filtered(spark, sf, query="ing").select("candidate_id", "id")
 
 
+_OWN_SCOPE = using("jobs_v", "candidates_v").rstrip() + """, asking AS (
+        SELECT candidate_id, coalesce(want_department, '') AS d, coalesce(want_seniority, '') AS s, (['ing', 'line 3', ''])[candidate_id % 3 + 1] AS q,
+            CASE WHEN candidate_id % 2 = 0 THEN 'company_1' ELSE '' END AS co FROM candidates_v),
+    wanted AS (SELECT DISTINCT d, s, q, co FROM asking),
+    ranked AS (SELECT d, s, q, co, id, row_number() OVER (PARTITION BY d, s, q, co ORDER BY id) AS place FROM wanted JOIN jobs_v ON
+        (d = '' OR department = d) AND (s = '' OR seniority = s) AND (co = '' OR contains(lower(company), co))
+        AND (q = '' OR contains(lower(title), q) OR contains(lower(job_summary), q)))
+"""
+
+
+@register("match_scope_own", _OWN_SCOPE + "SELECT candidate_id, id FROM asking JOIN ranked USING (d, s, q, co) WHERE place <= 20")
+def match_scope_own(spark, sf):
+    """Every candidate with a keyword and a company of its own."""
+    asking = candidates_v(spark, sf).withColumns({
+        "want_query": F.expr("element_at(array('ing', 'line 3', ''), CAST(candidate_id % 3 + 1 AS INT))"),
+        "want_company": F.expr("CASE WHEN candidate_id % 2 = 0 THEN 'company_1' END"),
+    })
+    return matching.scope_by_filters(asking, jobs_v(spark, sf)).select("candidate_id", "id")
+
+
 @register("match_scope_listed", _LISTED_SCOPE + "SELECT candidate_id, id FROM pairs")
 def match_scope_listed(spark, sf):
     """Scopes from comma-separated ids, as a user would send them."""

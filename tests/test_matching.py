@@ -79,6 +79,24 @@ def test_scope_with_keyword(data):
     assert {(r.candidate_id, r.id) for r in pairs.collect()} == expected
 
 
+@pytest.mark.parametrize("block", [1, 50])
+def test_scope_with_own_keyword_and_company(spark, data, monkeypatch, block):
+    postings, people, jobs, candidates = data
+    default = matching._tagged
+    monkeypatch.setattr(matching, "_tagged", lambda *a: default(*a, block))
+    wanted = {c[0]: (["alpha", "", None, "nothing"][c[0] % 4], [None, "ACM", "other"][c[0] % 3]) for c in people}
+    own = spark.createDataFrame([(c, *w) for c, w in wanted.items()], "candidate_id int, want_query string, want_company string")
+    pairs = matching.scope_by_filters(candidates.join(own, "candidate_id"), jobs, 7, query="t")
+
+    def passes(person, p):
+        query, company = wanted[person[0]]
+        words = [x.lower() for x in (p["title"], p["job_summary"] or "")]
+        return any("t" in x for x in words) and (not query or any(query in x for x in words)) and company != "other"
+
+    expected = {(c[0], p["id"]) for c in people for p in filtered(postings, c, 7, lambda p, c=c: passes(c, p))}
+    assert {(r.candidate_id, r.id) for r in pairs.collect()} == expected and len(expected) > 50
+
+
 def test_listed_scope_with_hot_posting_and_candidate(spark, data):
     postings, people, jobs, candidates = data
     listed = {(c, 1) for c in range(40)} | {(0, i) for i in range(1, 201)} | {(5, 999), (77, 3)}
