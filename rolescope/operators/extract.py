@@ -123,4 +123,5 @@ def upsert_rows(extracted: DataFrame, parsed_at: Column) -> DataFrame:
     """The successful rows of ``extract_jobs``, ready for ``upsert_parsed``: absent lists empty, stamped."""
     rows = extracted.where("error IS NULL").drop("error")
     stamped = rows.withColumns({n: F.coalesce(n, no_terms()) for n in EXTRACTED_ARRAYS} | {"parsed_at": parsed_at})
-    return stamped.withColumns({"file": F.lit(""), "pos": F.lit(0)})
+    # Of two rows of a key with one stamp the same one must win every time: their content decides.
+    return stamped.withColumns({"file": F.lit(""), "pos": F.xxhash64(*stamped.columns)})

@@ -47,20 +47,47 @@ def salvage(spark, sf):
     )
 
 
-@register("extract_jobs", using("scraped_v") + f"""SELECT job_id, company, ats, url, CASE WHEN done THEN CASE WHEN n % 2 = 1 THEN 'Sales' ELSE 'Engineering' END END AS department,
+EXTRACTED_SQL = using("scraped_v") + f"""SELECT job_id, company, ats, url, CASE WHEN done THEN CASE WHEN n % 2 = 1 THEN 'Sales' ELSE 'Engineering' END END AS department,
         CASE WHEN done THEN CAST(n AS INT) END AS salary_min, CASE WHEN done THEN 'kubernetes|nodejs' END AS tech_stack,
         CASE WHEN done THEN 'scrum' END AS skills,
         CASE WHEN length(substring(description, 1, 8000)) < 100 THEN 'No description' WHEN NOT done THEN 'Failed to parse LLM response' END AS error
     FROM (SELECT *, n % 5 < 3 AND length(substring(description, 1, 8000)) >= 100 AS done
-        FROM (SELECT *, length({PROMPT_SQL}) AS n FROM scraped_v))""")
-def extract_jobs(spark, sf):
-    extracted = extract.extract_jobs(scraped_v(spark, sf), length_model())
+        FROM (SELECT *, length({PROMPT_SQL}) AS n FROM scraped_v))"""
+
+
+def _extracted(spark, sf, model):
+    extracted = extract.extract_jobs(scraped_v(spark, sf), model)
     return extracted.select(
         "job_id", "company", "ats", "url", "department", "salary_min",
         F.array_join("tech_stack", "|").alias("tech_stack"), F.array_join("skills", "|").alias("skills"), "error",
     )
 
 
+@register("extract_jobs", EXTRACTED_SQL)
+def extract_jobs(spark, sf):
+    return _extracted(spark, sf, length_model())
+
+
+def limited_model():
+    """The same model behind a rate limit: it turns away the first call of a task's batch and every fourth after it."""
+    answer, calls = length_model(), []
+
+    def limited(prompts):
+        calls.append(len(prompts))
+        if len(calls) % 4 == 1:
+            raise RuntimeError("rate limit reached, retry after 0")
+        return answer(prompts)
+
+    return limited
+
+
+@register("extract_retry", EXTRACTED_SQL)
+def extract_retry(spark, sf):
+    """Rate-limited calls are repeated until they answer."""
+    return _extracted(spark, sf, extract.retrying(limited_model(), sleep=lambda seconds: None))
+
+
+
 @register("extract_quality", f"""SELECT CASE lang WHEN 'en' THEN 'greenhouse' WHEN 'fr' THEN 'lever' WHEN 'de' THEN 'ashby' ELSE 'smartrecruiters' END AS ats,
         count(*) AS rows, count(*) FILTER (WHERE doc_id % 7 < 4 AND doc_id % 4 = 3) AS department_unknown,
         CAST(0 AS BIGINT) AS seniority_unknown, CAST(0 AS BIGINT) AS remote_policy_unknown

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.replies import match_errors, parse_matches
 from ..operators import matching
 from ..schemas import JOB_FIELDS, SENIORITIES
+from ..sources.files import decode_ignoring_errors
 from ..sources.files import resume_gate as gate
 from .registry import register
 from .search_queries import _BLOCK, flat
@@ -76,6 +77,16 @@ def resume_gate(spark, sf):
     return gate(table(spark, sf, "conversations")).select("conv_id", "turn", "text")
 
 
+@register("resume_bytes", f"""SELECT conv_id, turn, substring(concat(text, ' end'), 1, 8000) AS text FROM conversations
+    WHERE trim(concat(text, ' end'), {literal(WHITESPACE)}) <> ''""")
+def resume_bytes(spark, sf):
+    """Resumes read as bytes, with some that are not UTF-8 at the front and in the middle."""
+    stray = [F.unhex(F.lit(h)) for h in ("FF", "C3", "F09F")]
+    content = F.concat(stray[0], F.encode("text", "UTF-8"), stray[1], F.encode(F.lit(" end"), "UTF-8"), stray[2])
+    decoded = table(spark, sf, "conversations").select("conv_id", "turn", decode_ignoring_errors(content).alias("text"))
+    return gate(decoded).select("conv_id", "turn", "text")
+
+
 @register("match_scope", _filter_scope("title ILIKE '%ing%' OR job_summary ILIKE '%ing%'") + "SELECT candidate_id, id FROM pairs")
 def match_scope(spark, sf):
     return _filtered(spark, sf, query="ing").select("candidate_id", "id")
