@@ -29,8 +29,8 @@ from .common import column, raw_text, run_starts, whole_runs
 LENGTH = 100
 GRAM = 24
 BUFFER = 1 << 21  # bytes of text that step 1 holds at a time
-COLLECTION = 1 << 20  # bytes of pieces that are merged at a time
-SHARD = 1 << 18
+COLLECTION = 1 << 17  # bytes of pieces that are merged at a time
+SHARD = 1 << 16
 CROWD = 4096  # classes of an anchor beyond which its pieces are cut by further anchors
 MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2^64
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
@@ -268,7 +268,8 @@ def _joined(a: int, b: int) -> int:
 
 def transform(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffixes of a shard, sorted by their first ``depth`` bytes at least: for each its place in the shard's bytes (texts in a row,
-    each with an end mark), its length, and the transform: the symbol before it. Symbols are bytes plus one; 0 is an end mark.
+    each with an end mark), its length, and the transform: the two symbols before it, as one number, the nearer one in its low
+    byte; the farther one is 0 where the text does not reach so far. Symbols are bytes plus one; 0 is an end mark.
 
     Text has no byte 255, so symbols fit a byte. End marks differ: the earlier text's is smaller."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
@@ -292,8 +293,9 @@ def transform(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, n
         beyond[: n - done] = rank[done:]
         key = rank << np.uint64(32) | np.where(rest >= done, beyond, np.uint64(0))
         done *= 2
-    before = np.concatenate([[0], symbols[:-1]]).astype(np.uint8)
-    return order, rest[order], before[order]
+    near = np.concatenate([[0], symbols[:-1]]).astype(np.uint16)
+    far = np.concatenate([[0], near[:-1]]).astype(np.uint16)
+    return order, rest[order], (near | np.where(near > 0, far, 0) << 8).astype(np.uint16)[order]
 
 
 def repeated_strings(texts: list[bytes], length: int, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
@@ -302,9 +304,9 @@ def repeated_strings(texts: list[bytes], length: int, shard: int = SHARD) -> tup
     Places count bytes of all texts in a row with an end mark each; suffixes in one block agree in their first ``length`` bytes.
 
     ``turn`` is the interleave: which shard the next suffix comes from, in the order of the first k bytes. A round reads, in this order, the
-    symbols before the suffixes off the shards' transforms and sorts the turns by symbol, keeping order: that is the interleave by
-    k + 1 bytes of the suffixes one longer. A block is a common prefix of k bytes; it falls apart where symbols differ. Suffixes
-    shorter than k are left out, as nothing longer comes from them."""
+    two symbols before the suffixes off the shards' transforms and sorts the turns by them, keeping order: that is the interleave by
+    k + 2 bytes of the suffixes two longer. A block is a common prefix of k bytes; it falls apart where the symbols differ. Suffixes
+    shorter than k are left out, as nothing longer comes from them. An odd length takes its first round with one symbol."""
     shards, held, size = [], [], 0
     for text in texts:
         held.append(text)
@@ -316,21 +318,28 @@ def repeated_strings(texts: list[bytes], length: int, shard: int = SHARD) -> tup
         shards.append(held)
     made = [transform(s, length) for s in shards]
     base = np.concatenate([[0], np.cumsum([len(m[0]) for m in made])])
-    place = np.concatenate([m[0] + b for m, b in zip(made, base)])
-    rest, before = (np.concatenate([m[i] for m in made]) for i in (1, 2))
+    rest = np.concatenate([m[1] for m in made])
+    before = np.concatenate([m[2] for m in made])
+    place = np.concatenate([m[0] + b for m, b in zip(made, base)])[rest >= length]
     turn = np.repeat(np.arange(len(made), dtype=np.uint16 if len(made) > 255 else np.uint8), np.diff(base))
     block = np.zeros(len(turn), np.int32)
-    for k in range(length):
-        symbol = np.empty(len(turn), np.uint8)
-        symbol[np.argsort(turn, kind="stable")] = before
+    k = 0
+    while k < length:
+        step = 1 if (length - k) % 2 else 2
+        symbol = np.empty(len(turn), np.uint16)
+        symbol[np.argsort(turn, kind="stable")] = before if step == 2 else before & 0xFF
         order = np.argsort(symbol, kind="stable")
-        order = order[np.searchsorted(symbol[order], 1) :]  # before an end mark nothing goes on
-        symbol, turn, old = symbol[order], turn[order], block[order]
+        symbol = symbol[order]
+        # Before an end mark nothing goes on.
+        begin = int(np.searchsorted(symbol, 0x100 if step == 2 else 1))
+        order, symbol = order[begin:], symbol[begin:]
+        turn, old = turn[order], block[order]
         new = np.zeros(len(order), bool)
         new[1:] = (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])
         block = np.cumsum(new, dtype=np.int32)
-        longer = rest > k
-        place, rest, before = place[longer], rest[longer], before[longer]
+        k += step
+        longer = rest >= k
+        rest, before = rest[longer], before[longer]
     merged = np.empty(len(turn), np.int64)
     merged[np.argsort(turn, kind="stable")] = place
     return merged, block
