@@ -58,6 +58,20 @@ def dedupe_postings(postings: DataFrame) -> DataFrame:
     return latest_by_key(postings, KEY, ["scraped_at", "file", "pos"], first=("scraped_at",))
 
 
+def needs_extraction(jobs: DataFrame, postings: DataFrame) -> DataFrame:
+    """The scraped postings whose text has no extraction yet: new ones, changed ones, and those that were never parsed.
+
+    An anti-join on key and hash of the description; the stored texts themselves are not sent.
+    """
+    known = jobs.where("parsed_at IS NOT NULL").select(*KEY, _text_hash())
+    found = dedupe_postings(postings).withColumn("_hash", _text_hash())
+    return found.join(known, [*KEY, "_hash"], "left_anti").drop("_hash").select(*postings.columns)
+
+
+def _text_hash() -> Column:
+    return F.sha2(F.coalesce("raw_description", F.lit("")), 256).alias("_hash")
+
+
 def upsert_scraped(jobs: DataFrame, postings: DataFrame) -> DataFrame:
     """Merge scraped postings: a known posting keeps its id, its extracted fields and its first ``scraped_at``; new ones get
     ids, numbered on from the highest. Runs at once, see ``with_ids``."""

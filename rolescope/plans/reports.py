@@ -3,10 +3,10 @@ all postings sends a handful of rows per task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import contains_text
+from ..functions.predicates import contains_text, job_filters
 
 # Signal names and thresholds.
 LEADERSHIP = ["Senior", "Staff", "Principal"]
@@ -76,6 +76,31 @@ def facet_values(jobs: DataFrame) -> DataFrame:
     )
 
 
+def facet_counts(jobs: DataFrame, **filters) -> DataFrame:
+    """Postings per department, seniority and remote policy among those that pass the filters of a search.
+
+    Reduced to combinations of the three first, so one pass and a small shuffle count all facets.
+    """
+    columns = ["department", "seniority", "remote_policy"]
+    combinations = jobs.where(job_filters(**filters)).groupBy(*columns).agg(F.count("*").alias("n"))
+    facets = F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).alias("value")) for c in columns]))
+    return combinations.select(facets.alias("f"), "n").where("f.value IS NOT NULL").groupBy("f.facet", "f.value").agg(
+        F.sum("n").alias("count")).orderBy("facet", F.desc("count"), "value")
+
+
+def monthly_trends(jobs: DataFrame) -> DataFrame:
+    """Per month of scraping and department: postings, mean pay range, and the change in postings since the department's
+    month before. One row per month and department enters the window, whatever the number of postings."""
+    month = F.date_trunc("month", "scraped_at").cast("date").alias("month")
+    counts = jobs.where("scraped_at IS NOT NULL").groupBy(month, "department").agg(
+        F.count("*").alias("postings"),
+        F.round(F.sum(F.col("salary_min").cast("bigint")) / F.count("salary_min"), 2).alias("mean_salary_min"),
+        F.round(F.sum(F.col("salary_max").cast("bigint")) / F.count("salary_max"), 2).alias("mean_salary_max"),
+    )
+    before = F.lag("postings").over(Window.partitionBy("department").orderBy("month"))
+    return counts.withColumn("change", F.col("postings") - before)
+
+
 def facet_tech(jobs: DataFrame, k: int = 50) -> DataFrame:
     return top_counts(_technologies(jobs), "tech", k)
 

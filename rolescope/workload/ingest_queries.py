@@ -250,3 +250,13 @@ def merged_postings(spark, sf):
     """The postings of all batches of a company, as one list of rows."""
     rows = batches.merged_postings(batches.batch_documents(extracted_postings(spark, sf)))
     return rows.select("ats", "company", "batch_id", "job_id", "title", "department", "pos")
+
+
+@register("needs_extraction", using("jobs_v") + """SELECT job_id, company, ats, concat(raw_description, CASE WHEN id % 3 = 0 THEN ' now' ELSE '' END) AS raw_description
+    FROM jobs_v WHERE id % 3 = 0 OR parsed_at IS NULL""")
+def needs_extraction(spark, sf):
+    """All postings scraped again, every third with a changed description."""
+    again = jobs_v(spark, sf).withColumns({
+        "raw_description": F.expr("concat(raw_description, CASE WHEN id % 3 = 0 THEN ' now' ELSE '' END)"), "file": F.lit("again"), "pos": F.lit(0)})
+    found = upsert.needs_extraction(jobs_v(spark, sf), again.select(*KEY, "raw_description", "scraped_at", "file", "pos"))
+    return found.select(*KEY, "raw_description")

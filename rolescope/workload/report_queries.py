@@ -218,3 +218,20 @@ def registry_by_ats(spark, sf):
     WHERE ats <> '' AND slug <> '' AND NOT EXISTS (SELECT 1 FROM jobs_v j WHERE j.ats = r.ats AND j.company = r.slug)""")
 def registry_gaps(spark, sf):
     return boards.registry_gaps(boards.registry_scope(registry_v(spark, sf)), jobs_v(spark, sf)).select("name", "ats", "slug")
+
+
+@register("facet_counts", JOBS.rstrip() + """, hits AS (SELECT * FROM jobs_v WHERE salary_max >= 100000 AND company ILIKE '%company_1%')
+    SELECT 'department' AS facet, department AS value, count(*) AS "count" FROM hits WHERE department IS NOT NULL GROUP BY department
+    UNION ALL SELECT 'seniority', seniority, count(*) FROM hits WHERE seniority IS NOT NULL GROUP BY seniority
+    UNION ALL SELECT 'remote_policy', remote_policy, count(*) FROM hits WHERE remote_policy IS NOT NULL GROUP BY remote_policy""")
+def facet_counts(spark, sf):
+    """Facets of the postings that pass a search's filters."""
+    return reports.facet_counts(jobs_v(spark, sf), salary_min=100000, company="company_1")
+
+
+@register("monthly_trends", JOBS + """SELECT *, postings - lag(postings) OVER (PARTITION BY department ORDER BY month) AS change FROM (
+    SELECT CAST(date_trunc('month', scraped_at) AS DATE) AS month, department, count(*) AS postings,
+        round(CAST(sum(salary_min) AS DOUBLE) / count(salary_min), 2) AS mean_salary_min,
+        round(CAST(sum(salary_max) AS DOUBLE) / count(salary_max), 2) AS mean_salary_max FROM jobs_v GROUP BY 1, 2)""")
+def monthly_trends(spark, sf):
+    return reports.monthly_trends(jobs_v(spark, sf))
