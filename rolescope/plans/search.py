@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import contains_text, job_filters
@@ -10,6 +14,7 @@ from ..functions.terms import no_terms
 from ..operators.matching import parse_ids
 from ..schemas import JOB_FIELDS, JOBS
 
+BM25_K, BM25_B = 1.2, 0.75
 _BLANK_IF_ABSENT = {"job_id", "company", "ats", "title", "location", "job_summary", "url"}
 _ARRAYS = {"tech_stack", "skills", "pain_points"}
 
@@ -77,3 +82,32 @@ def company_jobs(jobs: DataFrame, name: str, limit: int = 50, offset: int = 0) -
     )
     paged = page(rows, ["department", "seniority", "title", "id"], limit, offset)
     return paged.withColumn("total", hits.agg(F.count("*")).scalar())
+
+
+def _occurrences(words: str, word: str) -> Column:
+    return F.array_size(F.filter(words, lambda w: w == word))
+
+
+def ranked_search(jobs: DataFrame, query: str, k: int = 20, columns: tuple[str, ...] = ("title", "raw_description")) -> DataFrame:
+    """The ``k`` postings that fit a query's words best, with their BM25 score; those without any of them are left out.
+
+    Words are runs of a-z and 0-9 in lower case. Each posting is cut into words where it is read; the statistics over all
+    postings, a few numbers per query word, enter as scalar subqueries. Ties go to the smaller id.
+    """
+    wanted = list(dict.fromkeys(re.findall("[a-z0-9]+", query.lower())))
+    if not wanted:
+        raise ValueError("the query holds no word")
+    text = F.lower(F.concat_ws(" ", *columns))
+    words = F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))
+    cut = jobs.select("id", "title", "company", words.alias("_words"))
+    counted = cut.select(
+        "id", "title", "company", F.array_size("_words").alias("_length"),
+        *[_occurrences("_words", word).alias(f"_tf{i}") for i, word in enumerate(wanted)])
+    total, length = counted.agg(F.count("*")).scalar(), counted.agg(F.avg("_length")).scalar()
+    score = F.lit(0.0)
+    for i in range(len(wanted)):
+        tf, holders = F.col(f"_tf{i}"), counted.agg(F.count_if(F.col(f"_tf{i}") > 0)).scalar()
+        weight = F.log(1 + (total - holders + 0.5) / (holders + 0.5))
+        score += weight * tf * (BM25_K + 1) / (tf + BM25_K * (1 - BM25_B + BM25_B * F.col("_length") / length))
+    hits = counted.where(reduce(or_, [F.col(f"_tf{i}") > 0 for i in range(len(wanted))]))
+    return hits.select("id", "title", "company", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,12 +81,32 @@ def new_work_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_blocks: list[list[str]] = []
+
+
+@contextmanager
+def work_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove the work tables made inside when the block ends, also by an error. Results that read them must be written or
+    collected inside."""
+    made: list[str] = []
+    _blocks.append(made)
+    try:
+        yield
+    finally:
+        _blocks.remove(made)
+        for path in made:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a result to a work table and read it back.
 
     It is computed once and survives lost executors, later readers prune its columns, and the planner
-    knows its true size: a small table is broadcast, a large one is not.
+    knows its true size: a small table is broadcast, a large one is not. Inside ``work_tables`` it is removed at the end.
     """
     path = new_work_dir(df.sparkSession, label)
+    for made in _blocks[-1:]:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -151,3 +151,17 @@ _BLOCK = """concat(chr(10), '---', chr(10), 'Posting ', id, ': ', title, ', ', c
 @register("job_block", JOBS + f"SELECT id, {_BLOCK} AS block FROM jobs_v")
 def job_block(spark, sf):
     return jobs_v(spark, sf).select("id", posting_block({f: F.col(f) for f in JOB_FIELDS}).alias("block"))
+
+
+_BM25 = " + ".join(
+    f"ln(1 + ((SELECT count(*) FROM counted) - (SELECT count(*) FROM counted WHERE tf{i} > 0) + 0.5::DOUBLE) / ((SELECT count(*) FROM counted WHERE tf{i} > 0) + 0.5::DOUBLE))"
+    f" * tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / (SELECT avg(n) FROM counted)))" for i in range(3))
+
+
+@register("ranked_search", JOBS.rstrip() + f""", cut AS (SELECT id, title, company,
+        regexp_extract_all(lower(concat_ws(' ', title, raw_description)), '[a-z0-9]+') AS words FROM jobs_v),
+    counted AS (SELECT id, title, company, len(words) AS n, len(list_filter(words, lambda w: w = 'urgent')) AS tf0,
+        len(list_filter(words, lambda w: w = 'hot')) AS tf1, len(list_filter(words, lambda w: w = 'plate')) AS tf2 FROM cut)
+    SELECT id, title, company, round({_BM25}, 6) AS score FROM counted WHERE tf0 + tf1 + tf2 > 0 ORDER BY score DESC, id LIMIT 20""")
+def ranked_search(spark, sf):
+    return search.ranked_search(jobs_v(spark, sf), "Urgent: hot-plate")

@@ -1,7 +1,10 @@
+from pathlib import Path
+
 import pandas as pd
 import pytest
 
 from rolescope.operators.ranking import batch_numbers, deep_page, row_numbers
+from rolescope.session import shared_dir, work_tables
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +50,20 @@ def test_batches(spark):
 def test_deep_page(rows):
     got = [r.o for r in deep_page(rows, ["o"], 15000, 30).orderBy("o").collect()]
     assert got == sorted(r.o for r in rows.select("o").collect())[15000:15030]
+
+
+def test_work_tables_are_removed(spark, rows):
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.iterdir()) if shared.exists() else set()
+    with work_tables(spark):
+        assert row_numbers(rows.limit(10), [], ["o"]).count() == 10
+        assert len(set(shared.iterdir()) - before) == 1
+    assert set(shared.iterdir()) == before
+    kept = row_numbers(rows.limit(10), [], ["o"])
+    assert len(set(shared.iterdir()) - before) == 1 and kept.count() == 10
+
+
+def test_deep_page_is_ordered(rows):
+    plan = deep_page(rows, ["o"], 15000, 30)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Sort [o")
+    assert [r.o for r in deep_page(rows, ["o"], 100, 5).collect()] == sorted(r.o for r in rows.select("o").collect())[100:105]
