@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,6 +38,20 @@ def words(value: str | None) -> list[bytes]:
     return raw_text(value).lower().split()
 
 
+def trimmed(function):
+    """The same function on batches, which gives freed memory back to the system at the end of a task: Python workers live on, and
+    what one task needed would stay with each of them."""
+
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 def run_starts(*keys: np.ndarray) -> np.ndarray:
     """First index of each run of equal keys in sorted columns."""
     if not len(keys[0]):
@@ -133,7 +148,9 @@ def components(links: DataFrame) -> DataFrame:
     nothing changes. The neighbours of a node never meet in one task: a round takes the minimum per node (reduced before the
     shuffle) and joins it back, and AQE splits hot nodes in that join. Each round is written to the shared folder.
     """
-    edges = stored(links.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long").distinct(), "links")
+    # Written first, so that a task never holds two Python workers.
+    found = stored(links.select("a", "b").where("a <> b"), "links")
+    edges = stored(found.mapInArrow(trimmed(_contract), "a long, b long").distinct(), "links")
     while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -173,7 +190,7 @@ class WordStore:
     ``encode`` takes a list of words and returns all their codes in a row, and the number of codes of each.
     """
 
-    def __init__(self, encode, max_words: int = 400_000, max_codes: int = 4_000_000):
+    def __init__(self, encode, max_words: int = 200_000, max_codes: int = 2_000_000):
         self.encode, self.max_words, self.max_codes = encode, max_words, max_codes
         self.rows: dict = {}
         self.values, self.lengths, self.uses = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -202,7 +219,7 @@ class WordStore:
         return gather(self.values, starts, lengths), lengths
 
 
-def text_slices(texts: list[str | None], size: int = 1 << 21) -> Iterator[list[str | None]]:
+def text_slices(texts: list[str | None], size: int = 1 << 20) -> Iterator[list[str | None]]:
     """Cut a list of texts where about ``size`` characters are reached; memory then depends on this and the longest text only."""
     part, n = [], 0
     for text in texts:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gather, run_starts, text_slices
+from .common import gather, run_starts, text_slices, trimmed
 
 TOKEN = re.compile(r"\w+")
 # Which positions of a window count (1) and which may differ (0). Six tokens must agree.
@@ -178,7 +178,7 @@ def leaks(
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], NAMES)
 
         rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-        parts.append(rows.mapInArrow(search, ", ".join(f"{n} long" for n in NAMES)))
+        parts.append(rows.mapInArrow(trimmed(search), ", ".join(f"{n} long" for n in NAMES)))
     if not parts:
         return docs.sparkSession.createDataFrame([], ", ".join(f"{n} long" for n in NAMES))
     found = parts[0]
@@ -210,5 +210,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
                     at += len(part)
                 yield batch.filter(pa.array(clean))
 
-        rows = rows.mapInArrow(keep, schema)
+        rows = rows.mapInArrow(trimmed(keep), schema)
     return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

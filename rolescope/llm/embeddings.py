@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import column, components, forest, run_starts, whole_runs
+from .common import column, components, forest, run_starts, trimmed, whole_runs
 
 THRESHOLD = 0.9
 TABLES = 16  # finds 99.9 % of the pairs at the threshold with three hashes per table
@@ -214,12 +214,12 @@ def near_duplicates(
         hashes = hashes_for(n, dims, tables=tables)
         own = classes.where(F.size("vector") == dims)
         hashed = stored(
-            own.mapInArrow(_hashed(dims, tables, hashes, probes), "vec long, copies long, unit array<double>, cells array<long>"), "embedding-cells")
-        rows = hashed.select("vec", "cells").mapInArrow(_cell_rows(probes), "cell long, vec long, own boolean")
+            own.mapInArrow(trimmed(_hashed(dims, tables, hashes, probes)), "vec long, copies long, unit array<double>, cells array<long>"), "embedding-cells")
+        rows = hashed.select("vec", "cells").mapInArrow(trimmed(_cell_rows(probes)), "cell long, vec long, own boolean")
         buckets = rows.repartition("cell").sortWithinPartitions("cell", "vec")
-        pairs = buckets.mapInArrow(_block_pairs, "cell long, i int, j int, vec long, side int")
+        pairs = buckets.mapInArrow(trimmed(_block_pairs), "cell long, i int, j int, vec long, side int")
         dealt = pairs.join(hashed, "vec").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side", "vec")
-        found = stored(dealt.mapInArrow(_verified(dims, tables, probes, threshold), "vec long, links long, root long"), "embedding-links")
+        found = stored(dealt.mapInArrow(trimmed(_verified(dims, tables, probes, threshold)), "vec long, links long, root long"), "embedding-links")
         counts.append(found.groupBy("vec").agg(F.sum("links").alias("links")))
         stars.append(found.where("root IS NOT NULL").select(F.col("vec").alias("a"), F.col("root").alias("b")))
     if not widths:

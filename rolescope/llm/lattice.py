@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import column, run_starts, text_slices, words
+from .common import column, run_starts, text_slices, trimmed, words
 
 SPACE = ord("▁")  # fixed value: how pieces write the start of a word
 ROUNDS = 2
@@ -238,7 +238,7 @@ def train(spoken: DataFrame, path: str, ends: float, rounds: int = ROUNDS) -> np
             used = np.flatnonzero(sums)
             yield pa.RecordBatch.from_pydict({"unit": used, "uses": sums[used]})
 
-        uses = spoken.where("c > 0").select("word").mapInArrow(expect, "unit long, uses long").groupBy("unit").agg(
+        uses = spoken.where("c > 0").select("word").mapInArrow(trimmed(expect), "unit long, uses long").groupBy("unit").agg(
             F.sum(F.col("uses").cast("decimal(38,0)")).alias("uses")).collect()
         if not uses:
             return logs
@@ -313,7 +313,7 @@ def score(docs: DataFrame, training: Column, path: str, rounds: int = ROUNDS, ho
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
         F.coalesce(training, F.lit(False)).alias("training"))
-    counted = rows.select("text", "training").mapInArrow(_count_words, "word binary, c long, n long")
+    counted = rows.select("text", "training").mapInArrow(trimmed(_count_words), "word binary, c long, n long")
     spoken = stored(counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "lm-words")
     texts = rows.where("training").count()
     seen, distinct = spoken.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
@@ -329,11 +329,11 @@ def score(docs: DataFrame, training: Column, path: str, rounds: int = ROUNDS, ho
             base = np.log10((c + 1) / (tokens + types + 1))
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("n"), pa.array(base), pa.array(model)], ["w", "c", "n", "b", "m"])
 
-    scored = stored(spoken.mapInArrow(marginals, "w binary, c long, n long, b double, m double"), "lm-scores")
+    scored = stored(spoken.mapInArrow(trimmed(marginals), "w binary, c long, n long, b double, m double"), "lm-scores")
     top = scored.where(F.length("w") <= HOT_BYTES).orderBy(F.desc("n"), "w").limit(hot_words).select("w", "c", "b", "m").toArrow()
     values = zip(*(top.column(name).to_pylist() for name in ("c", "b", "m")))
     hot = spark.sparkContext.broadcast(dict(zip(top.column("w").to_pylist(), values)))
-    parts = rows.select("doc", "text").mapInArrow(_doc_rows(hot), PARTS)
+    parts = rows.select("doc", "text").mapInArrow(trimmed(_doc_rows(hot)), PARTS)
     own = parts.join(scored.drop("n"), F.col("word") == F.col("w"), "left")
     k = F.col("k")
     sums = own.groupBy("row").agg(

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stored
-from .common import column, fixed_bytes, raw_text, run_starts
+from .common import column, fixed_bytes, raw_text, run_starts, trimmed
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -240,7 +240,7 @@ class LineIndex:
     def insert(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> LineIndex:
         """The index with the lines of more documents; a document that is known adds the lines it did not have."""
         rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-        new = rows.mapInArrow(_key_rows(self.min_chars), REFERENCES)
+        new = rows.mapInArrow(trimmed(_key_rows(self.min_chars)), REFERENCES)
         references = stored(self.references.unionByName(new).dropDuplicates(["key", "doc"]), "line-references")
         return self._next(references, references.join(rows.select("doc").distinct(), "doc", "left_semi") if self._known() else references)
 
@@ -276,7 +276,7 @@ class LineIndex:
             "shard", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("data"), "n")
         old = self.filters.select("shard", F.lit(0).alias("kind"), F.col("filter").alias("data"), F.lit(0).cast("long").alias("n"))
         rows = old.unionByName(sizes).unionByName(keyed).repartition("shard").sortWithinPartitions("shard", "kind", "data")
-        return rows.mapInArrow(_update_filters, FILTERS)
+        return rows.mapInArrow(trimmed(_update_filters), FILTERS)
 
     def repeated(self) -> DataFrame:
         """(key, doc): the lines that a document loses. Filters first, then the exact counts."""
@@ -285,7 +285,7 @@ class LineIndex:
         salts = F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))).alias("salt")
         filters = self.filters.select("shard", salts, F.lit(0).alias("kind"), F.col("filter").alias("data"), F.lit(None).cast("long").alias("doc"))
         rows = filters.unionByName(asked).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-        hits = rows.mapInArrow(_probe, REFERENCES)
+        hits = rows.mapInArrow(trimmed(_probe), REFERENCES)
         counts = self.counts.where(F.col("n_docs") >= self.min_docs)
         return hits.join(counts, "key").where("doc <> last_doc").select("key", "doc")
 
@@ -303,6 +303,6 @@ class LineIndex:
             T.StructField("row", joined.schema["row"].dataType), T.StructField("kept", T.StringType()),
             T.StructField("lines", T.LongType()), T.StructField("dropped", T.LongType()),
         ])
-        applied = joined.mapInArrow(_drop_lines(self.min_chars), schema)
+        applied = joined.mapInArrow(trimmed(_drop_lines(self.min_chars)), schema)
         others = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
         return applied.select(*others, F.col("kept").alias("kept_text"), F.col("lines").alias("n_lines"), F.col("dropped").alias("n_dropped"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordStore, column, gather, text_slices
+from .common import WordStore, column, gather, text_slices, trimmed
 
 SPACE = "▁"  # fixed value: how pieces write a blank
 NONE = np.int64(1 << 30)
@@ -275,7 +275,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", decoded: bo
     schema = T.StructType([
         T.StructField("row", rows.schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     made = ["ids", "decoded"] if decoded else ["ids"]
-    return rows.mapInArrow(apply, schema).select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in made], *made)
+    return rows.mapInArrow(trimmed(apply), schema).select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in made], *made)
 
 
 def decode_documents(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -298,4 +298,4 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
     rows = docs.select(F.struct(*[c for c in docs.columns if c != "decoded"]).alias("row"), F.col(ids).alias("ids"))
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("decoded", T.StringType())])
-    return rows.mapInArrow(apply, schema).select("row.*", "decoded")
+    return rows.mapInArrow(trimmed(apply), schema).select("row.*", "decoded")

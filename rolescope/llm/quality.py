@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordStore, text_slices
+from .common import WordStore, text_slices, trimmed
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BITS = 18
@@ -133,9 +133,9 @@ def fit(
         slots = np.flatnonzero(weights)
         yield pa.RecordBatch.from_pydict({"slot": slots, "weight": weights[slots]})
 
-    hashed = chosen.select("doc", "order", "label", "text").mapInArrow(features, "doc long, order long, label int, slots array<int>, row array<double>")
+    hashed = chosen.select("doc", "order", "label", "text").mapInArrow(trimmed(features), "doc long, order long, label int, slots array<int>, row array<double>")
     hashed = hashed.groupBy("doc").agg(F.min(F.struct("order", "label", "slots", "row")).alias("r")).select("doc", "r.*")
-    learned = hashed.repartition(1).sortWithinPartitions("order", "doc").mapInArrow(learn, "slot long, weight double").collect()
+    learned = hashed.repartition(1).sortWithinPartitions("order", "doc").mapInArrow(trimmed(learn), "slot long, weight double").collect()
     weights = np.zeros(FIXED + (1 << bits))
     for slot, weight in learned:
         weights[slot] = weight
@@ -161,7 +161,7 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS, threshold: flo
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("score", T.DoubleType())])
     kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("score", "predicted")]
-    return rows.mapInArrow(apply, schema).select(*kept, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return rows.mapInArrow(trimmed(apply), schema).select(*kept, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def fold(doc_id: str = "doc_id", folds: int = 5):

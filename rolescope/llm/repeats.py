@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import row_numbers
 from ..session import stored
-from .common import column, raw_text, run_starts, whole_runs
+from .common import column, raw_text, run_starts, trimmed, whole_runs
 
 LENGTH = 100
 GRAM = 24
@@ -428,18 +428,18 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc
 
 
 def _removed(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    pieces = rows.mapInArrow(_pieces(length, gram), "h long, c long, doc long, at long, n long")
+    pieces = rows.mapInArrow(trimmed(_pieces(length, gram)), "h long, c long, doc long, at long, n long")
     dealt = pieces.repartition("h").sortWithinPartitions("h", "c", "doc", "at")
-    found = stored(dealt.mapInArrow(_classes(length), "kind int, h long, doc long, start long, end long"), "repeats-classes")
+    found = stored(dealt.mapInArrow(trimmed(_classes(length)), "kind int, h long, doc long, start long, end long"), "repeats-classes")
     wanted = found.where("kind = 1")
     crowds = wanted.groupBy("h").count().where(F.col("count") > CROWD).select("h", F.lit(True).alias("crowd"))
     marked = wanted.join(crowds, "h", "left").select("doc", F.struct("h", "start", "end", F.col("crowd").isNotNull().alias("crowd")).alias("w"))
     per_doc = marked.groupBy("doc").agg(F.collect_list("w").alias("wanted"))
-    packed = rows.mapInArrow(_packed, "doc long, text binary")
-    texts = packed.join(per_doc, "doc").mapInArrow(_texts(length, gram), "h long, doc long, at long, piece binary")
-    merged = texts.repartition("h").sortWithinPartitions("h").mapInArrow(_merged(length), "doc long, start long, end long")
+    packed = rows.mapInArrow(trimmed(_packed), "doc long, text binary")
+    texts = packed.join(per_doc, "doc").mapInArrow(trimmed(_texts(length, gram)), "h long, doc long, at long, piece binary")
+    merged = texts.repartition("h").sortWithinPartitions("h").mapInArrow(trimmed(_merged(length)), "doc long, start long, end long")
     merged = stored(merged, "repeats-merged")
     spans = found.where("kind = 0").select("doc", "start", "end").unionByName(merged)
     gone = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     left = packed.join(gone, "doc", "left")
-    return left.mapInArrow(_cut, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return left.mapInArrow(trimmed(_cut), "doc long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import column, components, forest, run_starts, whole_runs, words
+from .common import column, components, forest, run_starts, trimmed, whole_runs, words
 
 BITS = 64
 SEED = 42
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id"
             prints = np.array([fingerprint(words(t), shingle) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string")).mapInArrow(compute, "doc long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string")).mapInArrow(trimmed(compute), "doc long, fp long")
 
 
 def pivots(n: int, bits: int = BITS) -> np.ndarray:
@@ -157,9 +157,9 @@ def near_duplicates(
     prints = stored(fingerprints(docs, shingle, doc_id, text), "simhash-prints")
     named = prints.where("doc IS NOT NULL").groupBy("fp").agg(F.min("doc").alias("doc"))
     named = stored(named, "simhash-classes")
-    tables = named.mapInArrow(_table_rows(max_bits, blocks), "number int, coordinates long, fp long, doc long")
+    tables = named.mapInArrow(trimmed(_table_rows(max_bits, blocks)), "number int, coordinates long, fp long, doc long")
     dealt = tables.repartition("number", "coordinates").sortWithinPartitions("number", "coordinates")
-    reached = components(dealt.mapInArrow(_links(max_bits), "a long, b long"))
+    reached = components(dealt.mapInArrow(trimmed(_links(max_bits)), "a long, b long"))
     classes = named.join(reached, F.col("doc") == F.col("node"), "left").select(
         F.col("fp").alias("_fp"), F.coalesce("component_id", "doc").alias("component_id"))
     return prints.join(classes, F.col("fp") == F.col("_fp"), "left").select(

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import WordStore, column, raw_text, text_slices
+from .common import WordStore, column, raw_text, text_slices, trimmed
 
 MAGIC = b"DAC1\0\0\0\0"
 STEP = 512
@@ -142,7 +142,7 @@ class WordTokenizer:
         letters = string.ascii_uppercase
         self.lowers = all(self._ids(c) == self._ids(c.lower()) for c in letters)
         self.parts = all(self._ids(f"{c}{s} {c}") == self._ids(f"{c} {s} {c}") for c in letters + letters.lower() + string.digits for s in ".,")
-        self.store = WordStore(self._encode)
+        self.store = WordStore(self._encode, 300_000, 3_000_000)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -231,7 +231,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, ids_p
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     ordered = rows.repartitionByRange(parts, "doc", F.xxhash64("text")).sortWithinPartitions("doc", F.xxhash64("text"), "text")
-    manifest = stored(ordered.mapInArrow(_write(path, vocabulary, end_id, ids_per_file), "name string, part long, number long, n_docs long, n_ids long"), "token-manifest")
+    manifest = stored(ordered.mapInArrow(trimmed(_write(path, vocabulary, end_id, ids_per_file)), "name string, part long, number long, n_docs long, n_ids long"), "token-manifest")
     # Ids before a part: one row per part. Ids before a file: within its part.
     sums = manifest.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     before = sums.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("_before"))
@@ -260,4 +260,4 @@ def read_tokens(spark: SparkSession, path: str, manifest: DataFrame) -> DataFram
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(path)
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").join(manifest.select("name", "base"), "name")
-    return named.select("content", "base").mapInArrow(read, "doc_id long, start long, ids binary")
+    return named.select("content", "base").mapInArrow(trimmed(read), "doc_id long, start long, ids binary")
