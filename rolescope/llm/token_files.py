@@ -142,7 +142,7 @@ class WordTokenizer:
         letters = string.ascii_uppercase
         self.lowers = all(self._ids(c) == self._ids(c.lower()) for c in letters)
         self.parts = all(self._ids(f"{c}{s} {c}") == self._ids(f"{c} {s} {c}") for c in letters + letters.lower() + string.digits for s in ".,")
-        self.store = WordStore(self._encode, 300_000, 3_000_000)
+        self.store = WordStore(self._encode, 400_000, 4_000_000)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -198,7 +198,7 @@ def _write(path: str, vocabulary: str, end_id: int, ids_per_file: int):
 
         for batch in batches:
             at, names = 0, batch.column("doc").to_pylist()
-            for texts in text_slices(batch.column("text").to_pylist()):
+            for texts in text_slices(batch.column("text").to_pylist(), 1 << 22):
                 ids, lengths = own.encode(texts)
                 held.append(ids.astype(np.uint32))
                 docs += names[at : at + len(texts)]
