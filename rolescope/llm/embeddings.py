@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from math import ceil, log
+from functools import cache, reduce
+from math import ceil, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +15,21 @@ from ..session import stored
 from .common import column, components, forest, run_starts, trimmed, whole_runs
 
 THRESHOLD = 0.9
-TABLES = 16  # finds 99.9 % of the pairs at the threshold with three hashes per table
+RECALL = 0.999  # share of the pairs at the threshold that shall meet; the number of tables follows from it
+TABLES = 16  # at least
+MOST_TABLES = 256  # beyond, fewer hashes per table are taken: larger buckets, but no pair lost
+TRIALS = 1 << 15  # meetings tried to learn how often a pair at the threshold meets in one table; fewer of long vectors
 PROBES = 4
 BUCKET = 0.25  # unrelated vectors a bucket shall hold on average; the number of hashes per table follows from it
 BLOCK = 1024  # vectors of a bucket that one run compares with as many others
+CELLS = 1 << 20  # cells of vectors that are held at a time
 SEED = 11
 
 
+def _width(dims: int) -> int:
+    return 1 << max(1, (dims - 1).bit_length())
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of each row; the width is a power of two."""
     n, width = x.shape
@@ -41,7 +49,7 @@ def cells(x: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
     second corner is almost as near. The number of the table is part of a cell.
     """
     n, dims = x.shape
-    width = 1 << max(1, (dims - 1).bit_length())
+    width = _width(dims)
     padded = np.zeros((n, width))
     padded[:, :dims] = x
     draw = np.random.default_rng(SEED)
@@ -51,6 +59,8 @@ def cells(x: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
         first, options, gaps = np.zeros(n, np.int64), [], []
         for h in range(hashes):
             y = padded
+            if width <= 16:  # of these, signs and Hadamard transforms make too few rotations for tables to be drawn apart
+                y = y @ np.linalg.qr(draw.normal(size=(width, width)))[0]
             for _ in range(3):
                 y = hadamard(y * draw.choice([-1.0, 1.0], width))
             size = np.abs(y)
@@ -71,11 +81,44 @@ def cells(x: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
 
 def hashes_for(vectors: int, dims: int, bucket: float = BUCKET, tables: int = TABLES) -> int:
     """Hashes per table so that unrelated vectors fill a bucket with about ``bucket`` of them; cells stay below 2^62."""
-    corners = 2 * (1 << max(1, (dims - 1).bit_length()))
+    corners = 2 * _width(dims)
     most = int((62 - ceil(log(tables, 2))) / log(corners, 2))
     return max(1, min(most, ceil(log(max(1, vectors) / bucket, corners))))
 
 
+@cache
+def meeting(dims: int, threshold: float, hashes: int, probes: int) -> float:
+    """Chance that two vectors with cosine ``threshold`` meet in a table, tried with random pairs; two standard errors below what was found."""
+    width = _width(dims)
+    pairs = max(64, min(1 << 10, (1 << 16) // width))
+    draw = np.random.default_rng(SEED + 1)
+    a, b = draw.normal(size=(2, pairs, max(2, dims)))
+    a /= np.sqrt((a * a).sum(1))[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    b /= np.sqrt((b * b).sum(1))[:, None]
+    b = threshold * a + sqrt(max(0.0, 1 - threshold**2)) * b
+    tables = max(8, min(TRIALS, (1 << 21) // width) // pairs)
+    found = cells(np.concatenate([a, b]), tables, hashes, probes)
+    one, other = found[:pairs], found[pairs:]
+    p = float(((one[:, :, :1] == other) | (other[:, :, :1] == one)).any(2).mean())
+    return p - 2 * sqrt(p * (1 - p) / (pairs * tables))
+
+
+def tables_for(dims: int, threshold: float, hashes: int, probes: int = PROBES, recall: float = RECALL) -> int | None:
+    """Tables of which ``recall`` of the pairs at the threshold share one bucket at least, as tables are drawn apart; none if they never meet."""
+    p = meeting(dims, threshold, hashes, probes)
+    return max(TABLES, ceil(log(1 - recall) / log(1 - p))) if 0 < p < 1 else TABLES if p >= 1 else None
+
+
+def layout(vectors: int, dims: int, threshold: float = THRESHOLD, probes: int = PROBES) -> tuple[int, int]:
+    """Tables and hashes per table: as many hashes as the number of vectors asks for, and tables for the recall."""
+    for hashes in range(hashes_for(vectors, dims, tables=MOST_TABLES), 0, -1):
+        tables = tables_for(dims, threshold, hashes, probes)
+        if tables and tables <= MOST_TABLES:
+            return tables, hashes
+    raise ValueError(f"pairs with cosine {threshold} meet too rarely in {dims} dimensions")
+
+
 def _matrix(rows: pa.Table | pa.RecordBatch, name: str, dtype: type, *shape: int) -> np.ndarray:
     """A column of lists, all of one length and without nulls, as an array."""
     col = rows.column(name)
@@ -91,11 +134,14 @@ def _hashed(dims: int, tables: int, hashes: int, probes: int):
             x = _matrix(batch, "vector", float, dims)
             x = x / np.abs(x).max(1)[:, None]  # so that squares neither overflow nor vanish
             x /= np.sqrt((x * x).sum(1))[:, None]
-            found = cells(x, tables, hashes, probes).reshape(len(x), -1)
-            yield pa.RecordBatch.from_pydict({
-                "vec": batch.column("vec"), "copies": batch.column("copies"),
-                "unit": pa.array(list(x), pa.list_(pa.float64())), "cells": pa.array(list(found), pa.list_(pa.int64())),
-            })
+            step = CELLS // (tables * probes) + 1
+            for at in range(0, len(x), step):
+                part = x[at : at + step]
+                found = cells(part, tables, hashes, probes).reshape(len(part), -1)
+                yield pa.RecordBatch.from_pydict({
+                    "vec": batch.column("vec").slice(at, step), "copies": batch.column("copies").slice(at, step),
+                    "unit": pa.array(list(part), pa.list_(pa.float64())), "cells": pa.array(list(found), pa.list_(pa.int64())),
+                })
 
     return rows
 
@@ -106,9 +152,14 @@ def _cell_rows(probes: int):
             if batch.num_rows:
                 found = _matrix(batch, "cells", np.int64, -1)
                 n, width = found.shape
+                probed = found.reshape(n, -1, probes)
+                new = np.ones(probed.shape, bool)  # few hashes have fewer other corners than probes, which repeat then
+                for r in range(1, probes):
+                    new[:, :, r] = (probed[:, :, :r] != probed[:, :, r : r + 1]).all(2)
+                new = new.reshape(-1)
                 yield pa.RecordBatch.from_pydict({
-                    "cell": found.reshape(-1), "vec": np.repeat(column(batch, "vec"), width),
-                    "own": np.tile(np.arange(width) % probes == 0, n),
+                    "cell": found.reshape(-1)[new], "vec": np.repeat(column(batch, "vec"), width)[new],
+                    "own": np.tile(np.arange(width) % probes == 0, n)[new],
                 })
 
     return rows
@@ -154,7 +205,8 @@ def _first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _verified(dims: int, tables: int, probes: int, threshold: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by (cell, i, j): link the vectors of a run, each pair only in the smallest cell where it meets."""
-        for rows in whole_runs(batches, ["cell", "i", "j"], 1 << 13):
+        step = CELLS // (tables * probes) + 1
+        for rows in whole_runs(batches, ["cell", "i", "j"], min(1 << 13, step)):
             vec, copies, cell, side = (column(rows, c) for c in ("vec", "copies", "cell", "side"))
             i, j = column(rows, "i"), column(rows, "j")
             x, found = _matrix(rows, "unit", float, dims), _matrix(rows, "cells", np.int64, tables, probes)
@@ -167,8 +219,8 @@ def _verified(dims: int, tables: int, probes: int, threshold: float):
                 if i[start] != j[start]:  # pairs within one block belong to that block's own run
                     near &= side[start:end, None] != side[None, start:end]
                 a, b = (k + start for k in np.nonzero(near))
-                for at in range(0, len(a), 1 << 14):
-                    p, q = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
+                for at in range(0, len(a), step):
+                    p, q = a[at : at + step], b[at : at + step]
                     once = _first_meeting(found[p], found[q]) == cell[start]
                     p, q = p[once], q[once]
                     np.add.at(links, p, copies[q])
@@ -187,7 +239,7 @@ def _verified(dims: int, tables: int, probes: int, threshold: float):
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES,
+    vectors: DataFrame, threshold: float = THRESHOLD, tables: int | None = None, probes: int = PROBES,
     vec_id: str = "vec_id", embedding: str = "embedding",
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per id, whatever other columns ``vectors`` has.
@@ -198,6 +250,9 @@ def near_duplicates(
     different lengths never link. Rows with equal ids are one vector; of several embeddings the smallest counts. Rows
     with a null id are one row: no links, null component, kept.
 
+    ``RECALL`` of the pairs at the threshold are found, and more of nearer ones, however many vectors there are: unless ``tables`` are given,
+    their number follows from dimensions, threshold and hashes per table. A threshold too low for that is refused.
+
     Equal vectors are one class, counted with its copies, so that copies are never paired. A class is stored in its own bucket of each
     table and probes the nearest other buckets. Buckets are compared in pairs of blocks; a pair found in several buckets counts in the
     first only, and leaves a bucket as two counts and one link of a star, not as a pair.
@@ -211,15 +266,15 @@ def near_duplicates(
     widths = classes.groupBy(F.size("vector").alias("dims")).count().orderBy("dims").collect()
     counts, stars = [], []
     for dims, n in widths:
-        hashes = hashes_for(n, dims, tables=tables)
+        derived, hashes = layout(n, dims, threshold, probes) if tables is None else (tables, hashes_for(n, dims, tables=tables))
         own = classes.where(F.size("vector") == dims)
         hashed = stored(
-            own.mapInArrow(trimmed(_hashed(dims, tables, hashes, probes)), "vec long, copies long, unit array<double>, cells array<long>"), "embedding-cells")
+            own.mapInArrow(trimmed(_hashed(dims, derived, hashes, probes)), "vec long, copies long, unit array<double>, cells array<long>"), "embedding-cells")
         rows = hashed.select("vec", "cells").mapInArrow(trimmed(_cell_rows(probes)), "cell long, vec long, own boolean")
         buckets = rows.repartition("cell").sortWithinPartitions("cell", "vec")
         pairs = buckets.mapInArrow(trimmed(_block_pairs), "cell long, i int, j int, vec long, side int")
         dealt = pairs.join(hashed, "vec").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side", "vec")
-        found = stored(dealt.mapInArrow(trimmed(_verified(dims, tables, probes, threshold)), "vec long, links long, root long"), "embedding-links")
+        found = stored(dealt.mapInArrow(trimmed(_verified(dims, derived, probes, threshold)), "vec long, links long, root long"), "embedding-links")
         counts.append(found.groupBy("vec").agg(F.sum("links").alias("links")))
         stars.append(found.where("root IS NOT NULL").select(F.col("vec").alias("a"), F.col("root").alias("b")))
     if not widths:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from helpers import CLASHING, components, rng
 from pyspark.sql import functions as F
 
@@ -64,3 +65,39 @@ def test_hadamard_keeps_lengths_and_hashes_grow():
     assert np.allclose(np.linalg.norm(embeddings.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
     assert np.allclose(embeddings.hadamard(embeddings.hadamard(x)), x)
     assert [embeddings.hashes_for(n, 64) for n in (0, 30, 3000, 10**5, 10**9)] == [1, 1, 2, 3, 5]
+
+
+def pairs_at(cosine, n, dims, seed=21):
+    """Vectors i and n + i have this cosine."""
+    a, b = rng(seed).normal(size=(2, n, dims))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    return np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b, axis=1)[:, None]])
+
+
+@pytest.mark.parametrize("dims, hashes", [(64, 3), (64, 4), (64, 5), (16, 5), (3, 6), (2, 8)])
+def test_recall_at_the_threshold_with_any_number_of_hashes(dims, hashes):
+    n = 2000
+    tables = embeddings.tables_for(dims, 0.9, hashes)
+    found = embeddings.cells(pairs_at(0.9, n, dims), tables, hashes, embeddings.PROBES)
+    one, other = found[:n], found[n:]
+    assert ((one[:, :, :1] == other) | (other[:, :, :1] == one)).any((1, 2)).mean() >= embeddings.RECALL - 0.002
+
+
+@pytest.mark.parametrize("hashes", [3, 4, 5])
+def test_large_tables_like_brute_force(spark, monkeypatch, hashes):
+    """As many hashes per table as many more vectors would get."""
+    monkeypatch.setattr(embeddings, "hashes_for", lambda *a, **b: hashes)
+    x = pairs_at(0.901, 600, 64).astype(np.float32)
+    got = embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA)).orderBy("vec_id").collect()
+    links, label = expected(x)
+    assert links.sum() >= 1200 and sum(r.n_links for r in got) >= 0.995 * links.sum() and all(r.n_links <= n for r, n in zip(got, links))
+    assert np.mean([r.component_id == c for r, c in zip(got, label)]) >= 0.997
+
+
+def test_layout_fits_and_refuses_thresholds_that_are_too_low():
+    for vectors, dims in ((300, 64), (10**5, 64), (10**8, 64), (10**9, 8)):
+        tables, hashes = embeddings.layout(vectors, dims)
+        assert embeddings.TABLES <= tables <= embeddings.MOST_TABLES and tables * (2 * dims) ** hashes < 1 << 62
+    with pytest.raises(ValueError):
+        embeddings.layout(10**5, 64, threshold=-0.5)
