@@ -10,12 +10,15 @@ document with one anchor are a piece, about a third longer than ``length``. Step
 3. Pieces of some anchors are a bounded collection, cut into shards. Each shard is sorted and transformed once. The transforms are
    merged by refining their interleave byte by byte; suffixes do not get sorted again. After ``length`` rounds, the blocks are
    the strings that occur more than once, and all but the first of each are removed.
+   Groups of one anchor that two further anchors do not make small are dealt out string by string instead: the first place of
+   each string is an aggregate, so that neither a group nor a string is held by one task.
 4. Removed spans are united per document and cut out of its bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,8 @@ GRAM = 24
 BUFFER = 1 << 21  # bytes of text that step 1 holds at a time
 COLLECTION = 1 << 17  # bytes of pieces that are merged at a time
 SHARD = 1 << 16
-CROWD = 4096  # classes of an anchor beyond which its pieces are cut by further anchors
+CROWD = 4096  # classes of an anchor beyond which its pieces are cut by further anchors; pieces of a group beyond which strings are dealt out
+STRETCH = 1 << 16  # bytes of a document whose removed strings are united in one task
 MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2^64
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 POSITION_BITS = 26
@@ -232,7 +236,7 @@ def _texts(length: int, gram: int):
         for batch in batches:
             for doc, packed, wanted in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
                 raw = _unpacked(packed)
-                group, at, piece = [], [], []
+                group, at, piece, crowd = [], [], [], []
                 for w in wanted:
                     own = raw[w["start"] : w["end"]]
                     cuts = [(w["h"], 0, len(own))]
@@ -245,9 +249,10 @@ def _texts(length: int, gram: int):
                         group.append(h)
                         at.append(w["start"] + low)
                         piece.append(own[low:high])
+                        crowd.append(w["crowd"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(group, pa.int64()), pa.array([doc] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(piece, pa.binary())],
-                    ["h", "doc", "at", "piece"])
+                    [pa.array(group, pa.int64()), pa.array([doc] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(piece, pa.binary()), pa.array(crowd, pa.bool_())],
+                    ["h", "doc", "at", "piece", "crowd"])
 
     return rows
 
@@ -376,6 +381,40 @@ def _merged(length: int):
     return rows
 
 
+def _strings(length: int):
+    """Every string of some pieces, known by 128 bits of its hash, and its place."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, ats, pieces = column(batch, "doc"), column(batch, "at"), batch.column("piece").to_pylist()
+            for low in range(0, len(pieces), CROWD):
+                part = pieces[low : low + CROWD]
+                counts = np.fromiter((max(0, len(p) - length + 1) for p in part), np.int64, len(part))
+                known = [blake2b(p[k : k + length], digest_size=16).digest() for p, n in zip(part, counts.tolist()) for k in range(n)]
+                within = np.arange(len(known)) - np.repeat(np.cumsum(counts) - counts, counts)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(known, pa.binary()), pa.array(np.repeat(docs[low : low + CROWD], counts)),
+                    pa.array(np.repeat(ats[low : low + CROWD], counts) + within)], ["s", "doc", "at"])
+
+    return rows
+
+
+def _united_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        gone = united(*(column(batch, c) for c in ("doc", "start", "end")))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in gone], ["doc", "start", "end"])
+
+
+def _repeated_strings_of(pieces: DataFrame, length: int) -> DataFrame:
+    """Spans of all strings of ``pieces`` that are not the first of their kind, whatever many pieces share a string."""
+    strings = stored(pieces.select("doc", "at", "piece").mapInArrow(trimmed(_strings(length)), "s binary, doc long, at long"), "repeats-strings")
+    firsts = strings.groupBy("s").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("s", "first")
+    later = strings.join(firsts, "s").where("doc <> first.doc OR at <> first.at")
+    spans = later.select("doc", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+    dealt = spans.repartition("doc", F.floor(F.col("start") / STRETCH)).sortWithinPartitions("doc", "start")
+    return dealt.mapInArrow(trimmed(_united_rows), "doc long, start long, end long")
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed, as they are shuffled twice."""
     codec = pa.Codec("zstd", 3)
@@ -432,13 +471,22 @@ def _removed(rows: DataFrame, length: int, gram: int) -> DataFrame:
     dealt = pieces.repartition("h").sortWithinPartitions("h", "c", "doc", "at")
     found = stored(dealt.mapInArrow(trimmed(_classes(length)), "kind int, h long, doc long, start long, end long"), "repeats-classes")
     wanted = found.where("kind = 1")
-    crowds = wanted.groupBy("h").count().where(F.col("count") > CROWD).select("h", F.lit(True).alias("crowd"))
+    crowds = stored(wanted.groupBy("h").count().where(F.col("count") > CROWD).select("h", F.lit(True).alias("crowd")), "repeats-crowds")
     marked = wanted.join(crowds, "h", "left").select("doc", F.struct("h", "start", "end", F.col("crowd").isNotNull().alias("crowd")).alias("w"))
     per_doc = marked.groupBy("doc").agg(F.collect_list("w").alias("wanted"))
     packed = rows.mapInArrow(trimmed(_packed), "doc long, text binary")
-    texts = packed.join(per_doc, "doc").mapInArrow(trimmed(_texts(length, gram)), "h long, doc long, at long, piece binary")
-    merged = texts.repartition("h").sortWithinPartitions("h").mapInArrow(trimmed(_merged(length)), "doc long, start long, end long")
-    merged = stored(merged, "repeats-merged")
+    texts = packed.join(per_doc, "doc").mapInArrow(trimmed(_texts(length, gram)), "h long, doc long, at long, piece binary, crowd boolean")
+    hot = None
+    if not crowds.isEmpty():
+        texts = stored(texts, "repeats-texts")
+        large = stored(texts.where("crowd").groupBy("h").count().where(F.col("count") > CROWD).select("h"), "repeats-large")
+        if not large.isEmpty():
+            hot = _repeated_strings_of(texts.join(large, "h"), length)
+            texts = texts.join(large, "h", "left_anti")
+    grouped = texts.select("h", "doc", "at", "piece").repartition("h").sortWithinPartitions("h")
+    merged = stored(grouped.mapInArrow(trimmed(_merged(length)), "doc long, start long, end long"), "repeats-merged")
+    if hot is not None:
+        merged = merged.unionByName(stored(hot, "repeats-hot"))
     spans = found.where("kind = 0").select("doc", "start", "end").unionByName(merged)
     gone = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     left = packed.join(gone, "doc", "left")

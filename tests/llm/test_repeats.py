@@ -64,6 +64,33 @@ def test_crowded_anchors(spark, monkeypatch):
     assert result(documents(spark, rows).repartition(4)) == expected(rows)
 
 
+def test_passage_before_different_text_is_dealt_out(spark, monkeypatch):
+    """A passage longer than a string in most documents, different text after it: no merged group exceeds the bound, and the result is whole."""
+    monkeypatch.setattr(repeats, "CROWD", 5)
+    draw = random.Random(9)
+    passage = "".join(draw.choice("abcdef ") for _ in range(160))
+    rows = [(i, passage + "".join(draw.choice("uvwxyz") for _ in range(90)) + ("tail " * 30 if i % 3 else "")) for i in range(40)]
+    rows += [(100 + i, "".join(draw.choice("abc") for _ in range(150))) for i in range(5)]
+    sizes = spark.sparkContext.accumulator(0)
+    merged = repeats._merged
+
+    def watched(length):
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    groups = np.unique(batch.column("h").to_numpy(), return_counts=True)[1]
+                    sizes.add(int((groups > 5).sum()))
+                    yield batch
+
+            yield from merged(length)(seen())
+
+        return run
+
+    monkeypatch.setattr(repeats, "_merged", watched)
+    assert result(documents(spark, rows).repartition(4)) == expected(rows)
+    assert sizes.value == 0
+
+
 def test_nulls_shared_ids_repeats_and_empty(spark):
     t = "".join(random.Random(1).choice("abc") for _ in range(300))
     rows = [(1, t), (1, t), (1, "z" + t), (None, t[:200]), (None, None), (2, None), (3, t[100:]), (0, "")]
