@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_work_dir
-from . import decontaminate, embeddings, lattice, line_dedup, pieces, quality, repeats, simhash, token_files, url_filters
+from . import decontaminate, divergence, embeddings, lattice, line_dedup, pieces, quality, repeats, simhash, token_files, url_filters
 from .common import LOWER, UPPER, configure, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,27 @@ _LITERALS = "regexp_matches(host || path, '{}')"
 def op10_url_filters(spark, sf_dir):
     judged = url_filters.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
+
+
+_LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+@query(f"""WITH docs AS (
+    SELECT row_number() OVER () AS doc, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents), found AS (
+    SELECT doc, lang, source, {_lower("unnest(regexp_extract_all(text, '" + _LETTERS + "'))")} AS term FROM docs), terms AS (
+    SELECT lang, term, count(*) AS n FROM found GROUP BY lang, term HAVING count(DISTINCT doc) >= 3), sums AS (
+    SELECT lang, count(*)::HUGEINT AS kept, sum(n)::HUGEINT AS total FROM terms GROUP BY lang), counts AS (
+    SELECT lang, source, term, count(*) AS n FROM found SEMI JOIN terms USING (lang, term) GROUP BY ALL), groups AS (
+    SELECT lang, source, coalesce(max(kept), 0) AS kept, coalesce(sum(n), 0)::HUGEINT AS total
+    FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN sums USING (lang) LEFT JOIN counts USING (lang, source) GROUP BY ALL), shares AS (
+    SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.total + g.kept) AS p,
+        1 + 1000000000::HUGEINT * (t.n + 1) // (s.total + s.kept) AS q
+    FROM groups g JOIN terms t USING (lang) JOIN sums s USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term), apart AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL), items AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM shares WHERE n > 0 AND p > q)
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM items QUALIFY part = 'pair' OR rank <= 200""")
+def op11_divergence(spark, sf_dir):
+    return divergence.divergence(table(spark, sf_dir, "documents"))
