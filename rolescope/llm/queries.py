@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_work_dir
-from . import decontaminate, divergence, embeddings, lattice, line_dedup, pieces, quality, repeats, simhash, token_files, url_filters
+from . import decontaminate, divergence, embeddings, lattice, line_dedup, pieces, quality, repeats, simhash, token_files, url_filters, vector_codes
 from .common import LOWER, UPPER, configure, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,32 @@ _LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
     SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM items QUALIFY part = 'pair' OR rank <= 200""")
 def op11_divergence(spark, sf_dir):
     return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def _code_sql(rounds: int) -> str:
+    """The rounds of vector codes, one after the other: each a nearest entry per part, then the floors of the means."""
+    near = """near{i} AS (SELECT vec_id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+        SELECT p.vec_id, p.part, b.entry, sum((p.x - b.x) * (p.x - b.x)) AS d FROM parts p JOIN book{i} b USING (part, pos) GROUP BY ALL) GROUP BY ALL)"""
+    means = """mean{i} AS (SELECT part, entry, pos, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x
+        FROM parts JOIN near{i} USING (vec_id, part) GROUP BY ALL), book{k} AS (
+        SELECT part, entry, pos, coalesce(m.x, b.x) AS x FROM book{i} b LEFT JOIN mean{i} m USING (part, entry, pos))"""
+    steps = [near.format(i=i) + ", " + means.format(i=i, k=i + 1) for i in range(rounds)] + [near.format(i=rounds)]
+    return f"""WITH kept AS (
+        SELECT vec_id, label, embedding FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), flat AS (
+        SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS place, len(embedding) // 8 AS width FROM kept), parts AS (
+        SELECT vec_id, place // width AS part, place % width AS pos, CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM flat), firsts AS (
+        SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < 16), book0 AS (
+        SELECT part, entry, pos, x FROM parts JOIN firsts USING (vec_id)), {", ".join(steps)}, coded AS (
+        SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id), digest AS (
+        SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM book{rounds})
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM coded JOIN kept USING (vec_id), digest"""
+
+
+@query(_code_sql(vector_codes.ROUNDS))
+def op12_vector_codes(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    codes, books = vector_codes.compress(rows, ["vec_id", "label"])
+    return vector_codes.with_label_error(codes, "label").select(
+        "vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
