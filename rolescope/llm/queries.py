@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_work_dir
-from . import decontaminate, divergence, embeddings, lattice, line_dedup, pieces, quality, repeats, simhash, token_files, url_filters, vector_codes
+from . import decontaminate, divergence, embeddings, lattice, line_dedup, pieces, quality, repeats, simhash, token_files, url_filters, vector_codes, warc
 from .common import LOWER, UPPER, configure, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,18 @@ def op12_vector_codes(spark, sf_dir):
     codes, books = vector_codes.compress(rows, ["vec_id", "label"])
     return vector_codes.with_label_error(codes, "label").select(
         "vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+@query("""WITH bodies AS (SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS size FROM pages), marked AS (
+    SELECT *, CASE WHEN size >= 1000 THEN max(page_id) OVER (PARTITION BY body) END AS last FROM bodies)
+    SELECT page_id, size::BIGINT AS payload_bytes, sha1(body) AS payload_digest, CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN last <> page_id THEN last END AS refers_to FROM marked""")
+def op13_warc(spark, sf_dir):
+    path = new_work_dir(spark, "archives")
+    files = warc.write_archives(table(spark, sf_dir, "pages"), path)
+    records = warc.read_archives(spark, files, payloads=False)
+
+    def page(name):
+        return F.regexp_extract(name, r"^urn:page:(-?\d+)$", 1).try_cast("long")
+
+    return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
