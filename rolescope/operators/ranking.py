@@ -55,18 +55,13 @@ def batch_numbers(postings: DataFrame, size: int = BATCH_SIZE, position: str | N
     return numbered.withColumn("batch_id", F.floor((F.col("_number") - 1) / size).cast("int")).drop("_number")
 
 
-def with_ids(merged: DataFrame, order: tuple[str, ...] = ("ats", "company", "job_id")) -> DataFrame:
-    """Give the rows without an ``id`` one, numbered on from the highest in the given order; the others keep theirs.
-
-    The merged table is written once, so that it is computed once; only the keys of new rows are ranked, and only new rows are joined.
-    """
-    merged = stored(merged, "merged")
-    highest = merged.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
-    new = merged.where("id IS NULL").select(*order)
-    numbered = row_numbers(new, [], list(order), "_number").select(*[F.col(k).alias(f"_{k}") for k in order], "_number")
-    fresh = merged.where("id IS NULL").join(numbered, reduce(and_, [F.col(k) == F.col(f"_{k}") for k in order]))
-    given = (F.col("_number") + highest).cast("bigint").alias("id")
-    return merged.where("id IS NOT NULL").unionByName(fresh.select(*[given if c == "id" else c for c in merged.columns]))
+def number_new(source: DataFrame, target: DataFrame, keys: list[str], highest: Column) -> DataFrame:
+    """``source``, one row per key, with an ``id`` for the postings that ``target`` lacks: numbered on from ``highest`` by system, company
+    and posting. Only the new keys are sorted and written; of the target, only the keys are read."""
+    order = ["ats", "company", "job_id"]
+    new = source.join(target.select(*keys), keys, "left_anti").select(*order)
+    numbered = row_numbers(new, [], order, "_number")
+    return source.drop("id").join(numbered, order, "left").withColumn("id", (F.col("_number") + highest).cast("bigint")).drop("_number")
 
 
 def deep_page(df: DataFrame, order: list[str], offset: int | Column, limit: int) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import EXTRACTED_ARRAYS, EXTRACTED_SCALARS, KEY, PROFILE_KEY
-from .ranking import with_ids
+from ..session import stored
+from .ranking import number_new
 
 # What a conflict replaces; everything else of a stored row survives.
 SCRAPED_COLUMNS = ["title", "url", "location", "raw_description"]
@@ -72,18 +73,29 @@ def _text_hash() -> Column:
     return F.sha2(F.coalesce("raw_description", F.lit("")), 256).alias("_hash")
 
 
+def latest_extractions(extracted: DataFrame) -> DataFrame:
+    """The last extraction of each key; a posting that was never scraped counts from its extraction on."""
+    return latest_by_key(extracted, KEY, ["parsed_at", "file", "pos"]).withColumn("scraped_at", F.col("parsed_at"))
+
+
+def upsert_numbered(target: DataFrame, source: DataFrame, replaced: list[str], inserted: tuple[str, ...]) -> DataFrame:
+    """``upsert`` of one row per key, with ids for new keys, numbered on from the highest. Only the new keys are sorted and written; the target is
+    read, never written. Stores the source and numbers at once; the merge itself is lazy."""
+    source = stored(source, "incoming")
+    highest = target.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    return upsert(target, number_new(source, target, KEY, highest), KEY, replaced, (*inserted, "id"))
+
+
 def upsert_scraped(jobs: DataFrame, postings: DataFrame) -> DataFrame:
     """Merge scraped postings: a known posting keeps its id, its extracted fields and its first ``scraped_at``; new ones get
-    ids, numbered on from the highest. Runs at once, see ``with_ids``."""
-    return with_ids(upsert(jobs, dedupe_postings(postings), KEY, SCRAPED_COLUMNS, ("scraped_at",)))
+    ids, numbered on from the highest. See ``upsert_numbered``; ``keyed_table`` merges without reading the whole target."""
+    return upsert_numbered(jobs, dedupe_postings(postings), SCRAPED_COLUMNS, ("scraped_at",))
 
 
 def upsert_parsed(jobs: DataFrame, extracted: DataFrame) -> DataFrame:
     """Merge extracted postings: a known posting keeps its id and ``raw_description``; NULL replaces too; new ones get ids.
-    Runs at once, see ``with_ids``."""
-    latest = latest_by_key(extracted, KEY, ["parsed_at", "file", "pos"])
-    source = latest.withColumn("scraped_at", F.col("parsed_at"))
-    return with_ids(upsert(jobs, source, KEY, PARSED_COLUMNS, ("scraped_at",)))
+    See ``upsert_numbered``."""
+    return upsert_numbered(jobs, latest_extractions(extracted), PARSED_COLUMNS, ("scraped_at",))
 
 
 def upsert_profiles(profiles: DataFrame, source: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType
 
-from ..operators.ranking import with_ids
-from ..operators.upsert import SCRAPED_COLUMNS, dedupe_postings, latest_by_key, upsert
+from ..operators.keyed_table import KeyedTable, merge_scraped
+from ..operators.upsert import SCRAPED_COLUMNS, dedupe_postings, latest_by_key, upsert_numbered
 from ..schemas import KEY, SCRAPED_FILE
 from ..sources.files import postings_of
 
@@ -75,6 +75,25 @@ def drain_changes(postings: DataFrame, log: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def drain_into(postings: DataFrame, path: str, checkpoint: str) -> None:
+    """Merge all postings that wait in the landing folder into the keyed table at ``path``, then stop.
+
+    Each micro-batch reads and writes only the buckets that hold its keys. The table's manifest records the last batch of each checkpoint
+    together with its rows, so a batch that is run again after a crash is not merged twice.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        own = spark.sparkContext.getLocalProperty("sql.streaming.queryId")  # the checkpoint's, also after a restart
+        merge_scraped(KeyedTable.open(spark, path), batch, (own, number))
+
+    query = (
+        postings.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+
+
 def _owner(spark: SparkSession, log: str) -> str | None:
     """The stream that a log's first batch came from."""
     try:
@@ -87,13 +106,13 @@ def _owner(spark: SparkSession, log: str) -> str | None:
 
 def merged_jobs(jobs: DataFrame, log: str, after: int = -1) -> DataFrame:
     """The jobs table with the change log merged in; the later arrival wins. New postings get ids on from the highest, which
-    stay theirs once ``compact`` has written them. Runs at once, see ``with_ids``.
+    stay theirs once ``compact`` has written them. See ``upsert_numbered``.
 
     ``after`` is the last batch the table already holds; older folders are not read.
     """
     changes = jobs.sparkSession.read.schema(_CHANGES).parquet(log).where(F.col("batch") > after)
     latest = latest_by_key(changes, KEY, ["batch", "scraped_at", "file", "pos"], first=("scraped_at",))
-    return with_ids(upsert(jobs, latest, KEY, SCRAPED_COLUMNS, ("scraped_at",)))
+    return upsert_numbered(jobs, latest, SCRAPED_COLUMNS, ("scraped_at",))
 
 
 def compact(jobs: DataFrame, log: str, out: str, after: int = -1) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import batches, quality, ranking, upsert
+from ..operators.keyed_table import KeyedTable, merge_scraped
 from ..plans.profiles import company_profiles
 from ..schemas import JOBS, KEY
 from ..session import new_work_dir
@@ -160,6 +161,30 @@ def upsert_scraped(spark, sf):
     return flat(merged.select(*_SHOWN))
 
 
+@register("table_upsert", _MERGED + _WITH_IDS)
+def table_upsert(spark, sf):
+    """The same as ``upsert_scraped``, merged into a stored table bucket by bucket."""
+    held = KeyedTable.create(jobs_v(spark, sf).select(*JOBS.fieldNames()), new_work_dir(spark, "jobs"), buckets=16)
+    return flat(merge_scraped(held, _scraped_changes(spark, sf)).read().select(*_SHOWN))
+
+
+@register("table_remove", using("jobs_v", "scraped_v") + """SELECT id, ats, company, job_id, title FROM jobs_v
+    WHERE (ats, company, job_id) NOT IN (SELECT ats, company, job_id FROM jobs_v WHERE location IS NULL)""")
+def table_remove(spark, sf):
+    """A stored table without the postings that have no location."""
+    jobs = jobs_v(spark, sf).select(*JOBS.fieldNames())
+    held = KeyedTable.create(jobs, new_work_dir(spark, "jobs"), buckets=16)
+    return held.remove(jobs.where("location IS NULL")).read().select("id", "ats", "company", "job_id", "title")
+
+
+@register("table_lookup", using("jobs_v") + "SELECT id, ats, company, job_id, title, raw_description FROM jobs_v WHERE job_id IN ('1', '7', '32', '33')")
+def table_lookup(spark, sf):
+    """Postings of a stored table by key: only the buckets of the keys are opened."""
+    jobs = jobs_v(spark, sf).select(*JOBS.fieldNames())
+    held = KeyedTable.create(jobs, new_work_dir(spark, "jobs"), buckets=16)
+    return held.lookup(jobs.where("job_id IN ('1', '7', '32', '33')")).select("id", "ats", "company", "job_id", "title", "raw_description")
+
+
 @register("upsert_parsed", using("jobs_v", "latest_changes").rstrip() + """, merged AS (
     SELECT j.id, coalesce(j.ats, c.ats) AS ats, coalesce(j.company, c.company) AS company, coalesce(j.job_id, c.job_id) AS job_id,
         CASE WHEN c.job_id IS NULL THEN j.title ELSE c.title END AS title, CASE WHEN c.job_id IS NULL THEN j.url ELSE c.url END AS url,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.keyed_table import KeyedTable
 from ..schemas import JOBS
 from ..session import new_work_dir
 from ..streaming import landing
@@ -19,15 +20,29 @@ def stream_drain(spark, sf):
     return spark.read.parquet(f"{work}/out").drop("file", "pos")
 
 
-@register("stream_upsert", using("jobs_v", "scraped_v") + """SELECT id, ats, company, job_id, title, url, raw_description, scraped_at FROM jobs_v
+_TWICE = using("jobs_v", "scraped_v") + """SELECT id, ats, company, job_id, title, url, raw_description, scraped_at FROM jobs_v
     UNION ALL SELECT (SELECT max(id) FROM jobs_v) + row_number() OVER (ORDER BY ats, company, job_id), ats, company, job_id, concat('v2 ', title), url,
-        description, TIMESTAMP '2026-01-01 00:00:00' FROM scraped_v""")
+        description, TIMESTAMP '2026-01-01 00:00:00' FROM scraped_v"""
+_WAVES = [("title", "2026-01-01T00:00:00"), ("concat('v2 ', title)", "2026-01-02T00:00:00")]
+_KEPT = ["id", "ats", "company", "job_id", "title", "url", "raw_description", "scraped_at"]
+
+
+@register("stream_upsert", _TWICE)
 def stream_upsert(spark, sf):
     """Two arrivals of every document, drained one after the other, merged into the jobs table."""
     work = new_work_dir(spark, "upsert")
-    waves = [("title", "2026-01-01T00:00:00"), ("concat('v2 ', title)", "2026-01-02T00:00:00")]
-    for title, stamp in waves:
+    for title, stamp in _WAVES:
         scraped_documents(spark, sf, title, stamp).write.mode("append").json(f"{work}/landing")
         landing.drain_changes(landing.read_landing(spark, f"{work}/landing"), f"{work}/log", f"{work}/checkpoint")
-    merged = landing.merged_jobs(jobs_v(spark, sf).select(*JOBS.fieldNames()), f"{work}/log")
-    return merged.select("id", "ats", "company", "job_id", "title", "url", "raw_description", "scraped_at")
+    return landing.merged_jobs(jobs_v(spark, sf).select(*JOBS.fieldNames()), f"{work}/log").select(*_KEPT)
+
+
+@register("stream_table", _TWICE)
+def stream_table(spark, sf):
+    """The same arrivals, each merged into a stored table as it is drained."""
+    work = new_work_dir(spark, "stream-table")
+    KeyedTable.create(jobs_v(spark, sf).select(*JOBS.fieldNames()), f"{work}/jobs", buckets=16)
+    for title, stamp in _WAVES:
+        scraped_documents(spark, sf, title, stamp).write.mode("append").json(f"{work}/landing")
+        landing.drain_into(landing.read_landing(spark, f"{work}/landing"), f"{work}/jobs", f"{work}/checkpoint")
+    return KeyedTable.open(spark, f"{work}/jobs").read().select(*_KEPT)
