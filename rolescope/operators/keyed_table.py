@@ -46,7 +46,7 @@ class KeyedTable:
     def create(cls, rows: DataFrame, path: str, keys: Iterable[str] = KEY, buckets: int = 256) -> KeyedTable:
         """Write ``rows``, which hold each key once, as the first version. A bucket should hold some 100 MB at the size the table will have."""
         empty = cls(rows.sparkSession, path.rstrip("/"), rows.schema, tuple(keys), buckets)
-        return empty._write(empty._bucketed(rows), set(), {})
+        return empty._write(empty.bucketed(rows), set(), {})
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> KeyedTable:
@@ -65,10 +65,10 @@ class KeyedTable:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
-    def _bucketed(self, rows: DataFrame) -> DataFrame:
+    def bucketed(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("bucket", self._bucket())
 
-    def _scan(self, only: Iterable[int] | None = None) -> DataFrame:
+    def scan(self, only: Iterable[int] | None = None) -> DataFrame:
         """Rows of the given buckets, or of all, with their bucket; the folders of other buckets and versions are not even listed."""
         wanted = self.places.keys() if only is None else set(only) & self.places.keys()
         schema = T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("v", T.LongType())])
@@ -78,13 +78,13 @@ class KeyedTable:
         return reader.parquet(*[f"{self.path}/data/v={self.places[b][0]}/bucket={b}" for b in sorted(wanted)]).drop("v")
 
     def read(self) -> DataFrame:
-        return self._scan().drop("bucket")
+        return self.scan().drop("bucket")
 
     def lookup(self, keys: DataFrame) -> DataFrame:
         """The rows of the given keys; only their buckets are opened."""
-        asked = self._bucketed(keys.select(*self.keys).distinct())
+        asked = self.bucketed(keys.select(*self.keys).distinct())
         found = [r.bucket for r in asked.select("bucket").distinct().collect()]
-        return self._scan(found).join(asked, ["bucket", *self.keys], "left_semi").select(*self.schema.names)
+        return self.scan(found).join(asked, ["bucket", *self.keys], "left_semi").select(*self.schema.names)
 
     @property
     def rows(self) -> int:
@@ -96,9 +96,9 @@ class KeyedTable:
         on from the highest there is. ``mark`` names the stream and batch that the rows come from: a batch that was merged before is skipped."""
         if mark and self.marks.get(mark[0], -1) >= mark[1]:
             return self
-        incoming = stored(self._bucketed(source), "incoming")
+        incoming = stored(self.bucketed(source), "incoming")
         touched = self._touched(incoming)
-        old = self._scan(touched)
+        old = self.scan(touched)
         keys = ["bucket", *self.keys]
         if numbered:
             top = max((t for _, _, t in self.places.values() if t is not None), default=0)
@@ -110,9 +110,9 @@ class KeyedTable:
 
     def remove(self, keys: DataFrame) -> KeyedTable:
         """The next version, without the rows of the given keys."""
-        gone = stored(self._bucketed(keys.select(*self.keys).distinct()), "gone")
+        gone = stored(self.bucketed(keys.select(*self.keys).distinct()), "gone")
         touched = self._touched(gone)
-        return self._write(self._scan(touched).join(gone, ["bucket", *self.keys], "left_anti").select(*self.schema.names, "bucket"), touched, self.marks)
+        return self._write(self.scan(touched).join(gone, ["bucket", *self.keys], "left_anti").select(*self.schema.names, "bucket"), touched, self.marks)
 
     def _touched(self, rows: DataFrame) -> set[int]:
         return {r.bucket for r in rows.select("bucket").distinct().collect()}

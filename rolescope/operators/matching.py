@@ -7,9 +7,6 @@ candidate, never with candidates times postings.
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import islice
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +15,7 @@ from ..functions.terms import no_terms, normalize_skills, normalize_tech_stack
 from ..functions.text import MIN_BLOCK, posting_block, truncate
 from ..schemas import JOB_FIELDS, MAX_POSTINGS_BLOCK, MAX_RESUME, SENIORITIES
 from ..session import stored
+from .saved_search import passed
 
 TOP = 10
 QUERY_COLUMNS = ("title", "job_summary")
@@ -50,7 +48,8 @@ def scope_by_filters(
     """Pairs of each candidate with the first ``limit`` postings (by id) that pass its filters.
 
     ``want_department`` and ``want_seniority`` of a candidate are its filters, NULL or '' for none; so are ``want_query`` and
-    ``want_company``, if there are such columns, beside the ``query`` and ``company`` that hold for all.
+    ``want_company``, if there are such columns, beside the ``query`` and ``company`` that hold for all. All
+    distinct texts of these are looked up at once, see ``saved_search``.
     Candidates with equal filters share a scope, so postings are ranked once per filter value. The ids
     and then the scopes, ``limit`` rows per filter value, are stored: knowing their size, Spark
     reads the postings' fields and pairs the candidates by broadcast. Should there be too many filter
@@ -60,10 +59,13 @@ def scope_by_filters(
     eligible = jobs.where(job_filters(query=query, query_columns=QUERY_COLUMNS, company=company))
     own = {f"scope_{c}": F.coalesce(f"want_{c}", F.lit("")) for c in ("query", "company") if f"want_{c}" in candidates.columns}
     if own:
-        eligible = _tagged(eligible, candidates.select(*[c.alias(n) for n, c in own.items()]).distinct())
+        narrow = stored(eligible.select("id", "department", "seniority", "company", *QUERY_COLUMNS), "eligible")
+        searched = {"scope_query": QUERY_COLUMNS, "scope_company": ("company",)}
+        wanted = candidates.select(*[c.alias(n) for n, c in own.items()]).distinct()
+        eligible = passed(narrow, wanted, {n: searched[n] for n in own})
     ids = stored(_first_ids(eligible, limit, tuple(own)), "scope-ids")
     scopes = stored(ids.join(jobs.select(*JOB_FIELDS), "id"), "scopes")
-    asking = candidates.withColumns({
+    asking = _offering(candidates).withColumns({
         "scope_department": F.coalesce("want_department", F.lit("")),
         "scope_seniority": F.coalesce("want_seniority", F.lit("")),
     } | own)
@@ -72,26 +74,6 @@ def scope_by_filters(
     return _pair(spread, scopes, ["scope_department", "scope_seniority", *own])
 
 
-def _tagged(jobs: DataFrame, filters: DataFrame, block: int = 50) -> DataFrame:
-    """Each posting once per distinct filter of ``filters`` (scope_query, scope_company) that it passes, with the filter's columns.
-
-    The filters are the query set: they are read in blocks, and all filters of a block are tried in one scan of the postings.
-    """
-    rows = filters.orderBy(*filters.columns).toLocalIterator()
-    parts = []
-    while listed := [row.asDict() for row in islice(rows, block)]:
-        passed = F.array_compact(F.array(*[
-            F.when(
-                job_filters(query=f.get("scope_query"), query_columns=QUERY_COLUMNS, company=f.get("scope_company")),
-                F.struct(*[F.lit(v).alias(n) for n, v in f.items()]))
-            for f in listed
-        ]))
-        parts.append(jobs.select("id", "department", "seniority", F.explode(passed).alias("scope")).select("id", "department", "seniority", "scope.*"))
-    if not parts:
-        return jobs.select("id", "department", "seniority", *[F.lit("").alias(c) for c in filters.columns]).limit(0)
-    return reduce(DataFrame.unionByName, parts)
-
-
 def _first_ids(jobs: DataFrame, limit: int, own: tuple[str, ...] = ()) -> DataFrame:
     """The first ``limit`` ids of each filter value, with '' for a filter that is not set.
 
@@ -123,15 +105,19 @@ def scope_by_ids(candidates: DataFrame, jobs: DataFrame, listed: DataFrame) -> D
     another key. The posting join comes last, so that a later top-k per candidate still trims its
     rows in the map tasks; after a join on the candidate there would be no such exchange.
     """
-    asking = listed.join(candidates, "candidate_id")
+    asking = listed.join(_offering(candidates), "candidate_id")
     return _pair(asking, jobs.select(*JOB_FIELDS), ["id"])
 
 
-def _pair(candidates: DataFrame, postings: DataFrame, on: list[str]) -> DataFrame:
-    """Join both sides, with terms made canonical before: once per row of each side, not once per pair."""
+def _offering(candidates: DataFrame) -> DataFrame:
+    """Candidates with their canonical terms: to be done before candidates are joined with what they ask for."""
     # A candidate's terms are not sorted into technologies and skills, so each counts under both dictionaries' names.
-    own = canonical_terms_of(F.col("terms"), F.col("terms"))
-    c = candidates.withColumn("candidate_terms", own).alias("c")
+    return candidates.withColumn("candidate_terms", canonical_terms_of(F.col("terms"), F.col("terms")))
+
+
+def _pair(candidates: DataFrame, postings: DataFrame, on: list[str]) -> DataFrame:
+    """Join both sides; the terms of postings are made canonical before, once per posting."""
+    c = candidates.alias("c")
     p = postings.withColumn("required", canonical_terms_of(F.col("tech_stack"), F.col("skills"))).alias("p")
     joined = c.join(p, [F.col(f"c.{k}") == F.col(f"p.{k}") for k in on])
     return joined.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.replies import match_errors, parse_matches
-from ..operators import matching
+from ..operators import matching, saved_search
 from ..schemas import JOB_FIELDS, SENIORITIES
 from ..sources.files import decode_ignoring_errors
 from ..sources.files import resume_gate as gate
@@ -112,6 +112,38 @@ def match_scope_own(spark, sf):
     return matching.scope_by_filters(asking, jobs_v(spark, sf)).select("candidate_id", "id")
 
 
+@register("match_scope_each", using("jobs_v", "candidates_v").rstrip() + """, asking AS (
+        SELECT candidate_id, coalesce(want_department, '') AS d, coalesce(want_seniority, '') AS s, p_name AS q, concat('COMPANY_', candidate_id % 200) AS co
+        FROM candidates_v JOIN part ON p_partkey = candidate_id),
+    wanted AS (SELECT DISTINCT d, s, q, co FROM asking),
+    ranked AS (SELECT d, s, q, co, id, row_number() OVER (PARTITION BY d, s, q, co ORDER BY id) AS place FROM wanted JOIN jobs_v ON
+        (d = '' OR department = d) AND (s = '' OR seniority = s) AND contains(lower(company), lower(co))
+        AND (contains(lower(title), lower(q)) OR contains(lower(job_summary), lower(q))))
+    SELECT candidate_id, id FROM asking JOIN ranked USING (d, s, q, co) WHERE place <= 20""")
+def match_scope_each(spark, sf):
+    """Every candidate with two texts of its own: nearly as many searches as candidates."""
+    names = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("want_query"))
+    asking = candidates_v(spark, sf).join(names, F.col("p_partkey") == F.col("candidate_id")).withColumn(
+        "want_company", F.concat(F.lit("COMPANY_"), (F.col("candidate_id") % 200).cast("string")))
+    return matching.scope_by_filters(asking, jobs_v(spark, sf)).select("candidate_id", "id")
+
+
+_SEARCHES = """SELECT s_suppkey AS search_id, CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN concat('1-URGENT') WHEN 2 THEN 'g%, priority _-l' WHEN 3 THEN 'g'
+        ELSE concat('ing wanted') END AS query, concat('company_', CAST(s_suppkey AS {text})) AS company,
+    CASE WHEN s_suppkey % 3 = 0 THEN 'Engineering' ELSE '' END AS department, CAST(NULL AS {text}) AS seniority,
+    CASE WHEN s_suppkey % 4 = 0 THEN 'Remote' END AS remote_policy FROM {supplier}"""
+
+
+@register("saved_searches", using("jobs_v").rstrip() + ", searches AS (" + _SEARCHES.format(text="VARCHAR", supplier="supplier") + """)
+    SELECT search_id, id FROM searches s JOIN jobs_v j ON (coalesce(s.query, '') = '' OR j.title ILIKE concat('%', s.query, '%') OR j.raw_description ILIKE concat('%', s.query, '%'))
+        AND j.company ILIKE concat('%', s.company, '%') AND (s.department = '' OR j.department = s.department)
+        AND (s.remote_policy IS NULL OR j.remote_policy = s.remote_policy)""")
+def saved_searches(spark, sf):
+    """The saved search of every supplier against all postings; some hold wildcards or are short."""
+    searches = spark.sql(_SEARCHES.format(text="STRING", supplier="{supplier}"), supplier=table(spark, sf, "supplier"))
+    return saved_search.matched(jobs_v(spark, sf), searches)
+
+
 @register("match_scope_listed", _LISTED_SCOPE + "SELECT candidate_id, id FROM pairs")
 def match_scope_listed(spark, sf):
     """Scopes from comma-separated ids, as a user would send them."""

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.text import posting_block
-from ..plans import search
+from ..operators.keyed_table import KeyedTable
+from ..plans import search, text_index
 from ..schemas import JOB_FIELDS
+from ..schemas import JOBS as JOBS_SCHEMA
+from ..session import new_work_dir
 from .registry import register
 from .views import jobs_v, table
 from .views_sql import using
@@ -43,6 +46,29 @@ def search_keyword(spark, sf):
     return hits.select("id", "title")
 
 
+def _indexed(spark, sf, **options):
+    work = new_work_dir(spark, "indexed")
+    table_ = KeyedTable.create(jobs_v(spark, sf).select(*JOBS_SCHEMA.fieldNames()), f"{work}/jobs", buckets=16)
+    return table_, text_index.TextIndex.create(table_, f"{work}/grams", **options)
+
+
+@register("search_indexed", JOBS + """SELECT 'a' AS search, id, title FROM jobs_v WHERE title ILIKE '%rge RIN%' OR raw_description ILIKE '%rge RIN%'
+    UNION ALL SELECT 'b', id, title FROM jobs_v WHERE (title ILIKE '%ing%1-urgent%' OR raw_description ILIKE '%ing%1-urgent%') AND department = 'Sales'
+    UNION ALL SELECT 'c', id, title FROM jobs_v WHERE (title ILIKE '%lt%' OR raw_description ILIKE '%lt%') AND seniority = 'Staff'""")
+def search_indexed(spark, sf):
+    """A keyword, one with a wildcard, and one too short for the index."""
+    asked = {"a": {"query": "rge RIN"}, "b": {"query": "ing%1-urgent", "department": "Sales"}, "c": {"query": "lt", "seniority": "Staff"}}
+    table_, index = _indexed(spark, sf)
+    parts = [text_index.search(table_, index, **filters).select(F.lit(n).alias("search"), "id", "title") for n, filters in asked.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("search_company_indexed", JOBS + "SELECT id, company FROM jobs_v WHERE company ILIKE '%NY_117%'")
+def search_company_indexed(spark, sf):
+    table_, index = _indexed(spark, sf, columns=("company",), parts=4)
+    return text_index.search(table_, index, "NY_117").select("id", "company")
+
+
 @register("search_summary", JOBS + "SELECT id, job_summary FROM jobs_v WHERE title ILIKE '%company_11%' OR job_summary ILIKE '%company_11%'")
 def search_summary(spark, sf):
     hits = search.search_jobs(jobs_v(spark, sf), query="COMPANY_11", query_columns=("title", "job_summary"))

@@ -21,12 +21,12 @@ def test_a_small_load_reads_and_writes_its_buckets_only(spark, tmp_path):
     table = KeyedTable.create(target, str(tmp_path / "t"), ["k"], buckets=200)
     assert len(table.places) == 200 and table.rows == 20_000
     load = spark.createDataFrame([("k17", 0, None), ("k18", 1, "y"), ("new", 2, "z")], SMALL)
-    touched = {r.bucket for r in table._bucketed(load).select("bucket").collect()}
+    touched = {r.bucket for r in table.bucketed(load).select("bucket").collect()}
     after = table.merge(load, ["a", "b"])
     written = {int(os.path.basename(p)[7:]) for p in glob.glob(str(tmp_path / "t/data/v=1/bucket=*"))}
     assert written == touched and len(touched) <= 3
     assert {b for b, p in after.places.items() if p[0] == 1} == touched
-    files = table._scan(touched).inputFiles()
+    files = table.scan(touched).inputFiles()
     assert {int(os.path.basename(os.path.dirname(f))[7:]) for f in files} == touched
     assert rows_of(after) == sorted(map(str, upsert(target, load, ["k"], ["a", "b"]).collect()))
     assert rows_of(table) == sorted(map(str, target.collect()))  # the version before stays as it was

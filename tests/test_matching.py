@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rolescope.operators import matching
+from rolescope.operators import matching, saved_search
 from rolescope.schemas import SENIORITIES
 
 LEVELS = [None, *SENIORITIES]
@@ -82,8 +82,7 @@ def test_scope_with_keyword(data):
 @pytest.mark.parametrize("block", [1, 50])
 def test_scope_with_own_keyword_and_company(spark, data, monkeypatch, block):
     postings, people, jobs, candidates = data
-    default = matching._tagged
-    monkeypatch.setattr(matching, "_tagged", lambda *a: default(*a, block))
+    monkeypatch.setattr(saved_search, "BLOCK", block)
     wanted = {c[0]: (["alpha", "", None, "nothing"][c[0] % 4], [None, "ACM", "other"][c[0] % 3]) for c in people}
     own = spark.createDataFrame([(c, *w) for c, w in wanted.items()], "candidate_id int, want_query string, want_company string")
     pairs = matching.scope_by_filters(candidates.join(own, "candidate_id"), jobs, 7, query="t")
@@ -109,6 +108,16 @@ def test_listed_scope_with_hot_posting_and_candidate(spark, data):
     assert top == expected_top(people, lambda person: [by_id[i] for c, i in sorted(listed) if c == person[0] and i in by_id])
 
 
+def test_terms_are_normalized_before_the_joins(data):
+    """The literal maps of both sides stand below the joins: they run once per candidate and posting, not once per pair."""
+    _, _, jobs, candidates = data
+    listed = candidates.select("candidate_id").join(jobs.select("id"), F.col("candidate_id") < F.col("id")).cache()
+    plan = matching.scope_by_ids(candidates, jobs, listed)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [i for i, line in enumerate(plan) if "Join" in line]
+    maps = [i for i, line in enumerate(plan) if "array_union" in line]
+    assert len(joins) >= 2 and len(maps) == 2 and min(maps) > joins[0] and max(maps) > joins[1]
+
+
 def test_terms_count_as_technologies_and_as_skills(spark, jobs_from):
     jobs = jobs_from({"id": 1, "tech_stack": ["ML", "k8s"], "skills": ["problem-solving", "Machine Learning", "Communication"]})
     people = spark.createDataFrame(
