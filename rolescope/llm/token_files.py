@@ -18,7 +18,6 @@ import string
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -129,8 +128,10 @@ class WordTokenizer:
     case of A-Z, words are looked up in lower case; where it parts letters from full stops and commas, these are words of their own.
     """
 
-    # A stop or comma that follows no letter or digit may belong to a longer run of signs.
-    SIGNS = re.compile(r"[\W_][.,][ \n]")
+    # A stop or comma that follows no letter or digit may belong to a longer run of signs, and so may one after a letter beyond ASCII, which
+    # can end in a mark once it is in lower case.
+    SIGNS = re.compile(r"[^A-Za-z0-9][.,][ \n]")
+    JOINED = 256
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -156,9 +157,16 @@ class WordTokenizer:
         return text.replace("\n", " ").split(" ")
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum())), lengths
+        """Ids of distinct words. Many of them are joined by blanks and encoded as one text, whose ids are dealt out by their offsets."""
+        groups = [words[i : i + self.JOINED] for i in range(0, len(words), self.JOINED)]
+        ids, lengths = [], np.zeros(len(words), np.int64)
+        for k, found in enumerate(self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids += found.ids
+            starts = np.cumsum([0] + [len(w) + 1 for w in groups[k][:-1]])
+            at = np.fromiter((first for first, _ in found.offsets), np.int64, len(found.ids))
+            low = k * self.JOINED
+            lengths[low : low + len(starts)] = np.bincount(np.searchsorted(starts, at, "right") - 1, minlength=len(starts))
+        return np.array(ids, np.int32), lengths
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, each ended by the end id, and the number of ids of each."""

@@ -32,6 +32,20 @@ def test_random_access(ids, draw):
     assert held.span(low, high).tolist() == ids[low:high]
 
 
+PIECES = ["İ", "i̇", "Å", "A\u030A", "\u0301", "é", "ß", "ς", "Σ", "a", "B", "9", "_", "'s", "'", "<|endoftext|>", "<|", "你", "🙂", ".", ",", ". ", ", ", ".\n", ",\n", " ", "\n", "\t", "\u00a0", "\u200d", "-", "½", "Ⅷ", "ﬁ"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=12).map("".join), min_size=1, max_size=30))
+def test_ids_like_the_library(texts):
+    """Marks, letters that change their length in lower case, stops, commas and blanks in any order."""
+    own, plain = token_files.tokenizer(PATH, 1), Tokenizer.from_file(PATH)
+    ids, lengths = own.encode(texts)
+    cuts = np.cumsum([0, *lengths]).tolist()
+    for text, low, high in zip(texts, cuts, cuts[1:]):
+        assert ids[low:high].tolist() == plain.encode(text, add_special_tokens=False).ids + [1], text
+
+
 def test_access_needs_no_neighbours():
     """Every place of a large file on its own, against the whole."""
     ids = rng().integers(0, 1 << 20, 70_000).astype(np.uint32)
