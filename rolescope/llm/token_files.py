@@ -21,12 +21,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import WordStore, column, raw_text, text_slices, trimmed
+from .common import WordStore, column, gather, raw_text, text_slices, trimmed
 
 MAGIC = b"DAC1\0\0\0\0"
 STEP = 512
@@ -128,9 +129,9 @@ class WordTokenizer:
     case of A-Z, words are looked up in lower case; where it parts letters from full stops and commas, these are words of their own.
     """
 
-    # A stop or comma that follows no letter or digit may belong to a longer run of signs, and so may one after a letter beyond ASCII, which
-    # can end in a mark once it is in lower case.
-    SIGNS = re.compile(r"[^A-Za-z0-9][.,][ \n]")
+    # A stop or comma that follows no letter or digit may belong to a longer run of signs. Letters are those of ASCII and of the two Latin blocks
+    # after it, but for the dotted capital I, which ends in a mark once it is in lower case.
+    SIGNS = re.compile("[^A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f][.,][ \n]")
     JOINED = 256
 
     def __init__(self, path: str, end_id: int):
@@ -148,13 +149,14 @@ class WordTokenizer:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _words(self, text: str) -> list[str]:
+    def _prepared(self, text: str) -> str:
+        """The text with a blank between any two words."""
         if "<|" not in text:  # special tokens are found before case is changed
             if self.lowers:
                 text = raw_text(text).lower().decode("utf-8", "surrogatepass")
             if self.parts and not self.SIGNS.search(text):
                 text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
-        return text.replace("\n", " ").split(" ")
+        return text.replace("\n", " ")
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words. Many of them are joined by blanks and encoded as one text, whose ids are dealt out by their offsets."""
@@ -170,12 +172,14 @@ class WordTokenizer:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, each ended by the end id, and the number of ids of each."""
-        words, counts = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            own = self._words(text or "")
-            counts[i] = len(own)
-            words += own
-        ids, lengths = self.store.codes(words)
+        # Cut and numbered in Arrow: Python sees each word of a slice once.
+        cut = pc.split_pattern(pa.array([self._prepared(t or "") for t in texts], pa.large_string()), " ")
+        counts = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = cut.flatten().dictionary_encode()
+        ids, lengths = self.store.codes(words.dictionary.to_pylist())
+        word = words.indices.to_numpy().astype(np.int64)
+        starts, lengths = (np.cumsum(lengths) - lengths)[word], lengths[word]
+        ids = gather(ids, starts, lengths)
         per_doc = np.add.reduceat(lengths, np.cumsum(counts) - counts) if len(texts) else counts
         return np.insert(ids, np.cumsum(per_doc), self.end_id), per_doc + 1
 
