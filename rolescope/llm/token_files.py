@@ -210,7 +210,7 @@ def _write(path: str, vocabulary: str, end_id: int, ids_per_file: int):
 
         for batch in batches:
             at, names = 0, batch.column("doc").to_pylist()
-            for texts in text_slices(batch.column("text").to_pylist(), 1 << 22):
+            for texts in text_slices(batch.column("text").to_pylist(), 1 << 21):
                 ids, lengths = own.encode(texts)
                 held.append(ids.astype(np.uint32))
                 docs += names[at : at + len(texts)]
