@@ -22,6 +22,12 @@ def _word_groups(words: Column, size: int) -> Column:
     return F.coalesce(runs, F.array().cast("array<string>"))
 
 
+def description_words(text: Column) -> Column:
+    """Words of a text in lower case, without stops, slashes and hyphens at their end."""
+    words = F.transform(F.split(F.lower(text), WORD_BREAK), lambda w: F.rtrim(w, F.lit("./-")))
+    return F.filter(words, lambda w: w != "")
+
+
 def found_terms(words: Column, dictionary: dict[str, str] = TECH) -> Column:
     """Canonical names of the dictionary spellings met in a text."""
     groups = F.concat(words, *[_word_groups(words, n) for n in range(2, LONGEST_TERM + 1)])
@@ -31,7 +37,7 @@ def found_terms(words: Column, dictionary: dict[str, str] = TECH) -> Column:
 def extract_by_rules(postings: DataFrame) -> DataFrame:
     """Add ``tech_stack, salary_min, salary_max, experience_years, remote_policy, seniority``."""
     text = F.lower("description")
-    words = F.filter(F.transform(F.split(text, WORD_BREAK), lambda w: F.rtrim(w, F.lit("./-"))), lambda w: w != "")
+    words = description_words(F.col("description"))
     digits = F.regexp_extract_all("description", F.lit(PAY), F.lit(0))
     pay = F.transform(digits, lambda d: F.regexp_replace(d, "[$,]", "").cast("int"))
     years = F.regexp_extract(text, YEARS, 1)

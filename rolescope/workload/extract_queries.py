@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.replies import reply_fields, salvage_json
-from ..functions.terms import TECH
-from ..operators import extract, quality, rules
+from ..functions.terms import TECH, dictionary_table
+from ..operators import dictionaries, extract, quality, rules
 from ..schemas import SENIORITIES
 from .registry import register
 from .terms_sql import TECH_MAP
@@ -107,11 +107,14 @@ _GRAMS = " ".join(["list_concat(words,", ", ".join(
     f"list_transform(range(1, len(words) - {n - 2}), lambda i: array_to_string(words[i:i + {n - 1}], ' '))" for n in (2, 3)), ")"])
 
 
-@register("extract_rules", using("jobs_v").rstrip() + f""", adverts AS (SELECT id, {_TITLE} AS advert_title, {_ADVERT.format(join='array_to_string', text='VARCHAR')} AS description FROM jobs_v),
+_FOUND = using("jobs_v").rstrip() + f""", adverts AS (SELECT id, {_TITLE} AS advert_title, {_ADVERT.format(join='array_to_string', text='VARCHAR')} AS description FROM jobs_v),
     parts AS (SELECT *, list_filter(list_transform(regexp_split_to_array(lower(description), '{rules.WORD_BREAK}'), lambda w: rtrim(w, './-')), lambda w: w <> '') AS words,
         list_transform(regexp_extract_all(description, '{rules.PAY}'), lambda d: CAST(regexp_replace(d, '[$,]', '', 'g') AS INT)) AS pay FROM adverts),
     grams AS (SELECT *, {_GRAMS} AS spellings FROM parts)
-    SELECT id, array_to_string(list_sort(list_distinct(list_transform(list_filter({literals(TECH)}, lambda k: list_contains(spellings, k)), lambda k: {TECH_MAP}[k]))), '|') AS tech_stack,
+    """
+
+
+@register("extract_rules", _FOUND + f"""SELECT id, array_to_string(list_sort(list_distinct(list_transform(list_filter({literals(TECH)}, lambda k: list_contains(spellings, k)), lambda k: {TECH_MAP}[k]))), '|') AS tech_stack,
         list_min(pay) AS salary_min, list_max(pay) AS salary_max, TRY_CAST(nullif(regexp_extract(lower(description), '{rules.YEARS}', 1), '') AS INT) AS experience_years,
         CASE WHEN description ILIKE '%remote%' THEN 'Remote' WHEN description ILIKE '%hybrid%' THEN 'Hybrid' ELSE 'Unknown' END AS remote_policy,
         ({literals(SENIORITIES)})[list_position({literals(s.lower() for s in SENIORITIES)}, lower(regexp_extract(advert_title, '{rules.LEVEL}', 1)))] AS seniority
@@ -123,3 +126,12 @@ def extract_rules(spark, sf):
         "id", F.array_join("tech_stack", "|").alias("tech_stack"), "salary_min", "salary_max", "experience_years",
         "remote_policy", "seniority",
     )
+
+
+@register("find_terms_table", _FOUND + f"""SELECT id, array_to_string(list_sort(list_distinct(list_transform(
+    list_filter({literals(TECH)}, lambda k: list_contains(spellings, k)), lambda k: {TECH_MAP}[k]))), '|') AS tech_stack FROM grams""")
+def find_terms_table(spark, sf):
+    """Technologies found in descriptions with the dictionary as a table."""
+    adverts = jobs_v(spark, sf).selectExpr("id", f"{_ADVERT.format(join='array_join', text='STRING')} AS description")
+    found = dictionaries.find_terms(adverts, ["id"], "description", dictionary_table(spark).where("kind = 'tech_stack'"))
+    return found.select("id", F.array_join("terms", "|").alias("tech_stack"))

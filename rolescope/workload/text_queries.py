@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import terms, text
-from ..operators import extract, ranking
+from ..operators import dictionaries, extract, ranking
 from .registry import register
 from .terms_sql import SKILL_MAP, TECH_MAP, canonical, canonical_list
 from .views import jobs_v, responses_v, scraped_v, table
@@ -27,6 +27,14 @@ def normalize_tech(spark, sf):
     return jobs_v(spark, sf).select("id", F.array_join(terms.normalize_tech_stack(F.col("tech_stack")), "|").alias("tech_stack"))
 
 
+@register("normalize_tech_table", JOBS + f"SELECT id, array_to_string({canonical_list('tech_stack', TECH_MAP)}, '|') AS tech_stack FROM jobs_v")
+def normalize_tech_table(spark, sf):
+    """The same with the dictionary as a table."""
+    dictionary = terms.dictionary_table(spark).where("kind = 'tech_stack'")
+    normalized = dictionaries.normalize_lists(jobs_v(spark, sf).select("id", "tech_stack"), "tech_stack", dictionary)
+    return normalized.select("id", F.array_join("tech_stack", "|").alias("tech_stack"))
+
+
 @register("normalize_skills", JOBS + f"SELECT id, array_to_string({canonical_list('skills', SKILL_MAP)}, '|') AS skills FROM jobs_v")
 def normalize_skills(spark, sf):
     return jobs_v(spark, sf).select("id", F.array_join(terms.normalize_skills(F.col("skills")), "|").alias("skills"))
