@@ -27,7 +27,9 @@ MARKUP = (
     r"|[!?/][^>]*+>)"
 )
 TAG = r"<[^>]++>"
-HIDDEN = "\ufffe"  # no character, so no text holds it
+# A hidden "<". The sign itself, should a text hold it, is written with another digit meanwhile.
+SIGN = "\ufffe"
+HIDDEN, ESCAPED = f"{SIGN}1", f"{SIGN}0"
 # The body of a fenced block; no body if the closing fence follows the first line at once.
 FENCED = r"(?s)\A```[^\n]*(?:\n```|\n(.*?)(?:\n```)?)?\z"
 
@@ -65,13 +67,14 @@ def _replace_markup(col: Column, pattern: str, by: str) -> Column:
     """Replace markup. A "<" that no ">" follows and a "<!--" that no "-->" follows are text, so they are hidden from the
     pattern: every other one finds an end, and no attempt scans to the end of a long document in vain. What is left to rescan are
     tags whose quotes never close."""
+    col = F.replace(col, F.lit(SIGN), F.lit(ESCAPED))
     tail, uncommented = _after_last(col, ">"), _after_last(col, "-->")
     parts = F.concat(
         F.substring(col, F.lit(1), uncommented - 1),
         F.replace(F.substring(col, uncommented, tail - uncommented), F.lit("<!--"), F.lit(f"{HIDDEN}!--")),
         F.replace(F.substring(col, tail, F.length(col)), F.lit("<"), F.lit(HIDDEN)),
     )
-    return F.replace(F.regexp_replace(parts, pattern, by), F.lit(HIDDEN), F.lit("<"))
+    return F.replace(F.replace(F.regexp_replace(parts, pattern, by), F.lit(HIDDEN), F.lit("<")), F.lit(ESCAPED), F.lit(SIGN))
 
 
 def clean_html(col: Column) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.terms import no_terms
+from ..operators.keyed_table import KeyedTable
 from ..schemas import PROFILE_KEY
+from ..session import stored
 from .reports import LEADERSHIP, percent, signals
 
 TOP_TERMS = 20
@@ -29,27 +31,35 @@ def _breakdown_counts(jobs: DataFrame) -> DataFrame:
     return tagged.groupBy(*PROFILE_KEY, "e.dimension", "e.value").agg(F.sum("n").alias("n"))
 
 
-def _top_terms(jobs: DataFrame, k: int) -> DataFrame:
-    """The ``k`` most frequent terms of each list of a company; cut before anything is collected."""
+def _term_counts(jobs: DataFrame) -> DataFrame:
+    """Occurrences of each term of each list of a company."""
     def tagged(dimension: str, terms: str) -> Column:
         return F.transform(
             F.coalesce(terms, no_terms()), lambda v: F.struct(F.lit(dimension).alias("dimension"), v.alias("value"))
         )
 
     entries = F.concat(*[tagged(p, c) for p, (c, _) in TERM_LISTS.items()])
-    counts = (
+    return (
         jobs.select(*PROFILE_KEY, F.explode(entries).alias("e"))
         .where("e.value IS NOT NULL")
         .groupBy(*PROFILE_KEY, "e.dimension", "e.value")
         .agg(F.count("*").alias("n"))
     )
+
+
+def _top_terms(counts: DataFrame, k: int) -> DataFrame:
+    """The ``k`` most frequent terms of each list of a company; cut before anything is collected."""
     best = Window.partitionBy(*PROFILE_KEY, "dimension").orderBy(F.desc("n"), "value")
     return counts.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
 
 
 def company_profiles(jobs: DataFrame, analyzed_at: Column | None = None, k: int = TOP_TERMS) -> DataFrame:
     """Totals, breakdowns, most frequent terms and hiring signals of each ``(ats, company)``."""
-    entries = _breakdown_counts(jobs).unionByName(_top_terms(jobs, k))
+    return _profiles(_breakdown_counts(jobs).unionByName(_top_terms(_term_counts(jobs), k)), analyzed_at)
+
+
+def _profiles(entries: DataFrame, analyzed_at: Column | None) -> DataFrame:
+    """Profiles from counts per (company, dimension, value)."""
     dimension, value, n = F.col("dimension"), F.col("value"), F.col("n")
 
     def counted(condition: Column) -> Column:
@@ -83,3 +93,40 @@ def company_profiles(jobs: DataFrame, analyzed_at: Column | None = None, k: int
         signals().alias("hiring_signals"),
         stamp.cast("timestamp_ntz").alias("analyzed_at"),
     )
+
+
+# Counts that are kept up: NULL, the value of unparsed postings, is a key like any other.
+COUNT_KEY = [*PROFILE_KEY, "dimension", "value", "known"]
+
+
+def value_counts(jobs: DataFrame) -> DataFrame:
+    """``COUNT_KEY`` and n: what profiles are made of, one row per company, dimension and value."""
+    rows = _breakdown_counts(jobs).unionByName(_term_counts(jobs))
+    return rows.select(*PROFILE_KEY, "dimension", F.coalesce("value", F.lit("")).alias("value"), F.col("value").isNotNull().alias("known"), "n")
+
+
+def create_counts(jobs: DataFrame, path: str, buckets: int = 256) -> KeyedTable:
+    """The counts of all postings as a keyed table."""
+    return KeyedTable.create(value_counts(jobs), path, COUNT_KEY, buckets)
+
+
+def apply_changes(counts: KeyedTable, before: DataFrame, after: DataFrame) -> KeyedTable:
+    """The counts once the postings ``before`` have been replaced by ``after``: the rows that a batch inserts are in ``after`` only, those it
+    deletes in ``before`` only, those it changes in both, as they were and as they are.
+
+    Each posting adds one to its values or takes one away; what does not change cancels out. Work follows the batch, and the buckets that hold
+    its values; the other postings are not read.
+    """
+    signed = value_counts(after).unionByName(value_counts(before).withColumn("n", -F.col("n")))
+    delta = stored(signed.groupBy(*COUNT_KEY).agg(F.sum("n").alias("change")).where("change <> 0"), "signed-counts")
+    held = counts.lookup(delta)
+    changed = stored(delta.join(held, COUNT_KEY, "left").select(*COUNT_KEY, (F.coalesce("n", F.lit(0)) + F.col("change")).alias("n")), "changed-counts")
+    following = counts.merge(changed, ["n"])
+    return following.remove(gone) if not (gone := changed.where("n <= 0")).isEmpty() else following
+
+
+def profiles_of_counts(counts: KeyedTable, analyzed_at: Column | None = None, k: int = TOP_TERMS) -> DataFrame:
+    """``company_profiles`` from the counts alone; no posting is read."""
+    rows = counts.read().withColumn("value", F.when(F.col("known"), F.col("value"))).drop("known")
+    terms = F.col("dimension").isin(list(TERM_LISTS))
+    return _profiles(rows.where(~terms).unionByName(_top_terms(rows.where(terms), k)), analyzed_at)

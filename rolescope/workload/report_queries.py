@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import json_int, json_text
 from ..functions.terms import normalize_tech_stack
-from ..plans import reports
+from ..plans import profiles, reports
 from ..plans.profiles import company_profiles as build_profiles
+from ..schemas import JOBS as JOBS_SCHEMA
+from ..session import new_work_dir
 from ..sources import registry as boards
 from .registry import register
 from .terms_sql import TECH_MAP, canonical_list
@@ -179,6 +181,15 @@ def company_profiles(spark, sf):
     return flat_profiles(build_profiles(jobs_v(spark, sf))).drop("analyzed_at")
 
 
+@register("profiles_kept_up", JOBS.rstrip() + "," + PROFILES_SQL + "SELECT * FROM profiles")
+def profiles_kept_up(spark, sf):
+    """Profiles from counts that were made of other postings and then changed by the differences."""
+    jobs = jobs_v(spark, sf).select(*JOBS_SCHEMA.fieldNames())
+    before = jobs.withColumns({"department": F.expr("nullif(department, 'Sales')"), "skills": F.col("tech_stack"), "company": F.expr("CASE WHEN id % 5 = 0 THEN 'gone' ELSE company END")})
+    counts = profiles.create_counts(before, new_work_dir(spark, "counts"), buckets=8)
+    return flat_profiles(profiles.profiles_of_counts(profiles.apply_changes(counts, before, jobs))).drop("analyzed_at")
+
+
 @register("profile_json_get", JOBS + """SELECT company, ats, CAST(nullif(count(*) FILTER (WHERE department = 'Engineering'), 0) AS INT) AS engineering,
     CAST(nullif(count(*) FILTER (WHERE seniority = 'Senior'), 0) AS VARCHAR) AS seniors FROM jobs_v GROUP BY company, ats""")
 def profile_json_get(spark, sf):
