@@ -107,7 +107,7 @@ def test_nulls_repeats_long_empty_and_clashes(spark):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in names if q.startswith("op")} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in names if q.startswith("op")} and "pipeline" in names
     assert set(queries.ORACLES) <= set(entry.oracle_sql())
 
 
