@@ -9,6 +9,7 @@ from ..functions import predicates as P
 from ..functions.text import posting_block
 from ..operators.keyed_table import KeyedTable
 from ..plans import search, text_index
+from ..plans.page_directory import PageDirectory
 from ..schemas import JOB_FIELDS
 from ..schemas import JOBS as JOBS_SCHEMA
 from ..session import new_work_dir
@@ -137,6 +138,27 @@ def search_deep_page(spark, sf):
     return flat(deep_page(rows, ["company", "title", "id"], middle, 500))
 
 
+@register("search_directory_page", JOBS + f"""SELECT {FIELDS_SQL} FROM jobs_v
+    ORDER BY company, title, id LIMIT 700 OFFSET (SELECT count(*) // 3 FROM jobs_v)""")
+def search_directory_page(spark, sf):
+    """A page of 500 out of a stored order, and the 200 postings that follow its last."""
+    order = ("company", "title", "id")
+    pages = PageDirectory.create(search.job_projection(jobs_v(spark, sf)), new_work_dir(spark, "pages"), order, rows_per_file=5000)
+    first = pages.page(pages.total() // 3, 500)
+    last = first.select(*order).orderBy(*[F.desc_nulls_first(c) for c in order]).first()
+    return flat(first.unionByName(pages.after(tuple(last), 200)))
+
+
+@register("company_directory_page", JOBS + """SELECT id, title, department, seniority, count(*) OVER () AS total
+    FROM jobs_v WHERE company = (SELECT min(company) FROM jobs_v) ORDER BY department, seniority, title, id LIMIT 20 OFFSET 5""")
+def company_directory_page(spark, sf):
+    """A page within one company out of a stored order, with the company's total from the directory."""
+    jobs = jobs_v(spark, sf).select("company", "department", "seniority", "title", "id")
+    pages = PageDirectory.create(jobs, new_work_dir(spark, "pages"), tuple(jobs.columns), rows_per_file=5000)
+    company = pages.page(0, 1).first().company
+    return pages.page_within((company,), 5, 20).select("id", "title", "department", "seniority", "total")
+
+
 @register("job_by_id", JOBS + f"SELECT {FILLED_SQL} FROM jobs_v WHERE id = 78")
 def job_by_id(spark, sf):
     return flat(search.job_by_id(jobs_v(spark, sf), 78))
