@@ -8,6 +8,8 @@ and nothing that is being read is ever overwritten.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,11 @@ def drain_changes(postings: DataFrame, log: str, checkpoint: str) -> None:
     checkpoint, whose batch numbers name its folders: with another one, numbers would begin again and replace what the log
     holds, so that is refused.
     """
+    drain_rows(postings, log, checkpoint, dedupe_postings)
+
+
+def drain_rows(postings: DataFrame, log: str, checkpoint: str, reduce: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+    """Append what ``reduce`` leaves of every micro-batch to the change log, then stop."""
 
     def append(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -66,7 +73,7 @@ def drain_changes(postings: DataFrame, log: str, checkpoint: str) -> None:
             spark.createDataFrame([(own,)], "owner string").coalesce(1).write.json(f"{log}/_owner")
         elif owner != own:
             raise ValueError(f"the change log {log} belongs to another checkpoint")
-        dedupe_postings(batch).write.mode("overwrite").parquet(f"{log}/batch={number}")
+        reduce(batch).write.mode("overwrite").parquet(f"{log}/batch={number}")
 
     query = (
         postings.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
@@ -104,13 +111,17 @@ def _owner(spark: SparkSession, log: str) -> str | None:
         return None
 
 
+def read_log(spark: SparkSession, log: str) -> DataFrame:
+    return spark.read.schema(_CHANGES).parquet(log)
+
+
 def merged_jobs(jobs: DataFrame, log: str, after: int = -1) -> DataFrame:
     """The jobs table with the change log merged in; the later arrival wins. New postings get ids on from the highest, which
     stay theirs once ``compact`` has written them. See ``upsert_numbered``.
 
     ``after`` is the last batch the table already holds; older folders are not read.
     """
-    changes = jobs.sparkSession.read.schema(_CHANGES).parquet(log).where(F.col("batch") > after)
+    changes = read_log(jobs.sparkSession, log).where(F.col("batch") > after)
     latest = latest_by_key(changes, KEY, ["batch", "scraped_at", "file", "pos"], first=("scraped_at",))
     return upsert_numbered(jobs, latest, SCRAPED_COLUMNS, ("scraped_at",))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators.keyed_table import KeyedTable
 from ..schemas import JOBS
 from ..session import new_work_dir
-from ..streaming import landing
+from ..streaming import landing, settled
 from .ingest_queries import SCRAPED_ROWS, scraped_documents
 from .registry import register
 from .views import jobs_v
@@ -46,3 +46,13 @@ def stream_table(spark, sf):
         scraped_documents(spark, sf, title, stamp).write.mode("append").json(f"{work}/landing")
         landing.drain_into(landing.read_landing(spark, f"{work}/landing"), f"{work}/jobs", f"{work}/checkpoint")
     return KeyedTable.open(spark, f"{work}/jobs").read().select(*_KEPT)
+
+
+@register("stream_settled", _TWICE)
+def stream_settled(spark, sf):
+    """The same arrivals, the later one first, and then all of them again: state in the stream settles them before the log."""
+    work = new_work_dir(spark, "stream-settled")
+    for title, stamp in [*reversed(_WAVES), *_WAVES]:
+        scraped_documents(spark, sf, title, stamp).write.mode("append").json(f"{work}/landing")
+        settled.drain_settled(landing.read_landing(spark, f"{work}/landing"), f"{work}/log", f"{work}/checkpoint")
+    return settled.settled_jobs(jobs_v(spark, sf).select(*JOBS.fieldNames()), f"{work}/log").select(*_KEPT)
