@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import json_int, json_text
 from ..functions.terms import normalize_tech_stack
-from ..plans import profiles, reports
+from ..plans import profiles, reports, summaries
 from ..plans.profiles import company_profiles as build_profiles
 from ..schemas import JOBS as JOBS_SCHEMA
 from ..session import new_work_dir
@@ -246,3 +246,28 @@ def facet_counts(spark, sf):
         round(CAST(sum(salary_max) AS DOUBLE) / count(salary_max), 2) AS mean_salary_max FROM jobs_v GROUP BY 1, 2)""")
 def monthly_trends(spark, sf):
     return reports.monthly_trends(jobs_v(spark, sf))
+
+
+_SPAN = "scraped_at >= TIMESTAMP '1995-01-01' AND scraped_at < TIMESTAMP '1997-01-01'"
+_MONTHS = ("1995-01-01", "1996-12-31")
+
+
+@register("summary_span", JOBS + f"""SELECT count(*) AS postings, count(department) AS parsed, count(DISTINCT company) AS companies,
+    true AS titles_fit, true AS technologies_fit FROM jobs_v WHERE {_SPAN}""")
+def summary_span(spark, sf):
+    """Two years out of monthly summaries; the estimates are held against exact distinct numbers, within four standard errors."""
+    jobs, path = jobs_v(spark, sf), new_work_dir(spark, "summaries")
+    summaries.write_days(jobs, path, unit="month")
+    got = summaries.span_totals(summaries.read_daily(spark, path, *_MONTHS))
+    exact = summaries.exact_span(jobs, *_MONTHS).selectExpr("titles AS exact_titles", "technologies AS exact_technologies")
+    fits = {f"{n}_fit": F.abs(F.col(n) - exact.select(f"exact_{n}").scalar()) <= 4 * summaries.error() * F.col(n) for n in ("titles", "technologies")}
+    return got.withColumns(fits).drop("titles", "technologies")
+
+
+@register("summary_terms", JOBS + f"""SELECT value, count(*) AS "count" FROM (SELECT unnest(tech_stack) AS value FROM jobs_v WHERE {_SPAN})
+    WHERE value IS NOT NULL GROUP BY value ORDER BY "count" DESC, value LIMIT 20""")
+def summary_terms(spark, sf):
+    """The technologies of two years out of monthly counts."""
+    path = new_work_dir(spark, "summaries")
+    summaries.write_days(jobs_v(spark, sf), path, unit="month")
+    return summaries.span_terms(summaries.read_terms(spark, path, *_MONTHS), "tech_stack", 20)
