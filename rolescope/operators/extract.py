@@ -97,11 +97,19 @@ def extract_jobs(
     many tasks first. Model calls are dear, so write the result to a table before using it twice.
     """
     spread = postings if parallelism is None else postings.repartition(parallelism)
-    gated = gate_description(spread)
+    asked = prompted(spread)
+    return extracted_fields(asked.withColumn("_reply", model_replies(F.col("_prompt"), retrying(model), call_size)), postings.columns)
+
+
+def prompted(postings: DataFrame) -> DataFrame:
+    """The postings with cut descriptions, an error where there is nothing to ask, and else the ``_prompt`` to send."""
     prompt = extraction_prompt(F.col("title"), F.col("company"), F.col("location"), F.col("description"))
-    replied = gated.withColumn(
-        "_reply", model_replies(F.when(F.col("error").isNull(), prompt), retrying(model), call_size)
-    ).withColumn("_json", salvage_json(F.col("_reply")))
+    return gate_description(postings).withColumn("_prompt", F.when(F.col("error").isNull(), prompt))
+
+
+def extracted_fields(replied: DataFrame, columns: list[str]) -> DataFrame:
+    """The fields in the ``_reply`` of each row of ``prompted``, or an error; ``columns`` of the postings pass through."""
+    replied = replied.withColumn("_json", salvage_json(F.col("_reply")))
     failed = F.col("_json").isNull() | is_empty_object(F.col("_json"))
     error = F.coalesce(F.col("error"), F.when(failed, F.lit(BAD_REPLY)))
     checked = replied.withColumn("error", error).withColumn(
@@ -115,7 +123,7 @@ def extract_jobs(
         given = F.try_variant_get(F.col("_value"), f"$.{name}", "variant").isNotNull()
         fields[name] = F.when(given, normalize(fields[name]))
     names = [*EXTRACTED_SCALARS, *EXTRACTED_ARRAYS]
-    passed = [c for c in postings.columns if c not in (*names, "description")]
+    passed = [c for c in columns if c not in (*names, "description")]
     return parsed.select(*passed, *[fields[n].alias(n) for n in names], "error")
 
 

@@ -101,6 +101,19 @@ def monthly_trends(jobs: DataFrame) -> DataFrame:
     return counts.withColumn("change", F.col("postings") - before)
 
 
+def pay_percentiles(jobs: DataFrame, shares: tuple[float, ...] = (0.25, 0.5, 0.75), column: str = "salary_min") -> DataFrame:
+    """Per month of scraping and department: postings with pay, and the exact percentiles of it, interpolated between neighbours; ``p25``, ``p50`` and so on.
+
+    Pay is counted per (month, department, amount) first. What an aggregate holds is then a department's distinct amounts, whatever the number of postings.
+    """
+    month = F.date_trunc("month", "scraped_at").cast("date").alias("month")
+    paid = jobs.where(f"scraped_at IS NOT NULL AND {column} IS NOT NULL")
+    amounts = paid.groupBy(month, "department", F.col(column).alias("amount")).agg(F.count("*").alias("n"))
+    ranks = F.percentile("amount", F.array(*[F.lit(s) for s in shares]), F.col("n")).alias("ranks")
+    rows = amounts.groupBy("month", "department").agg(F.sum("n").alias("postings"), ranks)
+    return rows.select("month", "department", "postings", *[F.round(F.col("ranks")[i], 2).alias(f"p{s * 100:g}") for i, s in enumerate(shares)])
+
+
 def facet_tech(jobs: DataFrame, k: int = 50) -> DataFrame:
     return top_counts(_technologies(jobs), "tech", k)
 

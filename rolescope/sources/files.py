@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType, VariantType
 
 from ..functions.text import strip, truncate
 from ..schemas import EXTRACTED_ARRAYS, EXTRACTED_FILE, EXTRACTED_SCALARS, MAX_RESUME, PROFILE_FILE, SCRAPED_FILE
@@ -162,3 +162,22 @@ def read_postings(spark: SparkSession, path: str, schema: str | StructType, keys
     """What ``save_postings`` wrote, without the rows that stand for emptied companies."""
     rows = spark.read.schema(schema).parquet(path)
     return rows.where(F.coalesce(*[F.col(c).cast("string") for c in rows.columns if c not in keys]).isNotNull())
+
+
+def export_csv(rows: DataFrame, path: str) -> None:
+    """Write a result as CSV files with a header each, for spreadsheets: lists as text between ``|``, other nested columns as JSON, line breaks and quotes inside
+    quoted fields, empty text told apart from NULL. As many files as the plan has tasks, so no row passes through one task that need not."""
+    texts = {}
+    for field in rows.schema:
+        if isinstance(field.dataType, ArrayType) and isinstance(field.dataType.elementType, StringType):
+            texts[field.name] = F.array_join(field.name, "|")
+        elif isinstance(field.dataType, ArrayType | MapType | StructType | VariantType):
+            texts[field.name] = F.to_json(field.name)
+    flat = rows.withColumns(texts) if texts else rows
+    flat.write.mode("errorifexists").options(
+        header=True, escape='"', emptyValue='""', nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """What ``export_csv`` wrote. A text of one NUL character reads as NULL."""
+    return spark.read.schema(schema).options(header=True, escape='"', emptyValue="", nullValue="\0", multiLine=True).csv(path)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.replies import reply_fields, salvage_json
 from ..functions.terms import TECH, dictionary_table
-from ..operators import dictionaries, extract, quality, rules
+from ..operators import dictionaries, extract, quality, reply_store, rules
 from ..schemas import SENIORITIES
+from ..session import new_work_dir
 from .registry import register
 from .terms_sql import TECH_MAP
 from .text_queries import PROMPT_SQL
@@ -56,7 +57,10 @@ EXTRACTED_SQL = using("scraped_v") + f"""SELECT job_id, company, ats, url, CASE
 
 
 def _extracted(spark, sf, model):
-    extracted = extract.extract_jobs(scraped_v(spark, sf), model)
+    return _flat(extract.extract_jobs(scraped_v(spark, sf), model))
+
+
+def _flat(extracted):
     return extracted.select(
         "job_id", "company", "ats", "url", "department", "salary_min",
         F.array_join("tech_stack", "|").alias("tech_stack"), F.array_join("skills", "|").alias("skills"), "error",
@@ -86,6 +90,12 @@ def extract_retry(spark, sf):
     """Rate-limited calls are repeated until they answer."""
     return _extracted(spark, sf, extract.retrying(limited_model(), sleep=lambda seconds: None))
 
+@register("extract_stored", EXTRACTED_SQL)
+def extract_stored(spark, sf):
+    """Two runs over one store of replies; the model of the second answers nothing, as nothing is left to ask."""
+    store = reply_store.ReplyStore(spark, new_work_dir(spark, "replies"), "length", parts=4, parallelism=8)
+    reply_store.extract_stored(scraped_v(spark, sf), length_model(), store)
+    return _flat(reply_store.extract_stored(scraped_v(spark, sf), lambda prompts: [None] * len(prompts), store))
 
 
 @register("extract_quality", f"""SELECT CASE lang WHEN 'en' THEN 'greenhouse' WHEN 'fr' THEN 'lever' WHEN 'de' THEN 'ashby' ELSE 'smartrecruiters' END AS ats,

@@ -271,3 +271,10 @@ def summary_terms(spark, sf):
     path = new_work_dir(spark, "summaries")
     summaries.write_days(jobs_v(spark, sf), path, unit="month")
     return summaries.span_terms(summaries.read_terms(spark, path, *_MONTHS), "tech_stack", 20)
+
+
+@register("pay_percentiles", JOBS + """SELECT CAST(date_trunc('month', scraped_at) AS DATE) AS month, department, count(*) AS postings,
+    round(quantile_cont(salary_min, 0.25), 2) AS p25, round(quantile_cont(salary_min, 0.5), 2) AS p50, round(quantile_cont(salary_min, 0.9), 2) AS p90
+    FROM jobs_v WHERE scraped_at IS NOT NULL AND salary_min IS NOT NULL GROUP BY ALL""")
+def pay_percentiles(spark, sf):
+    return reports.pay_percentiles(jobs_v(spark, sf), (0.25, 0.5, 0.9))

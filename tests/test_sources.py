@@ -123,3 +123,14 @@ def test_repeated_details_and_null_payloads(spark):
     assert payloads.with_sections(postings, details).count() == 1
     raw = spark.createDataFrame([("lever", "a", "null"), ("lever", "b", "[]"), ("lever", "c", " null\n")], "ats string, slug string, raw string")
     assert sorted(r.slug for r in payloads.payload_errors(raw).collect()) == ["a", "c"]
+
+
+def test_csv_round_trip(spark, tmp_path):
+    from rolescope.sources.files import export_csv, read_csv
+
+    texts = ["plain", 'say "hi"', "a,b", "two\nlines", "back\\slash", 'mix",\n"\\"', "", "ñ你🙂", " padded ", None, "\\0"]
+    rows = spark.createDataFrame([(i, t, ["x", None, "y"] if i % 2 else [], {"k": i}) for i, t in enumerate(texts)], "id int, t string, l array<string>, m map<string,int>")
+    export_csv(rows, str(tmp_path / "out"))
+    got = read_csv(spark, str(tmp_path / "out"), "id int, t string, l string, m string").orderBy("id").collect()
+    assert [r.t for r in got] == texts
+    assert [r.l or "" for r in got] == ["x|y" if i % 2 else "" for i in range(len(texts))] and got[3].m == '{"k":3}'
