@@ -9,7 +9,7 @@ from ..operators.keyed_table import KeyedTable, merge_scraped
 from ..plans.profiles import company_profiles
 from ..schemas import JOBS, KEY
 from ..session import new_work_dir
-from ..sources import files, payloads
+from ..sources import files, manifest, payloads
 from .registry import register
 from .report_queries import PROFILES_SQL, flat_profiles
 from .search_queries import flat
@@ -77,6 +77,18 @@ def scan_scraped(spark, sf):
     return files.scan_scraped(spark, path, multiline=False).drop("file", "pos")
 
 
+@register("refresh_tree", using("scraped_v") + SCRAPED_ROWS.replace("title,", "CASE ats WHEN 'lever' THEN concat('v2 ', title) ELSE title END AS title,", 1))
+def refresh_tree(spark, sf):
+    """A tree scanned in full, then again after one system's companies were scraped anew."""
+    work = new_work_dir(spark, "refreshed")
+    tree, places = f"{work}/tree", (f"{work}/manifest", f"{work}/out")
+    for title, wanted in (("title", "true"), ("concat('v2 ', title)", "ats = 'lever'")):
+        documents = scraped_documents(spark, sf, title).where(wanted).hint("rebalance", F.col("ats"), F.col("company"))
+        documents.write.partitionBy("ats", "company").option("partitionOverwriteMode", "dynamic").mode("overwrite").json(tree)
+        manifest.refresh(spark, tree, *places, multiline=False)
+    return manifest.read_refreshed(spark, places[1]).drop("file", "pos")
+
+
 def extracted_postings(spark, sf):
     """The jobs view as extraction results; what has no department counts as failed."""
     failed = F.when(F.col("department").isNull(), F.lit("No description"))
