@@ -5,7 +5,7 @@ State of a ``LineIndex``, three tables in the shared folder; each change writes
 - references: one row per (key, document). Deleting a document removes its rows.
 - counts: one row per key, its number of documents and the largest of them. Only keys that a change touches are counted again.
 - filters: one cuckoo filter per shard, which holds the keys found in at least ``min_docs`` documents. A key enters when its
-  count reaches that number and leaves when it falls below.
+  count reaches that number and leaves when it falls below. A filter that is full is built anew from the counts.
 
 Line keys go to the shard of their hash and meet its filter there. What the filter lacks is not repeated; what it holds is checked
 against the exact counts, so false positives change nothing.
@@ -31,7 +31,8 @@ MIN_DOCS = 3
 SLOTS = 4
 REFERENCES = "key binary, doc long"
 COUNTS = "key binary, n_docs long, last_doc long"
-FILTERS = "shard int, filter binary"
+FILTERS = "shard int, room long, filter binary"
+FULL = 0.9  # of a filter's slots; beyond it the shard's filter is built anew, twice as large as its keys need
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -148,7 +149,7 @@ def _update_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     shard, held = None, None
 
     def done():
-        return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "filter": pa.array([held.to_bytes()], pa.binary())})
+        return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "room": pa.array([held.table.size], pa.int64()), "filter": pa.array([held.to_bytes()], pa.binary())})
 
     for batch in batches:
         shards, kinds = column(batch, "shard"), column(batch, "kind")
@@ -267,14 +268,23 @@ class LineIndex:
             after = counts.join(keys, "key", "left_semi").where(F.col("n_docs") >= self.min_docs).select("key", F.lit(1).alias("is"))
             both = before.join(after, "key", "full_outer").where("was IS NULL OR is IS NULL")
             crossed = both.select("key", F.when(F.col("is").isNull(), 2).otherwise(3).alias("kind"))
-        return replace(self, references=references, counts=counts, filters=stored(self._filtered(crossed), "line-filters"))
-
-    def _filtered(self, crossed: DataFrame) -> DataFrame:
-        """The filters after keys have crossed ``min_docs`` up or down; shards without any stay as they are."""
+        return replace(self, references=references, counts=counts, filters=stored(self._filtered(crossed, counts), "line-filters"))
+
+    def _filtered(self, crossed: DataFrame, counts: DataFrame) -> DataFrame:
+        """The filters after keys have crossed ``min_docs`` up or down; shards without any stay as they are, full ones are built from the counts."""
+        old_filters = self.filters
+        if self._known():
+            held = counts.where(F.col("n_docs") >= self.min_docs).select("key", _shard(self.shards).alias("shard"))
+            rooms = old_filters.select("shard", "room")
+            full = stored(held.groupBy("shard").agg(F.count("*").alias("n")).join(rooms, "shard").where(F.col("n") > FULL * F.col("room")).select("shard"), "full-shards")
+            refilled = held.join(full, "shard", "left_semi").select("key", F.lit(3).alias("kind"))
+            old_filters = old_filters.join(full, "shard", "left_anti")
+            others = crossed.withColumn("shard", _shard(self.shards)).join(full, "shard", "left_anti").select("key", "kind")
+            crossed = others.unionByName(refilled)
         keyed = crossed.select(_shard(self.shards).alias("shard"), "kind", F.col("key").alias("data"), F.lit(0).cast("long").alias("n"))
         sizes = keyed.where("kind = 3").groupBy("shard").agg(F.count("*").alias("n")).select(
             "shard", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("data"), "n")
-        old = self.filters.select("shard", F.lit(0).alias("kind"), F.col("filter").alias("data"), F.lit(0).cast("long").alias("n"))
+        old = old_filters.select("shard", F.lit(0).alias("kind"), F.col("filter").alias("data"), F.lit(0).cast("long").alias("n"))
         rows = old.unionByName(sizes).unionByName(keyed).repartition("shard").sortWithinPartitions("shard", "kind", "data")
         return rows.mapInArrow(trimmed(_update_filters), FILTERS)
 

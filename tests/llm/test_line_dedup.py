@@ -75,3 +75,20 @@ def test_cuckoo_filter():
         held.delete(keys[:1500])
         assert held.contains(keys[1500:3000]).all() and held.contains(keys[:1500]).mean() < 0.01
         assert (held.table > 0).sum() + len(held.extra) == 1500
+
+
+def test_full_filters_are_built_anew(spark):
+    """A filter made for 30 keys takes 3,000 more: nothing is listed beside it, and lookups and deletions stay exact."""
+    line = lambda i: f"a line of some length, number {i}"
+    waves = [range(0, 30), range(30, 300), range(300, 3000)]
+    rows = [[(w * 10 + d, "\n".join(map(line, wave))) for d in range(3)] for w, wave in enumerate(waves)]
+    index = LineIndex.empty(spark, shards=2, salts=2)
+    for wave in rows:
+        index = index.insert(documents(spark, wave))
+    held = [(r.room, CuckooFilter.from_bytes(r.filter)) for r in index.filters.collect()]
+    assert len(held) == 2 and all(room == f.table.size and not f.extra for room, f in held) and sum((f.table > 0).sum() for _, f in held) == 3000
+    whole = [r for wave in rows for r in wave]
+    assert result(index, documents(spark, whole)) == expected(whole)
+    back = index.delete(documents(spark, rows[2]))
+    assert result(back, documents(spark, rows[0] + rows[1])) == expected(rows[0] + rows[1])
+    assert sum((CuckooFilter.from_bytes(r.filter).table > 0).sum() for r in back.filters.collect()) == 300
