@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER
 
 TOKEN = "[a-z0-9]+"
+RULES = "name string, verdict string, pattern string, literals array<string>, rank int"
 
 
 @dataclass(frozen=True)
@@ -78,28 +79,35 @@ def token_index(rules: DataFrame, tokens: DataFrame) -> DataFrame:
     return rules.join(rarest, "name")
 
 
-def judge_urls(urls: DataFrame, rules: list[Rule], default: str = "allow") -> DataFrame:
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """A list of rules as the table that ``judge_urls`` takes, too."""
+    return spark.createDataFrame([(r.name, r.verdict, r.pattern, list(r.literals), r.rank) for r in rules], RULES)
+
+
+def candidates(tokens: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rules whose rarest literal an address holds, per row of ``tokens``. A literal that many rules share brings them to an address only if
+    each of these rules has no rarer one."""
+    return tokens.join(token_index(rules, tokens), "token")
+
+
+def judge_urls(urls: DataFrame, rules: list[Rule] | DataFrame, default: str = "allow") -> DataFrame:
     """Judge the distinct values of column ``url``: returns url, host, path, rule, verdict, by_rank.
 
+    ``rules`` may be a table of any size: name, verdict, pattern, literals and rank, as the fields of ``Rule``; each name once. A rule without literals is refused.
+
     Equal addresses (host and path) are judged once, so a hot address is one row. The tokens of an address fetch the rules
     indexed by them; only those run their pattern. An address without a fitting rule gets ``default`` and a null rule.
     A null url is one of the values.
     """
-    spark = urls.sparkSession
-    listed = spark.createDataFrame(
-        [(r.name, r.verdict, r.pattern, list(r.literals), r.rank) for r in rules],
-        "name string, verdict string, pattern string, literals array<string>, rank int",
-    )
-    for rule in rules:
-        if not rule.literals:
-            raise ValueError(f"rule {rule.name} has no literal token to index it by")
+    listed = rules if isinstance(rules, DataFrame) else rule_table(urls.sparkSession, rules)
+    for rule in listed.where(F.coalesce(F.array_size("literals"), F.lit(0)) == 0).select("name").limit(1).collect():
+        raise ValueError(f"rule {rule.name} has no literal token to index it by")
     host, path = url_parts(F.col("url"))
     parts = urls.select("url").distinct().select("url", host.alias("host"), path.alias("path"))
     addresses = parts.select("host", "path").distinct()
     spelled = F.array_distinct(F.regexp_extract_all(_lower(F.concat("host", "path")), F.lit(TOKEN), F.lit(0)))
     tokens = addresses.select("host", "path", F.explode(spelled).alias("token"))
-    candidates = tokens.join(token_index(listed, tokens), "token")
-    fitting = candidates.where(F.regexp_like(F.concat("host", "path"), F.col("pattern")))
+    fitting = candidates(tokens, listed).where(F.regexp_like(F.concat("host", "path"), F.col("pattern")))
     order = F.struct("rank", F.length("name"), "name")
     best = fitting.groupBy("host", "path").agg(
         F.max_by(F.struct(F.col("name").alias("rule"), "verdict", "rank"), order).alias("best")
@@ -110,7 +118,7 @@ def judge_urls(urls: DataFrame, rules: list[Rule], default: str = "allow") -> Da
     )
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule] | None = None, url: str = "url", default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule] | DataFrame | None = None, url: str = "url", default: str = "allow") -> DataFrame:
     """All rows and columns of ``pages`` with a struct column ``judged`` (host, path, rule, verdict); ``rule`` names a site rule only.
 
     Rows are joined by the url itself: repeated rows, null ids and null urls all get a verdict. A column of

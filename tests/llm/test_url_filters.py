@@ -41,6 +41,23 @@ def test_rarest_token_and_longest_rule(spark):
     assert site_rule("block", "ads.example.com", "/x/partial").literals == ("ads", "example", "com", "x")
 
 
+def test_a_table_of_many_rules(spark):
+    """100,000 rules that all hold the tokens ``com`` and ``www``, which all addresses hold: an address meets the rules of its own rare token only."""
+    n = 100_000
+    rules = spark.range(n).selectExpr(
+        "concat('r', id) AS name", "IF(id % 2 = 0, 'block', 'allow') AS verdict", "concat('^www\\\\.site', id, '\\\\.com/') AS pattern",
+        "array('www', concat('site', id), 'com') AS literals", "1 AS rank")
+    urls = spark.range(0, n, 500).selectExpr("concat('http://www.site', id, IF(id % 1000 = 0, '.com/x', '.org/com')) AS url")
+    got = url_filters.judge_urls(urls, rules, "unknown").collect()
+    want = {f"http://www.site{i}{'.com/x' if i % 1000 == 0 else '.org/com'}": (f"r{i}", "block") if i % 1000 == 0 else (None, "unknown") for i in range(0, n, 500)}
+    assert {r.url: (r.rule, r.verdict) for r in got} == want
+    host, path = url_filters.url_parts(F.col("url"))
+    tokens = urls.select("url", F.explode(F.array_distinct(F.regexp_extract_all(F.concat(host, path), F.lit(url_filters.TOKEN), F.lit(0)))).alias("token"))
+    assert url_filters.candidates(tokens, rules).count() == urls.count()
+    with pytest.raises(ValueError, match="r7"):
+        url_filters.judge_urls(urls, rules.where("name = 'r7'").withColumn("literals", F.expr("CAST(NULL AS ARRAY<STRING>)")))
+
+
 def test_no_python_in_the_plan(spark):
     plan = filter_urls(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
