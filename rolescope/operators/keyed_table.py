@@ -13,16 +13,20 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import KEY
 from ..session import stored
-from .ranking import number_new
-from .upsert import PARSED_COLUMNS, SCRAPED_COLUMNS, dedupe_postings, latest_extractions, upsert
+from .ranking import new_numbers
+from .upsert import PARSED_COLUMNS, SCRAPED_COLUMNS, dedupe_postings, latest_extractions
 
+# Rows that one task of a merge sorts and writes.
+SLICE = 100_000
 _MANIFEST = "bucket int, v long, n_rows long, top_id long, marks map<string, long>, keys array<string>, buckets int, json string"
 
 
@@ -96,17 +100,57 @@ class KeyedTable:
         on from the highest there is. ``mark`` names the stream and batch that the rows come from: a batch that was merged before is skipped."""
         if mark and self.marks.get(mark[0], -1) >= mark[1]:
             return self
-        incoming = stored(self.bucketed(source), "incoming")
-        touched = self._touched(incoming)
-        old = self.scan(touched)
-        keys = ["bucket", *self.keys]
+        taken = [c for c in self.schema.names if c in (*self.keys, *replaced, *inserted)]
+        incoming = stored(self.bucketed(source.select(*taken)), "incoming")
+        arrived = {r.bucket: r["count"] for r in incoming.groupBy("bucket").count().collect()}
+        old = self.scan(arrived)
+        numbers = None
         if numbered:
             top = max((t for _, _, t in self.places.values() if t is not None), default=0)
-            incoming = number_new(incoming, old, keys, F.lit(top))
-            inserted = (*inserted, "id")
-        merged = upsert(old, incoming, keys, replaced, inserted)
+            numbers = self.bucketed(new_numbers(incoming, old, ["bucket", *self.keys])).withColumn("_number", F.col("_number") + F.lit(top))
+        merged = self._merged(old, incoming, numbers, arrived, replaced, (*inserted, "id") if numbered else inserted)
         marks = self.marks | (dict([mark]) if mark else {})
-        return self._write(merged, touched, marks)
+        return self._write(merged, set(arrived), marks, gathered=True)
+
+    def _merged(self, old: DataFrame, incoming: DataFrame, numbers: DataFrame | None, arrived: dict[int, int], replaced: list[str],
+                inserted: tuple[str, ...]) -> DataFrame:
+        """What ``upsert`` gives for the touched buckets, each bucket's rows in the tasks that write them.
+
+        Stored rows, incoming rows and the numbers of new keys are sent once, to a slice of their bucket; equal keys meet there, and the
+        slices are written as they are. A bucket has so many slices that one holds about ``SLICE`` rows, by a hash of the key that is even where a bucket ends.
+        """
+        held = {b: n + self.places.get(b, (0, 0, 0))[1] for b, n in arrived.items()}
+        slices = max(1, -(-max(held.values(), default=0) // SLICE))
+        order = F.create_map(*[F.lit(x) for i, b in enumerate(sorted(held)) for x in (b, i * slices)]) if held else F.create_map(F.lit(0), F.lit(0))
+        slice_ = order[F.col("bucket")] + F.pmod(F.xxhash64(F.lit("slice"), *self.keys), F.lit(slices)).cast("int")
+        given = [c for c in incoming.columns if c not in (*self.keys, "bucket")]
+        rows = old.withColumn("_side", F.lit(0)).unionByName(
+            incoming.select("bucket", *self.keys, F.struct(F.lit(True).alias("_is"), *given).alias("_new"), F.lit(1).alias("_side")), allowMissingColumns=True)
+        if numbers is not None:
+            rows = rows.unionByName(numbers.select("bucket", *self.keys, "_number", F.lit(2).alias("_side")), allowMissingColumns=True)
+        else:
+            rows = rows.withColumn("_number", F.lit(None).cast("long"))
+        # A key with a NULL in it equals no other, so each side's stay among themselves.
+        lone = F.when(reduce(or_, [F.col(k).isNull() for k in self.keys]), F.col("_side"))
+        spread = rows.withColumns({"_slice": slice_, "_lone": lone}).repartitionById(max(1, len(held) * slices), "_slice")
+        same = Window.partitionBy("bucket", "_slice", *self.keys, "_lone")
+        met = spread.withColumns({
+            "_given": F.first("_new", ignorenulls=True).over(same), "_id": F.first("_number", ignorenulls=True).over(same),
+            "_known": F.min("_side").over(same) == 0,
+        }).where((F.col("_side") == 0) | (F.col("_side") == 1) & ~F.col("_known"))
+        stays = F.col("_side") == 0
+
+        def merged(name: str) -> Column:
+            if name in self.keys:
+                return F.col(name)
+            new = F.col("_id") if name == "id" and numbers is not None else F.col(f"_given.{name}") if name in given else None
+            if name in replaced:
+                return F.when(F.col("_given._is"), new).otherwise(F.col(name))
+            if name in inserted:
+                return F.when(stays, F.col(name)).otherwise(new)
+            return F.col(name)
+
+        return met.select(*[merged(c).alias(c) for c in self.schema.names], "bucket")
 
     def remove(self, keys: DataFrame) -> KeyedTable:
         """The next version, without the rows of the given keys."""
@@ -117,9 +161,10 @@ class KeyedTable:
     def _touched(self, rows: DataFrame) -> set[int]:
         return {r.bucket for r in rows.select("bucket").distinct().collect()}
 
-    def _write(self, rows: DataFrame, touched: set[int], marks: dict[str, int]) -> KeyedTable:
+    def _write(self, rows: DataFrame, touched: set[int], marks: dict[str, int], gathered: bool = False) -> KeyedTable:
+        """``gathered`` tells that no task holds rows of many buckets, so that they need not be sent once more."""
         version = self.version + 1
-        rows.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/v={version}")
+        (rows if gathered else rows.hint("rebalance", F.col("bucket"))).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/v={version}")
         schema = T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])
         top = F.max("id") if "id" in self.schema.names else F.lit(None).cast("long")
         written = self.spark.read.schema(schema).parquet(f"{self.path}/data/v={version}").groupBy("bucket").agg(

@@ -59,11 +59,17 @@ def number_new(source: DataFrame, target: DataFrame, keys: list[str], highest: C
     """``source``, one row per key, with an ``id`` for the postings that ``target`` lacks: numbered on from ``highest`` by system, company
     and posting. Only the new keys are sorted and written; of the target, only the keys are read."""
     order = ["ats", "company", "job_id"]
-    new = source.join(target.select(*keys), keys, "left_anti").select(*order)
-    numbered = row_numbers(new, [], order, "_number")
+    numbered = new_numbers(source, target, keys).select(*order, "_number")
     return source.drop("id").join(numbered, order, "left").withColumn("id", (F.col("_number") + highest).cast("bigint")).drop("_number")
 
 
+def new_numbers(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of ``source`` that ``target`` lacks, with a ``_number`` from 1 by system, company and posting."""
+    order = ["ats", "company", "job_id"]
+    new = source.select(*keys).join(target.select(*keys), keys, "left_anti").select(*order)
+    return row_numbers(new, [], order, "_number")
+
+
 def deep_page(df: DataFrame, order: list[str], offset: int | Column, limit: int) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of a total order, in that order, for pages too deep for a top-k heap.
 

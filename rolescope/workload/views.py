@@ -25,17 +25,36 @@ def _pick(values: list[str], index: str) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.expr(index) + 1).cast("int"))
 
 
+def _bit(values: list[str], value: Column, shift: int) -> Column:
+    """One bit, that of the value's place in ``values``."""
+    place = F.array_position(F.array(*[F.lit(v) for v in values]), value) - 1
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), (place + shift).cast("int"))
+
+
+def _marked(values: list[str], shift: int) -> Column:
+    """The values whose bits are set, in their order."""
+    return F.filter(F.array(*[F.lit(v) for v in values]), lambda _, i: F.call_function("getbit", F.col("marks"), i + shift) == 1)
+
+
 def jobs_v(spark: SparkSession, sf: str) -> DataFrame:
     """One posting per order."""
+    # What is picked by a part's number travels as one bit each, and the rest as it stands in the table: an order's lists are made once, after the shuffle.
+    # Orders have few lines, so nothing is gained by reducing them before it.
+    tech, skills = sorted(TECHNOLOGIES), sorted(SKILLS)
+    parts = table(spark, sf, "part").select(
+        "p_partkey", "p_name", F.lower("p_type").alias("p_type"),
+        (_bit(tech, _pick(TECHNOLOGIES, "p_partkey % 20"), 0) + _bit(skills, _pick(SKILLS, "p_partkey % 7"), len(tech))).alias("marks"),
+    )
     lines = (
-        table(spark, sf, "lineitem")
-        .join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .select("l_orderkey", "p_name", "p_type", "marks")
+        .repartition("l_orderkey")
         .groupBy("l_orderkey")
-        .agg(
-            F.min("p_name").alias("title"),
-            F.array_sort(F.collect_set(_pick(TECHNOLOGIES, "p_partkey % 20"))).alias("tech_stack"),
-            F.array_sort(F.collect_set(_pick(SKILLS, "p_partkey % 7"))).alias("skills"),
-            F.array_sort(F.collect_set(F.concat(F.lit("scale "), F.lower("p_type")))).alias("pain_points"),
+        .agg(F.min("p_name").alias("title"), F.bit_or("marks").alias("marks"), F.array_sort(F.collect_set("p_type")).alias("types"))
+        .select(
+            "l_orderkey", "title", _marked(tech, 0).alias("tech_stack"), _marked(skills, len(tech)).alias("skills"),
+            F.transform("types", lambda kind: F.concat(F.lit("scale "), kind)).alias("pain_points"),
         )
     )
     orders = table(spark, sf, "orders").selectExpr(
@@ -129,9 +148,15 @@ _NO_JOBS = '{"jobs":[]}'
 _EMPTY = {"lever": "[]", "smartrecruiters": '{"content":[]}'}
 
 
+def _spread_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The parts, dealt out to all tasks: a small file of them makes many payloads, and would be one task."""
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return table(spark, sf, "part").repartition(tasks, "p_partkey")
+
+
 def payload_v(spark: SparkSession, sf: str) -> DataFrame:
     """One payload per part and system, two postings each; some are cut short, some hold no postings."""
-    parts = table(spark, sf, "part").selectExpr(
+    parts = _spread_parts(spark, sf).selectExpr(
         "*", "CAST(2 * p_partkey AS STRING) AS a", "CAST(2 * p_partkey + 1 AS STRING) AS b",
         "concat('board', CAST(p_partkey AS STRING)) AS slug",
     )
@@ -147,7 +172,7 @@ def payload_v(spark: SparkSession, sf: str) -> DataFrame:
 
 def details_v(spark: SparkSession, sf: str) -> DataFrame:
     """The detail document of each part's first posting."""
-    return table(spark, sf, "part").selectExpr(
+    return _spread_parts(spark, sf).selectExpr(
         "concat('board', CAST(p_partkey AS STRING)) AS slug",
         "CAST(2 * p_partkey AS STRING) AS id",
         """concat('{"jobAd":{"sections":{"companyDescription":{"title":"About","text":"<b>', p_brand, '</b> &amp; co"},',

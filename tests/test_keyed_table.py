@@ -91,3 +91,18 @@ def test_stream_merges_each_batch_once(spark, tmp_path, jobs_from):
     # The same batch again, as after a crash between merge and checkpoint.
     same = merge_scraped(table, spark.createDataFrame([posting("1", "again")], POSTING), (next(iter(table.marks)), 1))
     assert same.version == table.version
+
+
+def test_a_merge_sends_its_rows_once(spark, tmp_path, monkeypatch):
+    """Also with several slices per bucket, and with repeated and missing keys in the table."""
+    from rolescope.operators import keyed_table
+
+    monkeypatch.setattr(keyed_table, "SLICE", 50)
+    old = spark.range(600).selectExpr("IF(id < 3, NULL, concat('k', id div 2)) AS k", "id AS a", "concat('old ', id) AS b")
+    table = KeyedTable.create(old, str(tmp_path / "t"), ["k"], buckets=4)
+    load = spark.createDataFrame([("k17", 0, None), ("new", 2, "z"), (None, 3, "w")], SMALL)
+    plans, write = [], KeyedTable._write
+    monkeypatch.setattr(KeyedTable, "_write", lambda self, rows, *args, **kw: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), write(self, rows, *args, **kw))[1])
+    after = table.merge(load, ["a"], ("b",))
+    assert len(plans) == 1 and plans[0].count("Exchange ") == 1 and "Join" not in plans[0]
+    assert rows_of(after) == sorted(map(str, upsert(old, load, ["k"], ["a"], ("b",)).collect()))
