@@ -7,16 +7,22 @@ from pyspark.sql import functions as F
 
 from ..schemas import EXTRACTED_POSTING
 
+# Batches of a company that are gathered in one task.
+BLOCK = 1000
+
 
 def batch_documents(extracted: DataFrame) -> DataFrame:
     """One document per ``(ats, company, batch_id)``; a batch holds at most its fixed size of postings."""
     posting = F.struct(*EXTRACTED_POSTING.fieldNames())
-    return extracted.groupBy("ats", "company", "batch_id").agg(
+    # The postings are sent once, to the task of their company's block, and grouped there; a hot company has many blocks.
+    block = F.floor(F.col("batch_id") / BLOCK)
+    gathered = extracted.withColumn("_block", block).repartition("ats", "company", "_block")
+    return gathered.groupBy("ats", "company", "_block", "batch_id").agg(
         F.array_sort(F.collect_list(posting)).alias("jobs"),
         F.count("*").alias("total"),
         F.count_if(F.col("error").isNull()).cast("int").alias("extracted"),
         F.count_if(F.col("error").isNotNull()).cast("int").alias("errors"),
-    )
+    ).drop("_block")
 
 
 def batch_summary(extracted: DataFrame) -> DataFrame:
@@ -48,10 +54,11 @@ def merged_postings(documents: DataFrame) -> DataFrame:
     ])
 
 
-def write_batches(documents: DataFrame, path: str) -> None:
-    """JSON lines, one folder per company, replacing only the companies present."""
+def write_batches(documents: DataFrame, path: str, gathered: bool = False) -> None:
+    """JSON lines, one folder per company, replacing only the companies present. ``gathered`` tells that few tasks hold a company, as
+    ``batch_documents`` leaves them, so that the documents need not be sent once more."""
     (
-        documents.hint("rebalance", F.col("ats"), F.col("company"))
+        (documents if gathered else documents.hint("rebalance", F.col("ats"), F.col("company")))
         .write.partitionBy("ats", "company")
         .option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")

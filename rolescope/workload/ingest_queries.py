@@ -107,7 +107,7 @@ _BATCHED = using("jobs_v").rstrip() + """, batched AS (SELECT *, CAST((row_numbe
         job_summary, TIMESTAMP '2026-01-02 00:00:00' AS parsed_at FROM jobs_v WHERE department IS NOT NULL""")
 def scan_extracted(spark, sf):
     path = new_work_dir(spark, "extracted")
-    batches.write_batches(batches.batch_documents(extracted_postings(spark, sf)), path)
+    batches.write_batches(batches.batch_documents(extracted_postings(spark, sf)), path, gathered=True)
     stamp = F.lit("2026-01-02 00:00:00").cast("timestamp_ntz")
     return flat(files.scan_extracted(spark, path, stamp, multiline=False).drop("file", "pos"))
 

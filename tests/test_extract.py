@@ -96,3 +96,15 @@ def test_rules(spark):
     row = rules.extract_by_rules(spark.createDataFrame([("Senior VP", text)], "title string, description string")).first()
     assert row.tech_stack == ["cpp", "gcp", "kubernetes"]
     assert (row.salary_min, row.salary_max, row.experience_years, row.remote_policy, row.seniority) == (120000, 150000, 5, "Hybrid", "Senior")
+
+
+def test_batches_are_gathered_before_they_are_written(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(batches, "BLOCK", 2)
+    rows = spark.range(60).selectExpr("CAST(id AS STRING) AS job_id", "concat('c', id % 2) AS company", "'lever' AS ats", "CAST(id div 6 AS INT) AS batch_id")
+    rows = rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in batches.EXTRACTED_POSTING if f.name not in rows.columns])
+    documents = batches.batch_documents(rows)
+    batches.write_batches(documents, str(tmp_path / "b"), gathered=True)
+    written = spark.read.json(str(tmp_path / "b"))
+    assert sorted(map(tuple, written.select("ats", "company", "batch_id", "total").collect())) == [("lever", f"c{c}", b, 3) for c in range(2) for b in range(10)]
