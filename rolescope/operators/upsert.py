@@ -21,11 +21,12 @@ def latest_by_key(df: DataFrame, keys: list[str], order: list[str], first: tuple
     holds a third of the table arrives at its reducer as one row per map task.
     """
     rank = F.struct(*order)
-    payload = [c for c in df.columns if c not in keys and c not in first]
-    best = df.groupBy(*keys).agg(
-        F.max_by(F.struct(*payload), rank).alias("_last"), *[F.min_by(c, rank).alias(c) for c in first]
-    )
-    picked = {c: F.col(f"_last.{c}") for c in payload} | {c: F.col(c) for c in first}
+    payload = [c for c in df.columns if c not in [*keys, *first, *order]]
+    # The order columns come first in what is kept, so that they are sent once; of the first row, no more is kept than its columns need.
+    kept = F.max(F.struct(*order, *payload)).alias("_last")
+    firsts = [F.min(F.struct(c))[c].alias(c) if c == order[0] else F.min_by(c, rank).alias(c) for c in first]
+    best = df.groupBy(*keys).agg(kept, *firsts)
+    picked = {c: F.col(f"_last.{c}") for c in df.columns if c not in [*keys, *first]} | {c: F.col(c) for c in first}
     return best.select(*[picked.get(c, F.col(c)).alias(c) for c in df.columns])
 
 

@@ -86,3 +86,10 @@ def test_validate(spark, jobs_from):
     assert got == [("1", ("duplicate key",)), ("1", ("duplicate key",)), ("2", ("title longer than 500",)), ("3", ("title is null",))]
     assert quality.valid_rows(checked).count() == 0 and quality.quarantined_rows(checked).count() == 4
     assert set(KEY) <= set(quality.valid_rows(checked).columns)
+
+
+def test_latest_by_key_sends_its_order_once(spark):
+    rows = spark.createDataFrame([("k", 1, "f", "a"), ("k", 2, "g", "b"), ("k", None, "h", "c")], "k string, at int, file string, v string")
+    latest = latest_by_key(rows, ["k"], ["at", "file"], first=("at",))
+    assert [tuple(r) for r in latest.collect()] == [("k", None, "g", "b")]
+    assert "max_by" not in latest._jdf.queryExecution().optimizedPlan().toString()
