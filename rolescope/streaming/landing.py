@@ -64,6 +64,11 @@ def drain_changes(postings: DataFrame, log: str, checkpoint: str) -> None:
 
 def drain_rows(postings: DataFrame, log: str, checkpoint: str, reduce: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
     """Append what ``reduce`` leaves of every micro-batch to the change log, then stop."""
+    drain_batches(postings, log, checkpoint, lambda batch, number, _: reduce(batch).write.mode("overwrite").parquet(f"{log}/batch={number}"))
+
+
+def drain_batches(postings: DataFrame, log: str, checkpoint: str, write: Callable[[DataFrame, int, str], None]) -> None:
+    """Hand every micro-batch to ``write``, with its number and its checkpoint's name, which owns the change log from then on; then stop."""
 
     def append(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -73,7 +78,7 @@ def drain_rows(postings: DataFrame, log: str, checkpoint: str, reduce: Callable[
             spark.createDataFrame([(own,)], "owner string").coalesce(1).write.json(f"{log}/_owner")
         elif owner != own:
             raise ValueError(f"the change log {log} belongs to another checkpoint")
-        reduce(batch).write.mode("overwrite").parquet(f"{log}/batch={number}")
+        write(batch, number, own)
 
     query = (
         postings.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)

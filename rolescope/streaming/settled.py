@@ -1,94 +1,95 @@
-"""State in the stream: repeated and late documents are settled before they reach the change log.
+"""Repeated and late documents are settled before they reach the change log, by a state that the stream keeps beside it.
 
 Per posting the state holds when its last version was scraped, where it came from, a hash of its content and the earliest stamp: a few numbers, no text. A row
 goes on if it is later than all before it, or if it lowers the earliest stamp; anything else cannot change the merged table. The
 log is merged by stamp, not by arrival, so a folder that is read in any order, in any batches, and more than once gives what one batch over all its documents gives.
 
-State that has not been touched for the time limit is dropped. Time is that of arrival, the start of a micro-batch, so no document is ever too late.
-(Processing-time timeouts would keep a drain that stops by itself from stopping.) A document that comes after that is let through again, which costs a row of the log and
+The state is a ``KeyedTable`` under the log: a micro-batch is reduced to a few numbers per posting, joined with the state's rows, and merged into the buckets that
+hold its keys; no posting costs a call of its own. The log's folder of a batch is written first, then the state together with the batch's number, so a batch that is
+run again after a crash does the same, or nothing.
+
+State that has not been touched for the time limit counts as dropped, and is removed when a drain ends. Time is that of arrival, the start of a micro-batch, so no document
+is ever too late. A document that comes after that is let through again, which costs a row of the log and
 changes nothing, but for one case: versions of one stamp and different content, of which the winner was a repeat under another file name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.keyed_table import KeyedTable
 from ..operators.upsert import SCRAPED_COLUMNS, dedupe_postings, upsert_numbered
 from ..schemas import KEY
-from .landing import drain_rows, read_log
+from ..session import stored
+from .landing import drain_batches, read_log
 
 MONTH = 30 * 24 * 3600 * 1000
 NO_STAMP = -(1 << 63)  # what a missing stamp ranks as: before all others
-_ROWS = ("job_id string, company string, ats string, title string, url string, location string, raw_description string, "
-         "file string, pos int, at long, content long")
-_STATE = "at long, file string, pos int, content long, first_at long"
+BUCKETS = 64
+_STATE = "key string, last struct<at: long, file: string, pos: int, content: long>, first_at long, arrived long"
 
 
-def _rank(at: int, file: str | None, pos: int | None) -> tuple:
-    # Files compare by their UTF-8 bytes, as Spark orders strings.
-    return int(at), (file or "").encode(), -1 if pos is None else int(pos)
+def _state(spark: SparkSession, path: str) -> KeyedTable:
+    try:
+        return KeyedTable.open(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return KeyedTable.create(spark.createDataFrame([], _STATE), path, ["key"], BUCKETS)
 
 
-def _settler():
-    def settle_key(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Of all rows that a batch holds for a posting, at most its last and its first go on. One Arrow batch is held at a time."""
-        if state.hasTimedOut:
-            state.remove()
-            return
-        known, arrived = tuple(state.get) if state.exists else None, 0
-        last, content = (_rank(*known[:3]), known[3]) if known else (None, None)
-        first_at = known[4] if known else None
-        latest = earliest = None
-        changed = False
-        for rows in batches:
-            arrived = int(rows["arrived"].max().timestamp() * 1000)
-            newest = oldest = None
-            for i, row in enumerate(zip(rows["at"], rows["file"], rows["pos"], rows["content"])):
-                rank = _rank(*row[:3])
-                if last is None or rank > last:
-                    repeated = last is not None and (rank[0], row[3]) == (last[0], content)
-                    last, content = rank, int(row[3])
-                    if not repeated:
-                        newest = i
-                    changed = True
-                if first_at is None or rank[0] < first_at:
-                    first_at, oldest, changed = rank[0], i, True
-            if newest is not None:
-                latest = rows.iloc[newest : newest + 1]
-            if oldest is not None:
-                earliest = latest if oldest == newest else rows.iloc[oldest : oldest + 1]
-        if changed:
-            state.update((last[0], last[1].decode(), last[2], content, first_at))
-        # Over once the watermark, which follows the arrivals by the limit, has passed it.
-        state.setTimeoutTimestamp(arrived + 1)
-        for row in [earliest] if earliest is latest else [earliest, latest]:
-            if row is not None:
-                yield row.drop(columns="arrived")
-
-    return settle_key
-
-
-def settle(postings: DataFrame, limit: int = MONTH) -> DataFrame:
-    """The rows of a stream of postings (see ``read_landing``) that can still change the merged table. ``limit``, in milliseconds, is how
-    long the state of an untouched posting is kept."""
-    texts = ["job_id", "company", "ats", *SCRAPED_COLUMNS]
+def _ranked(postings: DataFrame) -> DataFrame:
+    """Postings with the key as one text, also where a part of it is NULL, and what versions of a posting are ordered and told apart by."""
     at = F.coalesce(F.unix_micros(F.col("scraped_at").cast("timestamp")), F.lit(NO_STAMP))
-    ranked = postings.select(*texts, "file", "pos", at.alias("at"), F.xxhash64(*SCRAPED_COLUMNS).alias("content"),
-                            F.current_timestamp().alias("arrived")).withWatermark("arrived", f"{limit} milliseconds")
-    kept = ranked.groupBy(*KEY).applyInPandasWithState(_settler(), _ROWS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    stamp = F.when(F.col("at") > NO_STAMP, F.timestamp_micros("at").cast("timestamp_ntz"))
-    return kept.select(*texts, stamp.alias("scraped_at"), "file", "pos")
+    version = F.struct(at.alias("at"), F.coalesce("file", F.lit("")).alias("file"), F.coalesce("pos", F.lit(-1)).alias("pos"), F.xxhash64(*SCRAPED_COLUMNS).alias("content"))
+    return postings.withColumns({"key": F.to_json(F.struct(*KEY)), "version": version})
+
+
+def _settled(ranked: DataFrame, state: DataFrame, now: int, limit: int) -> DataFrame:
+    """Per posting of a batch: its new state, and which of its versions go on (``newest``, ``oldest``, NULL if none)."""
+    seen = ranked.groupBy("key").agg(F.max("version").alias("top"), F.min("version").alias("low"))
+    known = state.where(F.col("arrived") >= now - limit).select("key", "last", "first_at")
+    top, low, last = F.col("top"), F.col("low"), F.col("last")
+    fresh = last.isNull()
+    repeated = (top["at"] == last["at"]) & (top["content"] == last["content"])
+    later = fresh | (top > last)
+    earlier = fresh | (low["at"] < F.col("first_at"))
+    return seen.join(known, "key", "left").select(
+        "key", F.when(later, top).otherwise(last).alias("last"), F.when(earlier, low["at"]).otherwise(F.col("first_at")).alias("first_at"),
+        F.lit(now).cast("long").alias("arrived"), F.when(fresh | later & ~repeated, top).alias("newest"), F.when(earlier, low).alias("oldest"))
 
 
 def drain_settled(postings: DataFrame, log: str, checkpoint: str, limit: int = MONTH) -> None:
-    """Append the settled rows of all postings that wait in the landing folder to the change log, then stop. See ``drain_changes``
-    for what a log and its checkpoint owe each other."""
-    drain_rows(settle(postings, limit), log, checkpoint)
+    """Append the settled rows of all postings that wait in the landing folder (see ``read_landing``) to the change log, then stop. See
+    ``drain_changes`` for what a log and its checkpoint owe each other. ``limit``, in milliseconds, is how long the state of an untouched posting is kept."""
+    path, names = f"{log}/_state", postings.columns
+
+    def append(batch: DataFrame, number: int, own: str) -> None:
+        state = _state(batch.sparkSession, path)
+        if state.marks.get(own, -1) >= number:
+            return
+        ranked = _ranked(batch)
+        settled = stored(_settled(ranked, state.read(), int(time.time() * 1000), limit), "settled")
+        chosen = settled.where("newest IS NOT NULL OR oldest IS NOT NULL").select("key", "newest", "oldest")
+        rows = ranked.join(chosen, "key").where((F.col("version") == F.col("newest")) | (F.col("version") == F.col("oldest")))
+        rows.dropDuplicates(["key", "version"]).select(*names).write.mode("overwrite").parquet(f"{log}/batch={number}")
+        state.merge(settled, ["last", "first_at", "arrived"], mark=(own, number))
+
+    drain_batches(postings, log, checkpoint, append)
+    _forget(postings.sparkSession, path, int(time.time() * 1000) - limit)
+
+
+def _forget(spark: SparkSession, path: str, before: int) -> None:
+    """Remove state that has not been touched since, and what older versions of the state have left."""
+    state = _state(spark, path)
+    expired = state.read().where(F.col("arrived") < before).select("key")
+    if not expired.isEmpty():
+        state = state.remove(expired)
+    state.vacuum()
 
 
 def settled_jobs(jobs: DataFrame, log: str) -> DataFrame:

@@ -76,3 +76,16 @@ def test_dropped_state_changes_nothing(spark, tmp_path, jobs_from):
     assert landing.read_log(spark, log).count() >= 3
     got = [(r[0], r[3], r[5]) for r in state(settled.settled_jobs(jobs_from({"job_id": "9"}).limit(0), log))]
     assert got == [("1", "new", "2026-01-03 00:00:00"), ("2", "x", "2026-01-02 00:00:00")]
+
+
+def test_a_batch_that_is_run_again_adds_nothing(spark, tmp_path):
+    """The state is a table that no Python call per posting fills; it remembers its last batch and takes NULL in a key for a value."""
+    folder, log, check = tmp_path / "in", str(tmp_path / "log"), str(tmp_path / "check")
+    folder.mkdir()
+    body = {"company": None, "slug": None, "ats": "lever", "scraped_at": "2026-01-05T00:00:00", "jobs": [{"id": "1", "title": "t"}, {"id": "1", "title": "t"}]}
+    for name in "ab":
+        (folder / f"{name}.json").write_text(json.dumps(body))
+        settled.drain_settled(landing.read_landing(spark, str(folder)), log, check)
+    state = settled.KeyedTable.open(spark, f"{log}/_state")
+    assert state.rows == 1 and [*state.marks.values()] == [1]
+    assert landing.read_log(spark, log).count() == 1 + 1  # the first as last and as earliest version
