@@ -45,9 +45,13 @@ class TextIndex:
         self._write(table, changed, "append")
 
     def _write(self, table: KeyedTable, rows: DataFrame, mode: str) -> None:
+        # Until a list is whole, a posting is one number in it: its place in the span, then its bucket.
+        packed = F.call_function("shiftleft", F.col("id") % SPAN, F.lit(32)) + F.col("bucket")
         cut = table.bucketed(rows).select("id", "bucket", F.explode(text_grams(self.columns)).alias("gram"))
         listed = cut.groupBy("gram", F.expr(f"id div {SPAN}").alias("span")).agg(
-            F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("id", "bucket"))).alias("postings"))
+            F.count("*").alias("n"), F.array_sort(F.collect_list(packed)).alias("_packed"))
+        listed = listed.select("gram", "span", "n", F.transform("_packed", lambda p: F.struct(
+            (F.shiftright(p, 32) + F.col("span") * SPAN).alias("id"), p.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("bucket"))).alias("postings"))
         listed = listed.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(self.parts)).cast("int"))
         # Sorted by gram, so that a search skips row groups inside the files, too.
         listed.hint("rebalance", F.col("part")).sortWithinPartitions("part", "gram", "span").write.mode(mode).partitionBy("part").parquet(self.path)
