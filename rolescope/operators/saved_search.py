@@ -31,18 +31,17 @@ def needle_hits(rows: DataFrame, needles: DataFrame, columns: tuple[str, ...]) -
     """``id, needle`` for each row of ``rows`` (id, unique, and the columns) and each needle (column ``needle``, distinct, not NULL) that one of its columns contains.
 
     Needles without any gram, as they are too short between their wildcards, go through ``scan_hits``. ``rows`` is read more than once:
-    pass a stored table. Stores the grams that both sides share.
+    pass a stored table. Texts are cut twice, to count the grams of needles and to find those that needles are filed under, so that no list of all grams is stored.
     """
     asked = stored(needles.select("needle", is_plain(F.col("needle")).alias("_plain"), needle_grams(F.col("needle")).alias("grams")), "needles")
     tokens = asked.select("needle", "_plain", F.explode("grams").alias("gram"))
     cut = rows.select("id", F.explode(text_grams(columns)).alias("gram"))
-    met = stored(cut.join(tokens.select("gram").distinct(), "gram", "left_semi"), "met-grams")
-    counts = met.groupBy("gram").agg(F.count("*").alias("n"))
+    counts = cut.join(tokens.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     # A needle with a gram that no posting holds finds nothing.
     rated = tokens.join(counts, "gram", "left").groupBy("needle", "_plain").agg(
         F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("absent"))
     filed = stored(rated.where("absent = 0").select("needle", "_plain", "gram"), "filed-needles")
-    pairs = met.join(filed, "gram").select("id", "needle", "_plain")
+    pairs = cut.join(filed, "gram").select("id", "needle", "_plain")
     found = pairs.join(rows.select("id", *columns), "id").where(_holds(columns)).select("id", "needle")
     return reduce(DataFrame.unionByName, [found, *scan_hits(rows, asked.where(F.size("grams") == 0).select("needle"), columns)])
 
