@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +63,20 @@ def dedupe_postings(postings: DataFrame) -> DataFrame:
     return latest_by_key(postings, KEY, ["scraped_at", "file", "pos"], first=("scraped_at",))
 
 
+def dedupe_at_rest(postings: DataFrame) -> DataFrame:
+    """``dedupe_postings`` for rows that only read files, and can be read again: keys are counted first, without their texts, and only rows of
+    keys that come more than once are sent. If these are over a tenth of the rows, all are. Counts at once; the rest is lazy."""
+    counts = stored(postings.groupBy(*KEY).agg(F.count("*").alias("n")), "counts")
+    n_rows, n_repeated = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))).first()
+    if not n_repeated:
+        return postings
+    if n_repeated * 10 > n_rows:
+        return dedupe_postings(postings)
+    repeated = stored(counts.where("n > 1").select(*[F.col(k).alias(f"_{k}") for k in KEY]), "repeated")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY])
+    return postings.join(repeated, same, "left_anti").unionByName(dedupe_postings(postings.join(repeated, same, "left_semi")))
+
+
 def needs_extraction(jobs: DataFrame, postings: DataFrame) -> DataFrame:
     """The scraped postings whose text has no extraction yet: new ones, changed ones, and those that were never parsed.
 

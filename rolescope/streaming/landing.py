@@ -90,14 +90,16 @@ def drain_batches(postings: DataFrame, log: str, checkpoint: str, write: Callabl
 def drain_into(postings: DataFrame, path: str, checkpoint: str) -> None:
     """Merge all postings that wait in the landing folder into the keyed table at ``path``, then stop.
 
-    Each micro-batch reads and writes only the buckets that hold its keys. The table's manifest records the last batch of each checkpoint
+    Each micro-batch reads and writes only what its keys touch, and is read from its files as often as needed, not stored. The table's manifest records the last batch of each checkpoint
     together with its rows, so a batch that is run again after a crash is not merged twice.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         own = spark.sparkContext.getLocalProperty("sql.streaming.queryId")  # the checkpoint's, also after a restart
-        merge_scraped(KeyedTable.open(spark, path), batch, (own, number))
+        table = KeyedTable.open(spark, path)
+        if table.marks.get(own, -1) < number:
+            merge_scraped(table, batch, (own, number), at_rest=True)
 
     query = (
         postings.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

@@ -12,10 +12,15 @@ from .views import jobs_v
 from .views_sql import using
 
 
+def _arrive(spark, sf, work, *version):
+    """Put a document per posting into the landing folder. A packed file is read by one task, so files are kept small."""
+    scraped_documents(spark, sf, *version).write.mode("append").options(compression="gzip", maxRecordsPerFile=5000).json(f"{work}/landing")
+
+
 @register("stream_drain", using("scraped_v") + SCRAPED_ROWS)
 def stream_drain(spark, sf):
     work = new_work_dir(spark, "drain")
-    scraped_documents(spark, sf).write.json(f"{work}/landing")
+    _arrive(spark, sf, work)
     landing.drain(landing.read_landing(spark, f"{work}/landing"), f"{work}/out", f"{work}/checkpoint")
     return spark.read.parquet(f"{work}/out").drop("file", "pos")
 
@@ -32,7 +37,7 @@ def stream_upsert(spark, sf):
     """Two arrivals of every document, drained one after the other, merged into the jobs table."""
     work = new_work_dir(spark, "upsert")
     for title, stamp in _WAVES:
-        scraped_documents(spark, sf, title, stamp).write.mode("append").json(f"{work}/landing")
+        _arrive(spark, sf, work, title, stamp)
         landing.drain_changes(landing.read_landing(spark, f"{work}/landing"), f"{work}/log", f"{work}/checkpoint")
     return landing.merged_jobs(jobs_v(spark, sf).select(*JOBS.fieldNames()), f"{work}/log").select(*_KEPT)
 
@@ -43,7 +48,7 @@ def stream_table(spark, sf):
     work = new_work_dir(spark, "stream-table")
     KeyedTable.create(jobs_v(spark, sf).select(*JOBS.fieldNames()), f"{work}/jobs", buckets=16)
     for title, stamp in _WAVES:
-        scraped_documents(spark, sf, title, stamp).write.mode("append").json(f"{work}/landing")
+        _arrive(spark, sf, work, title, stamp)
         landing.drain_into(landing.read_landing(spark, f"{work}/landing"), f"{work}/jobs", f"{work}/checkpoint")
     return KeyedTable.open(spark, f"{work}/jobs").read().select(*_KEPT)
 
@@ -53,6 +58,6 @@ def stream_settled(spark, sf):
     """The same arrivals, the later one first, and then all of them again: state in the stream settles them before the log."""
     work = new_work_dir(spark, "stream-settled")
     for title, stamp in [*reversed(_WAVES), *_WAVES]:
-        scraped_documents(spark, sf, title, stamp).write.mode("append").json(f"{work}/landing")
+        _arrive(spark, sf, work, title, stamp)
         settled.drain_settled(landing.read_landing(spark, f"{work}/landing"), f"{work}/log", f"{work}/checkpoint")
     return settled.settled_jobs(jobs_v(spark, sf).select(*JOBS.fieldNames()), f"{work}/log").select(*_KEPT)

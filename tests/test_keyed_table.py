@@ -106,3 +106,46 @@ def test_a_merge_sends_its_rows_once(spark, tmp_path, monkeypatch):
     after = table.merge(load, ["a"], ("b",))
     assert len(plans) == 1 and plans[0].count("Exchange ") == 1 and "Join" not in plans[0]
     assert rows_of(after) == sorted(map(str, upsert(old, load, ["k"], ["a"], ("b",)).collect()))
+
+
+def test_parts_that_hold_no_incoming_key_stay(spark, tmp_path, monkeypatch):
+    """New keys are added beside a bucket's large parts, and known keys replace only the parts that hold them; also with repeated and missing keys."""
+    from rolescope.operators import keyed_table
+
+    monkeypatch.setattr(keyed_table, "SLICE", 50)
+
+    def versions(held):
+        return sorted({int(f.split("/v=")[1].split("/")[0]) for f in held.scan().inputFiles()})
+
+    old = spark.range(600).selectExpr("IF(id < 3, NULL, concat('k', id div 2)) AS k", "id AS a", "concat('old ', id) AS b")
+    table = KeyedTable.create(old, str(tmp_path / "t"), ["k"], buckets=2)
+    fresh = spark.range(200).selectExpr("IF(id = 0, NULL, concat('new', id)) AS k", "id AS a", "concat('one ', id) AS b")
+    first = table.merge(fresh, ["a"], ("b",))
+    assert versions(first) == [0, 1] and first.rows == 800 == sum(n for _, n, _ in first.places.values())
+    assert glob.glob(str(tmp_path / "t/data/v=1/bucket=*/*")) and spark.read.parquet(str(tmp_path / "t/data/v=1")).count() == 200
+    again = spark.range(1, 150).selectExpr("concat('new', id) AS k", "-id AS a", "CAST(NULL AS STRING) AS b")
+    second = first.merge(again, ["a", "b"])
+    assert versions(second) == [0, 2]
+    plain = upsert(upsert(old, fresh, ["k"], ["a"], ("b",)), again, ["k"], ["a", "b"])
+    assert rows_of(second) == sorted(map(str, plain.collect())) and rows_of(first) == sorted(map(str, upsert(old, fresh, ["k"], ["a"], ("b",)).collect()))
+    assert second.vacuum(keep=1) > 0 and rows_of(KeyedTable.open(spark, str(tmp_path / "t"))) == rows_of(second)
+    both = spark.createDataFrame([("k17", 7, "x"), ("new3", 8, "y"), ("new160", 9, "z")], SMALL)
+    third = second.merge(both, ["a"], ("b",))
+    assert rows_of(third) == sorted(map(str, upsert(plain, both, ["k"], ["a"], ("b",)).collect()))
+    assert {r.a for r in third.lookup(both).collect()} == {7, 8, 9}
+    gone = third.remove(both)
+    assert rows_of(gone) == sorted(map(str, upsert(plain, both, ["k"], ["a"], ("b",)).where("k IS NULL OR k NOT IN ('k17', 'new3', 'new160')").collect()))
+
+
+def test_ids_go_on_over_all_parts(spark, tmp_path, jobs_from, monkeypatch):
+    from rolescope.operators import keyed_table
+
+    monkeypatch.setattr(keyed_table, "SLICE", 2)
+    jobs = jobs_from(*[{"id": 10 + i, "job_id": str(i), "title": f"t{i}"} for i in range(20)])
+    table, plain = KeyedTable.create(jobs, str(tmp_path / "t"), buckets=3), jobs
+    for load, ids in enumerate((range(20, 40), range(30, 45), range(5, 7), range(50, 52))):
+        source = spark.createDataFrame([posting(str(i), f"load {load}", load + 1) for i in ids for _ in range(2)], POSTING)
+        table, plain = merge_scraped(table, source, at_rest=True), upsert_scraped(plain, source)
+        plain = spark.createDataFrame(plain.collect(), plain.schema)
+    assert rows_of(KeyedTable.open(spark, str(tmp_path / "t"))) == sorted(map(str, plain.collect()))
+    assert len({v for _, v in table.parts}) > 1 and len({r.id for r in table.read().select("id").collect()}) == table.rows

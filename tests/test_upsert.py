@@ -93,3 +93,18 @@ def test_latest_by_key_sends_its_order_once(spark):
     latest = latest_by_key(rows, ["k"], ["at", "file"], first=("at",))
     assert [tuple(r) for r in latest.collect()] == [("k", None, "g", "b")]
     assert "max_by" not in latest._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_at_rest_are_reduced_without_sending_those_that_come_once(spark):
+    """Equal to ``dedupe_postings`` with no, few and many repeated keys, and with missing ones; only few repeats are sent."""
+    from rolescope.operators.upsert import dedupe_at_rest, dedupe_postings
+
+    schema = "job_id string, company string, ats string, title string, scraped_at string, file string, pos int"
+    once = [(str(i), "acme", "lever", f"t{i}", "2026-01-01", "f", i) for i in range(60)] + [(None, "acme", "lever", "n", "2026-01-01", "f", 0)]
+    few = [("7", "acme", "lever", "late", "2026-01-02", "a", 0), (None, "acme", "lever", "n2", None, "f", 0), ("7", "acme", "lever", "tie", "2026-01-02", "a", 0)]
+    for rows, sent in ((once, 0), (once + few, 1), (once * 2 + few, 1), ([], 0)):
+        postings = spark.createDataFrame(rows, schema)
+        reduced = dedupe_at_rest(postings)
+        assert reduced.columns == postings.columns
+        assert reduced._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == sent
+        assert sorted(map(str, reduced.collect())) == sorted(map(str, dedupe_postings(postings).collect()))
