@@ -55,11 +55,11 @@ def batch_numbers(postings: DataFrame, size: int = BATCH_SIZE, position: str | N
     return numbered.withColumn("batch_id", F.floor((F.col("_number") - 1) / size).cast("int")).drop("_number")
 
 
-def number_new(source: DataFrame, target: DataFrame, keys: list[str], highest: Column) -> DataFrame:
+def number_new(source: DataFrame, target: DataFrame, keys: list[str], highest: Column, asked: DataFrame | None = None) -> DataFrame:
     """``source``, one row per key, with an ``id`` for the postings that ``target`` lacks: numbered on from ``highest`` by system, company
-    and posting. Only the new keys are sorted and written; of the target, only the keys are read."""
+    and posting. Only the new keys are sorted and written; of the target, only the keys are read. ``asked`` are the source's keys, if they are had for less."""
     order = ["ats", "company", "job_id"]
-    numbered = new_numbers(source, target, keys).select(*order, "_number")
+    numbered = new_numbers(source if asked is None else asked, target, keys).select(*order, "_number")
     return source.drop("id").join(numbered, order, "left").withColumn("id", (F.col("_number") + highest).cast("bigint")).drop("_number")
 
 

@@ -96,12 +96,16 @@ def latest_extractions(extracted: DataFrame) -> DataFrame:
     return latest_by_key(extracted, KEY, ["parsed_at", "file", "pos"]).withColumn("scraped_at", F.col("parsed_at"))
 
 
-def upsert_numbered(target: DataFrame, source: DataFrame, replaced: list[str], inserted: tuple[str, ...]) -> DataFrame:
+def upsert_numbered(target: DataFrame, source: DataFrame, replaced: list[str], inserted: tuple[str, ...], asked: DataFrame | None = None) -> DataFrame:
     """``upsert`` of one row per key, with ids for new keys, numbered on from the highest. Only the new keys are sorted and written; the target is
-    read, never written. Stores the source and numbers at once; the merge itself is lazy."""
-    source = stored(source, "incoming")
+    read, never written. Stores the source and numbers at once; the merge itself is lazy.
+
+    ``asked`` are the keys of a source that only reads files, got without its texts: then the source is not stored, and goes from the shuffle that
+    made its rows straight into the merge."""
+    if asked is None:
+        source = asked = stored(source, "incoming")
     highest = target.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    return upsert(target, number_new(source, target, KEY, highest), KEY, replaced, (*inserted, "id"))
+    return upsert(target, number_new(source, target, KEY, highest, asked), KEY, replaced, (*inserted, "id"))
 
 
 def upsert_scraped(jobs: DataFrame, postings: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType
 
 from ..operators.keyed_table import KeyedTable, merge_scraped
-from ..operators.upsert import SCRAPED_COLUMNS, dedupe_postings, latest_by_key, upsert_numbered
+from ..operators.upsert import SCRAPED_COLUMNS, dedupe_at_rest, latest_by_key, upsert_numbered
 from ..schemas import KEY, SCRAPED_FILE
 from ..sources.files import postings_of
 
@@ -59,12 +59,12 @@ def drain_changes(postings: DataFrame, log: str, checkpoint: str) -> None:
     checkpoint, whose batch numbers name its folders: with another one, numbers would begin again and replace what the log
     holds, so that is refused.
     """
-    drain_rows(postings, log, checkpoint, dedupe_postings)
+    drain_rows(postings, log, checkpoint, dedupe_at_rest)
 
 
 def drain_rows(postings: DataFrame, log: str, checkpoint: str, reduce: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
     """Append what ``reduce`` leaves of every micro-batch to the change log, then stop."""
-    drain_batches(postings, log, checkpoint, lambda batch, number, _: reduce(batch).write.mode("overwrite").parquet(f"{log}/batch={number}"))
+    drain_batches(postings, log, checkpoint, lambda batch, number, _: reduce(batch).write.mode("overwrite").option("compression", "zstd").parquet(f"{log}/batch={number}"))
 
 
 def drain_batches(postings: DataFrame, log: str, checkpoint: str, write: Callable[[DataFrame, int, str], None]) -> None:
@@ -130,7 +130,7 @@ def merged_jobs(jobs: DataFrame, log: str, after: int = -1) -> DataFrame:
     """
     changes = read_log(jobs.sparkSession, log).where(F.col("batch") > after)
     latest = latest_by_key(changes, KEY, ["batch", "scraped_at", "file", "pos"], first=("scraped_at",))
-    return upsert_numbered(jobs, latest, SCRAPED_COLUMNS, ("scraped_at",))
+    return upsert_numbered(jobs, latest, SCRAPED_COLUMNS, ("scraped_at",), changes.select(*KEY).distinct())
 
 
 def compact(jobs: DataFrame, log: str, out: str, after: int = -1) -> None:

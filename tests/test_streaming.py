@@ -61,3 +61,22 @@ def test_a_log_refuses_a_second_checkpoint(spark, tmp_path, jobs_from):
     landing.drain_changes(stream(), log, str(tmp_path / "one"))
     rows = landing.merged_jobs(jobs_from({"id": 7, "job_id": "9"}), log).collect()
     assert sorted((r.job_id, r.id) for r in rows) == [("1", 8), ("2", 9), ("9", 7)]
+
+
+def test_the_log_goes_into_the_merge_by_one_shuffle_and_is_not_stored(spark, tmp_path, jobs_from, monkeypatch):
+    from rolescope.operators import ranking, upsert
+
+    folder, log, check = tmp_path / "in", str(tmp_path / "log"), str(tmp_path / "check")
+    for name, title, ids in (("a1.json", "first", "1223"), ("a2.json", "second", "34")):
+        arrive(folder, name, "acme", title, ids, "2026-01-01T00:00:00")
+        landing.drain_changes(landing.read_landing(spark, str(folder)), log, check)
+    assert landing.read_log(spark, log).where("batch >= 0").count() == 5  # the last write of each key in a batch
+    columns, stored = [], ranking.stored
+    for module in (ranking, upsert):
+        monkeypatch.setattr(module, "stored", lambda df, label: (columns.extend(df.columns), stored(df, label))[1])
+    merged = landing.merged_jobs(jobs_from({"id": 7, "job_id": "1", "department": "HR"}), log)
+    assert "raw_description" not in columns
+    shuffles = [line for line in merged._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) <= 3  # the log's rows, the numbers and the jobs
+    rows = sorted((r.job_id, r.title, r.department, r.id) for r in merged.collect())
+    assert rows == [("1", "first", "HR", 7), ("2", "first", None, 8), ("3", "second", None, 9), ("4", "second", None, 10)]
