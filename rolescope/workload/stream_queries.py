@@ -14,7 +14,8 @@ from .views_sql import using
 
 def _arrive(spark, sf, work, *version):
     """Put a document per posting into the landing folder. A packed file is read by one task, so files are kept small."""
-    scraped_documents(spark, sf, *version).write.mode("append").options(compression="gzip", maxRecordsPerFile=5000).json(f"{work}/landing")
+    packed = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": 5000}
+    scraped_documents(spark, sf, *version).write.mode("append").options(**packed).json(f"{work}/landing")
 
 
 @register("stream_drain", using("scraped_v") + SCRAPED_ROWS)
